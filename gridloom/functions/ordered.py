@@ -169,3 +169,21 @@ def _ranked_quantiles(
     return values.groupBy(*keys).agg(
         *[F.max(F.when(F.col("name") == n, F.col("v"))).alias(n) for n in quantiles]
     )
+
+
+def spread_sequence(
+    df: DataFrame, count: Column, name: str, keys: Sequence[str], chunk: int = BLOCK
+) -> DataFrame:
+    """Rows 0 .. count-1 in column ``name`` for every input row.
+
+    Long runs are cut into chunks and the (few) chunk rows are spread over the cluster
+    before they are expanded, so one long run does not unfold inside one task.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sized = df.withColumn("_count", count.cast("bigint")).where(F.col("_count") > 0)
+    last = F.floor((F.col("_count") - 1) / F.lit(chunk)).cast("bigint")
+    chunks = sized.withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
+    chunks = chunks.repartition(parts, *keys, "_chunk")
+    low = F.col("_chunk") * F.lit(chunk)
+    high = F.least(F.col("_count"), low + F.lit(chunk)) - 1
+    return chunks.select(*df.columns, F.explode(F.sequence(low, high)).alias(name))

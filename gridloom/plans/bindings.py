@@ -259,7 +259,7 @@ class Tables:
         """A factor for every branch (customer) and every one of the 25 buses."""
         key = F.col("c_custkey")
         wide = self.read("customer").withColumn(
-            "bus_id", F.explode(F.sequence(F.lit(0), F.lit(24))).cast("bigint")
+            "bus_id", F.explode(F.expr("sequence(0L, 24L)"))
         )
         return wide.select(
             (key % 25).alias("case_id"),
@@ -270,7 +270,7 @@ class Tables:
 
     def model_ptdf(self) -> DataFrame:
         wide = self.branch().withColumn(
-            "bus_id", F.explode(F.sequence(F.lit(0), F.lit(24))).cast("bigint")
+            "bus_id", F.explode(F.expr("sequence(0L, 24L)"))
         )
         return wide.select(
             "case_id",
@@ -298,7 +298,7 @@ class Tables:
 
     def _periods(self, df: DataFrame) -> DataFrame:
         return df.withColumn(
-            "period", F.explode(F.sequence(F.lit(0), F.lit(HORIZON - 1))).cast("bigint")
+            "period", F.explode(F.expr(f"sequence(0L, {HORIZON - 1}L)"))
         )
 
     def renewable(self) -> DataFrame:

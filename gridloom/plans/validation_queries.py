@@ -107,7 +107,7 @@ def _(t):
          CASE WHEN s_acctbal < 0 OR s_acctbal > 5000 THEN 'initial_energy_outside_bounds' END,
          CASE WHEN s_nationkey < 5 THEN 'negative_power' END,
          CASE WHEN s_nationkey > 10 THEN 'charge_efficiency' END,
-         CASE WHEN s_suppkey % 3 = 0 THEN 'unlabelled_extension' END], r -> r IS NOT NULL) AS reasons
+         CASE WHEN s_suppkey % 3 = 0 THEN 'unlabelled_extension' END], lambda r: r IS NOT NULL) AS reasons
        FROM supplier WHERE s_acctbal < 0 OR s_acctbal > 5000 OR s_nationkey < 5 OR s_nationkey > 10
          OR s_suppkey % 3 = 0""",
 )
@@ -132,7 +132,7 @@ def _(t):
     """SELECT l_orderkey, l_linenumber, list_filter([CASE WHEN l_discount < 0.02 THEN 'reactance' END,
          CASE WHEN l_tax - 0.04 <= 0 AND abs(l_tax - 0.04) > 1e-8 THEN 'tap' END,
          CASE WHEN l_quantity < 10 THEN 'negative_rate' END,
-         CASE WHEN l_linenumber = 3 THEN 'angle_limit' END], r -> r IS NOT NULL) AS reasons
+         CASE WHEN l_linenumber = 3 THEN 'angle_limit' END], lambda r: r IS NOT NULL) AS reasons
        FROM lineitem WHERE l_returnflag <> 'R' AND (l_discount < 0.02
          OR (l_tax - 0.04 <= 0 AND abs(l_tax - 0.04) > 1e-8) OR l_quantity < 10 OR l_linenumber = 3)""",
 )
