@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import settle
+
 BLOCK = 65_536
 
 
@@ -187,3 +189,53 @@ def spread_sequence(
     low = F.col("_chunk") * F.lit(chunk)
     high = F.least(F.col("_count"), low + F.lit(chunk)) - 1
     return chunks.select(*df.columns, F.explode(F.sequence(low, high)).alias(name))
+
+
+def carry_forward(
+    df: DataFrame, keys: Sequence[str], order: str, value: str, out: str, block: int = BLOCK
+) -> DataFrame:
+    """Last non-null ``value`` at or before each position (unique within ``keys``)."""
+    keys = list(keys)
+    blocked = _with_block(df, order, block)
+    known = blocked.where(F.col(value).isNotNull())
+    last = known.groupBy(*keys, "_block").agg(F.max_by(value, order).alias("_last"))
+    blocks = blocked.select(*keys, "_block").distinct().join(last, [*keys, "_block"], "left")
+    before = W.partitionBy(*keys).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
+    carried = blocks.select(
+        *keys, "_block", F.last("_last", ignorenulls=True).over(before).alias("_carry")
+    )
+    inside = (
+        W.partitionBy(*keys, "_block").orderBy(order).rowsBetween(W.unboundedPreceding, 0)
+    )
+    joined = blocked.withColumn("_seen", F.last(value, ignorenulls=True).over(inside))
+    return joined.join(carried, [*keys, "_block"]).select(
+        *df.columns, F.coalesce("_seen", "_carry").alias(out)
+    )
+
+
+def sorted_position(
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str
+) -> DataFrame:
+    """1-based position by any sort order; the order must be total within ``keys``.
+
+    Rows are range-partitioned by key and order, so a hot key spans many partitions, and
+    written once to fix the partition of each row.  Positions are then the count of the
+    partitions before plus the place inside the partition.
+    """
+    keys = list(keys)
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = settle(
+        df.repartitionByRange(parts, *[F.col(k) for k in keys], *order).withColumn(
+            "_part", F.spark_partition_id()
+        )
+    )
+    counts = placed.groupBy(*keys, "_part").agg(F.count("*").alias("_n"))
+    before = W.partitionBy(*keys).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    starts = counts.select(
+        *keys, "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start")
+    )
+    inside = W.partitionBy(*keys, "_part").orderBy(*order)
+    numbered = placed.withColumn("_row", F.row_number().over(inside))
+    return numbered.join(starts, [*keys, "_part"]).select(
+        *df.columns, (F.col("_start") + F.col("_row")).cast("bigint").alias(name)
+    )
