@@ -200,7 +200,7 @@ def _(t):
 @query(
     "text_coverage",
     """WITH k AS (SELECT count(*) AS n FROM benchmark),
-       ph AS (SELECT doc_id, 'item' AS subject, b.text AS wording FROM documents, k JOIN benchmark b ON b.item_id = doc_id % n
+       ph AS (SELECT doc_id, 'item' AS subject, string_split(b.text, ' ')[1] AS wording FROM documents, k JOIN benchmark b ON b.item_id = doc_id % n
          UNION ALL SELECT doc_id, 'own', substr(text, 1 + doc_id % 50, 12) FROM documents
          UNION ALL SELECT doc_id, 'own', 'no such wording' FROM documents)
        SELECT doc_id, subject FROM ph JOIN documents USING (doc_id) GROUP BY ALL
@@ -210,7 +210,7 @@ def _(t):
     docs, bench = t.read("documents"), t.read("benchmark")
     size = bench.count()
     item = docs.select("doc_id", (F.col("doc_id") % size).alias("item_id")).join(bench, "item_id").select(
-        "doc_id", F.lit("item").alias("subject"), F.col("text").alias("wording")
+        "doc_id", F.lit("item").alias("subject"), F.split("text", " ")[0].alias("wording")
     )
     own = docs.select(
         "doc_id", F.lit("own").alias("subject"),

@@ -155,3 +155,8 @@ ANNOTATION = T.StructType(
         T.StructField("updated_at", _S, False),
     ]
 )
+
+
+def with_corrupt(schema: T.StructType) -> T.StructType:
+    """The schema plus the column in which the JSON reader keeps what it cannot read."""
+    return T.StructType(schema.fields + [T.StructField("_corrupt_record", _S, True)])
