@@ -181,7 +181,10 @@ def spread_sequence(
     Long runs are cut into chunks and the (few) chunk rows are spread over the cluster
     before they are expanded, so one long run does not unfold inside one task.
     """
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spark = df.sparkSession
+    parts = min(
+        int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism
+    )
     sized = df.withColumn("_count", count.cast("bigint")).where(F.col("_count") > 0)
     last = F.floor((F.col("_count") - 1) / F.lit(chunk)).cast("bigint")
     chunks = sized.withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
@@ -223,9 +226,8 @@ def sorted_position(
     partitions before plus the place inside the partition.
     """
     keys = list(keys)
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     placed = settle(
-        df.repartitionByRange(parts, *[F.col(k) for k in keys], *order).withColumn(
+        df.repartitionByRange(*[F.col(k) for k in keys], *order).withColumn(
             "_part", F.spark_partition_id()
         )
     )

@@ -375,7 +375,7 @@ def power_iteration(a: DataFrame, steps: int = 8) -> DataFrame:
     """Rayleigh estimate of the squared spectral norm per case, with its residual.
 
     A start vector in the null space of a case is replaced by the unit vector at the
-    column of largest norm.  Each step is one settled table; the run length is fixed.
+    column of largest norm.  Each step writes one table; the run length is fixed.
     """
     vec = settle(_start_vector(a, -1.0, 1.0))
     estimate = None
@@ -387,9 +387,8 @@ def power_iteration(a: DataFrame, steps: int = 8) -> DataFrame:
             if dead.limit(1).count():
                 product = settle(_restart(a, product, dead))
                 norms = product.groupBy("case_id").agg(F.sqrt(F.sum(F.col("p") ** 2)).alias("norm"))
-        vec = settle(
-            product.join(norms, "case_id").select(*COL, (F.col("p") / F.col("norm")).alias("x"))
-        )
+        # the product is a written table, so the next vector can stay an expression over it
+        vec = product.join(norms, "case_id").select(*COL, (F.col("p") / F.col("norm")).alias("x"))
         if step == steps - 1:
             pair = _normal_product(a, vec).join(vec, COL)
             moments = pair.groupBy("case_id").agg(
@@ -426,11 +425,8 @@ def collatz_bound(a: DataFrame, steps: int = 8) -> DataFrame:
         ratio = product.groupBy("case_id").agg(
             F.max(F.col("p") / F.col("x")).alias("bound"), F.max("p").alias("top")
         )
-        ratio = settle(ratio)
-        vec = settle(
-            product.join(ratio, "case_id").select(
-                *COL, F.greatest(F.col("p") / F.col("top"), F.lit(floor)).alias("x")
-            )
+        vec = product.join(ratio, "case_id").select(
+            *COL, F.greatest(F.col("p") / F.col("top"), F.lit(floor)).alias("x")
         )
         found = ratio.select("case_id", "bound")
         best = found if best is None else best.unionByName(found)

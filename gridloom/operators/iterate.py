@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import EPS, positive_part, reason_list
 from ..functions.ordered import BLOCK, previous
-from ..session import settle
+from ..session import release, settle
 from .algebra import COL, ROW, clip, residual_summary, spmv, spmv_t
 
 Solver = Callable[[DataFrame], DataFrame]
@@ -337,12 +337,16 @@ def run_steps(
     lp = Problem(settle(lp.a), settle(lp.row_vec), settle(lp.col_vec))
     anchor = current = state or zero_state(lp)
     log = None
+    old: State | None = None
     proximal = current
     for k in range(steps):
         done = k + 1
         record = done == 1 or done % interval == 0 or done == steps
         step = sgs_step(lp, current, anchor, k, control, solve, evidence=record)
         current, proximal = step.next_state, step.proximal
+        if old is not None:
+            release(old.col, old.row)
+        old = current
         if record:
             found = residual_summary(
                 lp.a, lp.row_vec, lp.col_vec, proximal.col, proximal.row, tolerance

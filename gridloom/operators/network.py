@@ -8,10 +8,11 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import settle
+from ..session import release, settle
 from .derive import effective_tap
 
 RHS = ["case_id", "rhs"]
+SHIFT_RUN = -1
 
 
 def branch_susceptance(branch: DataFrame, base_mva: float | DataFrame = 100.0) -> DataFrame:
@@ -90,7 +91,7 @@ def connected_components(bus: DataFrame, branch: DataFrame, max_iter: int = 64)
         )
         .distinct()
     )
-    labels = settle(bus.select("case_id", "bus_id", F.col("bus_id").alias("label")))
+    labels = last = settle(bus.select("case_id", "bus_id", F.col("bus_id").alias("label")))
     for _ in range(max_iter):
         offers = both.join(
             labels.select("case_id", F.col("bus_id").alias("u"), "label"), ["case_id", "u"]
@@ -107,6 +108,8 @@ def connected_components(bus: DataFrame, branch: DataFrame, max_iter: int = 64)
                 "case_id", "bus_id", F.least("label", "further").alias("label"), "old"
             )
         )
+        release(last)
+        last = found
         labels = found.select("case_id", "bus_id", "label")
         if not found.where(F.col("label") != F.col("old")).limit(1).count():
             return labels
@@ -146,7 +149,7 @@ def solve_angles(
 ) -> Solved:
     """Bus angles and branch flows for every ``rhs`` of every case.
 
-    ``injection(case_id, rhs, bus_id, mw)``.  Conjugate gradients on the reduced matrix,
+    ``injection(case_id, rhs, bus_id, mw)`` with ``rhs`` >= 0.  Conjugate gradients on the reduced matrix,
     scaled by its diagonal; all right-hand sides advance together.  The rearrangement that
     needs one pair of dot products per iteration keeps an iteration at one written table,
     and convergence is looked up every ``check_every`` iterations.  ``report`` gives the
@@ -167,10 +170,12 @@ def solve_angles(
     )
     needed = injection.select(*RHS, "bus_id", "mw")
     if with_shift:
-        shifts = phase_shift_terms(edge)[1].select("case_id", "bus_id", (-F.col("mw")).alias("mw"))
-        runs = injection.select(*RHS).distinct()
-        # a shift acts in every right-hand side of its case: the shift list is per bus
-        needed = needed.unionByName(runs.join(shifts, "case_id").select(*RHS, "bus_id", "mw"))
+        # the shifts of a case are one more right-hand side, added to the others at the end
+        shifts = phase_shift_terms(edge)[1]
+        own = F.lit(SHIFT_RUN).cast("bigint").alias("rhs")
+        needed = needed.unionByName(
+            shifts.select("case_id", own, "bus_id", (-F.col("mw")).alias("mw"))
+        )
     zero, unset = F.lit(0.0), F.lit(None).cast("double")
     carried = {"gamma": unset, "alpha": unset, "start": unset}
     state = (
@@ -188,8 +193,11 @@ def solve_angles(
         )
     )
     state = settle(state)
+    last = state
     for iteration in range(1, max_iter + 1):
         table = settle(_with_product(state, matrix))
+        release(last)
+        last = table
         scalars = _step_lengths(table, tol)
         if iteration % check_every == 0 and not scalars.where(~F.col("done")).limit(1).count():
             break
@@ -206,11 +214,10 @@ def solve_angles(
             s.alias("s"),
             *carried,
         )
-    angle = settle(
-        table.join(diagonal, ["case_id", "bus_id"]).select(
-            *RHS, "bus_id", (F.col("x") / F.col("root")).alias("angle")
-        )
+    angle = table.join(diagonal, ["case_id", "bus_id"]).select(
+        *RHS, "bus_id", (F.col("x") / F.col("root")).alias("angle")
     )
+    angle = settle(_add_shift_angles(angle) if with_shift else angle)
     report = _step_lengths(table, tol).select(
         *RHS,
         F.when(F.col("start") > 0, F.sqrt(F.col("gamma") / F.col("start")))
@@ -221,6 +228,17 @@ def solve_angles(
     return Solved(angle, branch_flows(edge, angle, with_shift), report)
 
 
+def _add_shift_angles(angle: DataFrame) -> DataFrame:
+    """Superpose the answer of the shift run on the other runs."""
+    shift = angle.where(F.col("rhs") == SHIFT_RUN).select(
+        "case_id", "bus_id", F.col("angle").alias("_shift")
+    )
+    runs = angle.where(F.col("rhs") != SHIFT_RUN)
+    return runs.join(shift, ["case_id", "bus_id"], "left").select(
+        *RHS, "bus_id", (F.col("angle") + F.coalesce("_shift", F.lit(0.0))).alias("angle")
+    )
+
+
 def _with_product(state: DataFrame, matrix: DataFrame) -> DataFrame:
     """The state with ``w``, the matrix times ``r``, gathered in one aggregation.
 
@@ -285,13 +303,13 @@ def branch_flows(edge: DataFrame, angle: DataFrame, with_shift: bool = True) ->
     terms = ends.join(angle, ["case_id", "bus_id"]).select(
         *RHS, "branch_id", (F.col("sign") * F.col("b_mw") * F.col("angle")).alias("mw")
     )
-    if with_shift:
-        runs = angle.select(*RHS).distinct()
-        shifts = edge.where(F.col("shift_mw") != 0).select("case_id", "branch_id", "shift_mw")
-        terms = terms.unionByName(
-            runs.join(shifts, "case_id").select(*RHS, "branch_id", F.col("shift_mw").alias("mw"))
-        )
-    return terms.groupBy(*RHS, "branch_id").agg(F.sum("mw").alias("mw"))
+    flows = terms.groupBy(*RHS, "branch_id").agg(F.sum("mw").alias("mw"))
+    if not with_shift:
+        return flows
+    shifts = edge.select("case_id", "branch_id", "shift_mw")
+    return flows.join(shifts, ["case_id", "branch_id"]).select(
+        *RHS, "branch_id", (F.col("mw") + F.col("shift_mw")).alias("mw")
+    )
 
 
 def shift_factor_columns(

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import EPS, count_if
-from ..session import settle
+from ..session import release, settle
 from .algebra import COL, ROW
 
 
@@ -93,11 +93,13 @@ def ruiz(a: DataFrame, k: int) -> Scaled:
     rows = cols = log = None
     for step in range(1, k + 1):
         one = scale_step(a, "ruiz")
-        rows = settle(_accumulate(rows, one.row_scale, ROW))
-        cols = settle(_accumulate(cols, one.col_scale, COL))
-        noted = one.diagnostics.withColumn("step", F.lit(step))
+        noted = settle(one.diagnostics.withColumn("step", F.lit(step)))
         log = noted if log is None else log.unionByName(noted)
-        a = settle(one.a)
+        new_rows = settle(_accumulate(rows, one.row_scale, ROW))
+        new_cols = settle(_accumulate(cols, one.col_scale, COL))
+        scaled = settle(one.a)
+        release(rows, cols, a if step > 1 else None)
+        rows, cols, a = new_rows, new_cols, scaled
     return Scaled(a, rows, cols, log)
 
 

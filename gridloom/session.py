@@ -51,4 +51,21 @@ def settle(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/gridloom-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._settled_at = path
+    return back
+
+
+def release(*tables: DataFrame | None) -> None:
+    """Delete settled tables that a loop has replaced.
+
+    Call it only after the table that replaces them has been written.  Anything that was
+    not made by ``settle`` is left alone.
+    """
+    for df in tables:
+        path = getattr(df, "_settled_at", None)
+        if path is None:
+            continue
+        spark = df.sparkSession
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
