@@ -173,14 +173,14 @@ def _(t):
 @query(
     "size_profile",
     f"""WITH ld AS (SELECT case_id, sum(demand_mw + shunt_mw) AS base FROM b_bus GROUP BY 1)
-        SELECT case_id, period, 1::DOUBLE AS multiplier, {r('0.01 * base', 3)} AS reserve_up,
-        {r('0.01 * base', 3)} AS reserve_down FROM ld, range(6) AS p(period)""",
+        SELECT case_id, period, 1::DOUBLE AS multiplier, {r('0.01 * base', 4)} AS reserve_up,
+        {r('0.01 * base', 4)} AS reserve_down FROM ld, range(6) AS p(period)""",
     "b_bus",
 )
 def _(t):
     p = d.size_profile(d.base_load(t.bus()), 6)
     names = ("reserve_up", "reserve_down")
-    return p.select("case_id", "period", "multiplier", *[rounded(n, 3).alias(n) for n in names])
+    return p.select("case_id", "period", "multiplier", *[rounded(n, 4).alias(n) for n in names])
 
 
 @query(
