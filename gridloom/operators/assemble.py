@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import count_if
-from ..session import settle
+from ..session import beside, settle, unfolded
 from .derive import (
     COUNT_OF,
     case_dims,
@@ -101,7 +101,7 @@ def coo_kron(pattern: str, device: DataFrame, periods: int, rows: int, cols: int
 
 def _over_periods(devices: DataFrame, dims: DataFrame, first: int = 0) -> DataFrame:
     """Devices with their case's dims, one row per period from ``first``."""
-    joined = devices.join(dims, "case_id").where(F.col("periods") > first)
+    joined = devices.join(beside(dims), "case_id").where(F.col("periods") > first)
     start = F.lit(first).cast("bigint")
     return joined.withColumn("t", F.explode(F.sequence(start, F.col("periods") - 1)))
 
@@ -185,8 +185,10 @@ def rows_line_flow(
         .otherwise(F.array(*both("p_ess_dc", 1.0), *both("p_ess_ch", -1.0)))
     )
     a = base.select("case_id", F.lit("A2").alias("block"), F.explode(cells).alias("e"))
-    limits = fixed_flow.join(lines.select("case_id", "line_pos", "limit_mw"), ["case_id", "line_pos"])
-    limits = limits.join(dims, "case_id").withColumn("t", F.col("period"))
+    limits = unfolded(fixed_flow).join(
+        lines.select("case_id", "line_pos", "limit_mw"), ["case_id", "line_pos"]
+    )
+    limits = limits.join(beside(dims), "case_id").withColumn("t", F.col("period"))
     rhs = _rhs(
         limits,
         "A2",
@@ -221,7 +223,7 @@ def rows_headroom_footroom(dims: DataFrame, gen: DataFrame) -> tuple[DataFrame,
 def rows_reserve_requirement(dims: DataFrame, profile: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Reserves of each period reach the requirement, per direction."""
     cols = variable_index(dims, ("r_up", "r_down")).join(
-        dims.select("case_id", "r_reserve_up", "r_reserve_down"), "case_id"
+        beside(dims.select("case_id", "r_reserve_up", "r_reserve_down")), "case_id"
     )
     first = F.when(F.col("kind") == "r_up", F.col("r_reserve_up")).otherwise(F.col("r_reserve_down"))
     a = cols.select(

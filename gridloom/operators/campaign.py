@@ -168,20 +168,22 @@ def stage_check_summary(checks: DataFrame, interpretation: DataFrame | None = No
 
 def coverage_counts(structural: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The report's headline counts, one row, from one aggregation of each table."""
+    allocated = F.col("full_lp_allocated")
     left = structural.agg(
         F.count("*").alias("symbolic_rows"),
         count_if(F.col("dimension_match")).alias("dimension_matches"),
         count_if(F.col("nnz_match")).alias("nnz_matches"),
     )
-    allocated = F.col("full_lp_allocated")
     right = benchmark.agg(
         count_if(allocated).alias("allocated_rows"),
         count_if(allocated & (F.col("gpu_status") == "SUCCESS")).alias("validated_gpu_rows"),
         count_if(allocated & (F.col("cpu_status") == "SUCCESS")).alias("validated_cpu_rows"),
-        count_if(F.col("row_status").isin("MEMORY_BLOCKED", "INDEX_BLOCKED")).alias("resolved_without_allocation"),
+        count_if(F.col("row_status").isin("MEMORY_BLOCKED", "INDEX_BLOCKED")).alias(
+            "resolved_without_allocation"
+        ),
     )
-    one = F.lit(1).alias("_one")
-    return left.select("*", one).join(right.select("*", one), "_one").drop("_one")
+    both = left.unionByName(right, allowMissingColumns=True)
+    return both.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in both.columns])
 
 
 def assert_table_invariants(df: DataFrame, scope: str, facts: dict[str, Column]) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import count_if, near_zero
 from ..functions.ordered import BLOCK, spread_sequence
+from ..session import beside, unfolded
 
 # The order of the variable blocks.
 KINDS = ("p_g", "p_rg", "p_ess_dc", "p_ess_ch", "r_up", "r_down")
@@ -120,7 +121,7 @@ def place_resources(gen: DataFrame, spec: DataFrame) -> DataFrame:
         ((i % halves) * 2 % F.col("_gens")).alias("gen_pos"),
     )
     prefix = F.when(F.col("kind") == "renewable", "rg").otherwise("ess")
-    placed = renewable.unionByName(storage).join(
+    placed = unfolded(renewable.unionByName(storage)).join(
         gen.select("case_id", "gen_pos", "bus_id"), ["case_id", "gen_pos"]
     )
     return placed.withColumn(
@@ -138,8 +139,8 @@ def size_resources(
     placement: DataFrame, load: DataFrame, spec: DataFrame, policy: dict[str, float] = POLICY
 ) -> DataFrame:
     """Nameplate, energy and limits of placed resources from ``load(case_id, base_load)``."""
-    sized = placement.join(load, "case_id").join(
-        spec.select("case_id", "renewables", "storage"), "case_id"
+    sized = placement.join(beside(load), "case_id").join(
+        beside(spec.select("case_id", "renewables", "storage")), "case_id"
     )
     p = {k: F.lit(v) for k, v in policy.items()}
     name = p["renewable_share"] * F.col("base_load") / F.col("renewables")
@@ -184,7 +185,7 @@ def expand_load(bus: DataFrame, dims: DataFrame, profile: DataFrame) -> DataFram
         "period", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("periods") - 1))
     )
     return long.join(
-        profile.select("case_id", "period", "multiplier"), ["case_id", "period"]
+        beside(profile.select("case_id", "period", "multiplier")), ["case_id", "period"]
     ).select(
         "case_id",
         "period",
@@ -285,9 +286,8 @@ def variable_index(dims: DataFrame, kinds: tuple[str, ...] = KINDS) -> DataFrame
 
 def variable_key(cols: DataFrame, dims: DataFrame) -> DataFrame:
     """Inverse of ``variable_index`` for any table with ``case_id, col``."""
-    joined = cols.join(
-        dims.select("case_id", "n", "n_gen", "n_rg", "n_ess", *[f"c_{k}" for k in KINDS]), "case_id"
-    ).where((F.col("col") >= 0) & (F.col("col") < F.col("n")))
+    spans = dims.select("case_id", "n", "n_gen", "n_rg", "n_ess", *[f"c_{k}" for k in KINDS])
+    joined = cols.join(beside(spans), "case_id").where((F.col("col") >= 0) & (F.col("col") < F.col("n")))
     kind, start, width = F.lit(None), F.lit(None), F.lit(None)
     for k in KINDS:
         inside = F.col("col") >= F.col(f"c_{k}")

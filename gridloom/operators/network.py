@@ -8,7 +8,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import release, settle
+from ..session import beside, release, settle
 from .derive import effective_tap
 
 RHS = ["case_id", "rhs"]
@@ -418,7 +418,7 @@ def fixed_flow(offset: DataFrame, load_shift: DataFrame, profile: DataFrame) ->
         "period", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("periods") - 1))
     )
     return long.join(
-        profile.select("case_id", "period", "multiplier"), ["case_id", "period"]
+        beside(profile.select("case_id", "period", "multiplier")), ["case_id", "period"]
     ).select(*keys, "period", (F.col("o") - F.col("multiplier") * F.col("s")).alias("mw"))
 
 

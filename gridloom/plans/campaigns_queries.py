@@ -108,7 +108,7 @@ def _(t):
 
 @query(
     "allocation_order_check",
-    """WITH h AS (SELECT l_suppkey AS case_id, l_orderkey * 8 + l_linenumber AS ordinal, 'm' || ((year(l_shipdate) - 1995)) AS key,
+    """WITH h AS (SELECT l_suppkey AS case_id, (l_orderkey * 8 + l_linenumber) * 8 + year(l_shipdate) - 1995 AS ordinal, 'm' || ((year(l_shipdate) - 1995)) AS key,
          l_quantity > 3 AS gate, l_returnflag FROM lineitem),
        pl AS (SELECT case_id, key, min(ordinal) AS f FROM h GROUP BY ALL),
        rk AS (SELECT case_id, row_number() OVER (PARTITION BY case_id ORDER BY f) - 1 AS nth, substr(key, 2)::BIGINT AS place FROM pl)
@@ -120,7 +120,7 @@ def _(t):
     line = t.read("lineitem")
     year = F.year("l_shipdate") - 1995
     history = line.select(
-        F.col("l_suppkey").alias("case_id"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("ordinal"),
+        F.col("l_suppkey").alias("case_id"), ((F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 8 + year).alias("ordinal"),
         F.concat(F.lit("m"), year).alias("key"),
         F.concat_ws("-", "l_returnflag", year.cast("string")).alias("invocation_id"), (F.col("l_quantity") > 3).alias("gate_passed"),
     )

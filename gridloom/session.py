@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(master: str | None = None, app: str = "gridloom", **conf: str) -> SparkSession:
@@ -69,3 +70,22 @@ def release(*tables: DataFrame | None) -> None:
         spark = df.sparkSession
         place = spark._jvm.org.apache.hadoop.fs.Path(path)
         place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def beside(small: DataFrame) -> DataFrame:
+    """The lookup side of a join whose other side was unfolded.
+
+    The optimizer takes an unfolded table for as small as its source and might broadcast
+    it.  So the lookup side is broadcast when its own size, which for a settled table is
+    its file size, is under the session's threshold; otherwise the join is sorted, where
+    adaptive execution splits hot keys.
+    """
+    spark = small.sparkSession
+    limit = spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    size = int(str(small._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return F.broadcast(small) if size <= limit else small.hint("merge")
+
+
+def unfolded(df: DataFrame) -> DataFrame:
+    """Mark an unfolded table so that a join with another large table does not broadcast it."""
+    return df.hint("merge")
