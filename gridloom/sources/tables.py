@@ -11,11 +11,13 @@ from ..schemas import RUN_LOG, with_corrupt
 Paths = str | list[str]
 
 
-def _split_corrupt(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Readable rows, and ``(path, record)`` of the others."""
-    broken = F.col("_corrupt_record").isNotNull()
-    rejects = raw.where(broken).select("path", F.col("_corrupt_record").alias("record"))
-    return raw.where(~broken).drop("_corrupt_record", "path"), rejects
+def _parse(text: DataFrame, schema: StructType) -> tuple[DataFrame, DataFrame]:
+    """Readable records of ``text(path, value)``, and ``(path, record)`` of the others."""
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
+    parsed = text.select("path", "value", F.from_json("value", with_corrupt(schema), options).alias("_r"))
+    broken = F.col("_r").isNull() | F.col("_r._corrupt_record").isNotNull()
+    rejects = parsed.where(broken).select("path", F.col("value").alias("record"))
+    return parsed.where(~broken).select("_r.*").drop("_corrupt_record"), rejects
 
 
 def read_run_log(
@@ -25,16 +27,16 @@ def read_run_log(
 
     A gzip file is read by one task, so large logs should be many files.
     """
-    raw = spark.read.schema(with_corrupt(schema)).json(paths)
-    return _split_corrupt(raw.withColumn("path", F.col("_metadata.file_path")))
+    lines = spark.read.text(paths).select(F.col("_metadata.file_path").alias("path"), "value")
+    return _parse(lines.where(F.trim("value") != ""), schema)
 
 
 def read_evidence_json(
     spark: SparkSession, paths: Paths, schema: StructType
 ) -> tuple[DataFrame, DataFrame]:
     """One JSON object per file; a file that is not an object is a reject."""
-    raw = spark.read.schema(with_corrupt(schema)).json(paths, multiLine=True)
-    return _split_corrupt(raw.withColumn("path", F.col("_metadata.file_path")))
+    files = spark.read.text(paths, wholetext=True)
+    return _parse(files.select(F.col("_metadata.file_path").alias("path"), "value"), schema)
 
 
 def read_table_csv(spark: SparkSession, path: Paths, schema: StructType) -> DataFrame:
