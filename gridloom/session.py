@@ -42,16 +42,17 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def settle(df: DataFrame) -> DataFrame:
+def settle(df: DataFrame, **options: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     The plan then starts at Parquet files: an executor loss recomputes nothing above
     them, an iteration's plan stays short, and the optimizer knows the real size, so a
-    join broadcasts this side only when the file size is under its threshold.
+    join broadcasts this side only when the file size is under its threshold.  ``options``
+    go to the Parquet writer.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/gridloom-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._settled_at = path
     return back
