@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, licenses, mixing, pieces, quality, sharding, simhash
+from . import langid, licenses, mixing, pieces, quality, sharding, simhash, suffix
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -99,6 +99,21 @@ def op3_encode_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_digests(pieces.decode_documents(encoded, model))
 
 
+@query
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    size = F.octet_length("body").cast("bigint")
+    removed = F.aggregate(
+        F.zip_with("begins", "ends", lambda b, e: e - b), F.lit(0).cast("bigint"), lambda a, x: a + x
+    )
+    return suffix.cut_repeats(documents(spark, sf_dir)).select(
+        F.col("_row.doc_id").alias("doc_id"),
+        size.alias("n_bytes"),
+        removed.alias("n_removed"),
+        F.size("begins").cast("bigint").alias("n_spans"),
+        F.sha2(suffix.kept_bytes(), 256).alias("kept_sha256"),
+    )
+
+
 @query
 def op6_identify_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
