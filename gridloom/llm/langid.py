@@ -21,6 +21,7 @@ import math
 import re
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -226,3 +227,16 @@ def learned(docs: DataFrame, folds: int = FOLDS) -> dict[str, list[str]]:
     """Training words from the labelled documents outside the held-out fold."""
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     return training_words(sampled(labelled.where(~held_out(F.col("doc_id"), folds))))
+
+
+def accepted(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose language is found, learned from its own labelled rows."""
+    given = docs.sparkSession.sparkContext.broadcast(learned(docs))
+    parser: list[CrossParser] = []
+
+    def found(texts: pd.Series) -> pd.Series:
+        if not parser:
+            parser.append(CrossParser(given.value))
+        return pd.Series([parser[0].predict(t)[0] != UNKNOWN for t in texts], dtype=bool)
+
+    return docs.where(F.pandas_udf(found, "boolean")(F.col("text").cast("string")))

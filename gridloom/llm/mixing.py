@@ -229,7 +229,7 @@ def mixed_documents(
     document without words is its place.
     """
     packed = docs.select(
-        F.struct(*docs.columns).alias("_row"),
+        F.struct("*").alias("_row"),
         F.col("doc_id").alias("_id"),
         source_key(F.col("source")).alias("src"),
         word_count(F.col("text")).alias("_size"),
@@ -246,6 +246,4 @@ def mixed_documents(
         F.sequence(F.lit(0), F.lit(most - 1)),
         lambda c: c * F.col("source_size") + middle < F.round("target"),
     )
-    return spread.select(F.explode(copies), "_row").select(
-        *[F.col("_row").getField(n).alias(n) for n in docs.columns]
-    )
+    return spread.select(F.explode(copies), "_row").select("_row.*")

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, licenses, mixing, pieces, quality, sharding, simhash, suffix
+from . import hnsw, langid, licenses, mixing, pieces, quality, sharding, simhash, suffix
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -81,14 +81,15 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def piece_digests(decoded: DataFrame) -> DataFrame:
-    """doc_id, n_tokens and SHA-256 digests of ids and text, of decoded documents."""
+def piece_digests(decoded: DataFrame, *more: str) -> DataFrame:
+    """doc_id, n_tokens and SHA-256 digests of ids and text, of decoded documents; ``more`` columns."""
     listed = F.array_join(F.col("ids").cast("array<string>"), ",")
     return decoded.select(
         "doc_id",
         F.size("ids").cast("bigint").alias("n_tokens"),
         F.sha2(listed, 256).alias("ids_sha256"),
         F.sha2("text", 256).alias("decoded_sha256"),
+        *more,
     )
 
 
@@ -147,3 +148,9 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         "component_id",
     )
+
+
+@query
+def op10_hnsw_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return hnsw.nearest(vectors, F.coalesce(F.col("vec_id") % 50 == 0, F.lit(False)))

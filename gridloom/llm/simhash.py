@@ -203,15 +203,34 @@ def components(pairs: DataFrame, a: str, b: str) -> DataFrame:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, fp and component_id, the smallest doc_id reachable, of every row."""
-    marked = settle(fingerprints(docs))
+def roots_of(marked: DataFrame) -> DataFrame:
+    """fp, root and first_id (the smallest doc_id with fp) of every fingerprint in ``marked``."""
     distinct = settle(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
     found = links(distinct.select("fp"), distinct.count())
     roots = settle(components(found, "fp", "other"))
-    rooted = distinct.join(roots, distinct.fp == roots.node, "left").select(
+    return distinct.join(roots, distinct.fp == roots.node, "left").select(
         "fp", F.coalesce("root", "fp").alias("root"), "first_id"
     )
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, fp and component_id, the smallest doc_id reachable, of every row."""
+    marked = settle(fingerprints(docs))
+    rooted = roots_of(marked)
     named = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     of_print = rooted.join(named, "root").select("fp", "component_id")
     return marked.join(of_print, "fp").select("doc_id", "fp", "component_id")
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """One row of every component: of those with the smallest doc_id, that of the least row hash."""
+    packed = docs.select(F.struct("*").alias("_row")).withColumns(
+        {"_k1": F.xxhash64("_row"), "_k2": F.xxhash64(F.lit(1), F.col("_row"))}
+    )
+    key = F.struct(
+        F.col("_row.doc_id").isNull().alias("last"), F.col("_row.doc_id").alias("id"), "_k1", "_k2"
+    )
+    marked = settle(fingerprints(packed.select(key.alias("doc_id"), F.col("_row.text").alias("text"))))
+    first = roots_of(marked).groupBy("root").agg(F.min("first_id").alias("first_id"))
+    kept = settle(first.select("first_id._k1", "first_id._k2"))
+    return packed.join(kept, ["_k1", "_k2"]).dropDuplicates(["_k1", "_k2"]).select("_row.*")

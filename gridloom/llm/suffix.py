@@ -373,7 +373,7 @@ def _merge_spans(batch: pa.RecordBatch) -> pa.RecordBatch:
 def keyed(docs: DataFrame) -> DataFrame:
     """``docs`` packed in _row, the text's bytes as body, and 128 bits that name the text."""
     body = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
-    return docs.select(F.struct(*docs.columns).alias("_row"), body.alias("body")).withColumns(
+    return docs.select(F.struct("*").alias("_row"), body.alias("body")).withColumns(
         {"t1": F.xxhash64("body"), "t2": F.xxhash64(F.lit(1), F.col("body"))}
     )
 
@@ -506,3 +506,18 @@ def kept_bytes(whole_characters: bool = False):
         ),
     )
     return F.aggregate(parts, F.lit(b"").cast("binary"), lambda done, part: F.concat(done, part))
+
+
+def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """``docs`` with repeated strings cut out of text; n_chars, if there, counts what is left.
+
+    A character of which only a part is cut goes as a whole, so that texts stay valid.
+    """
+    cut = cut_repeats(docs, length).withColumn("_cut", F.size("begins") > 0)
+    row, left = F.col("_row"), F.decode(kept_bytes(whole_characters=True), "UTF-8")
+    row = row.withField("text", F.when(F.col("_cut"), left).otherwise(row["text"]))
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        count = F.when(F.col("_cut"), F.char_length(left).cast(kind)).otherwise(row["n_chars"])
+        row = row.withField("n_chars", count)
+    return cut.select(row.alias("_row")).select("_row.*")
