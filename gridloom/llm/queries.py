@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hnsw, langid, licenses, mixing, pieces, quality, sharding, simhash, suffix
+from . import hnsw, katz, langid, licenses, mixing, pieces, quality, sharding, simhash, suffix
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -100,6 +100,12 @@ def op3_encode_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_digests(pieces.decode_documents(encoded, model))
 
 
+@query
+def op4_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores, _ = katz.score_documents(documents(spark, sf_dir))
+    return scores
+
+
 @query
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     size = F.octet_length("body").cast("bigint")
