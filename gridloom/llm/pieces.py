@@ -31,8 +31,10 @@ SPACE = "▁"
 #: Kinds of piece in a model file.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, BYTE, UNUSED = 1, 2, 3, 4, 6, 5
 #: Parts remembered per task, and the longest part that is remembered.
-MEMORY_PARTS = 300_000
+MEMORY_PARTS = 500_000
 MEMORY_LETTERS = 48
+#: Bits of a piece code below its id: the characters that the piece closes.
+WIDTH_BITS = 24
 
 
 def wire_fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -195,6 +197,22 @@ class Normalizer:
         return "".join(out), begins, ends
 
 
+class _Memory(dict):
+    """Results of ``make`` by text; emptied when full, and without those of long texts."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, part: str) -> bytes:
+        made = self.make(part)
+        if len(part) <= MEMORY_LETTERS:
+            if len(self) >= MEMORY_PARTS:
+                self.clear()
+            self[part] = made
+        return made
+
+
 class Encoder:
     """Pieces of normalised text by merging neighbours in the order of their scores."""
 
@@ -219,7 +237,7 @@ class Encoder:
         within = any(pair[1] == SPACE != pair[0] for pair in self.pairs)
         self.part = re.compile("(?s).+" if within else f"(?s){edge}+{rest}*|{rest}+|.")
         self.rank = {p: -model.scores[i] for p, i in self.ids.items()}
-        self.known: dict[str, tuple[tuple[int, ...], tuple[int, ...]]] = {}
+        self.known = _Memory(self.pieces)
         self.merged: dict[str, list[str]] = {}
 
     def cut(self, part: str) -> list[str]:
@@ -288,39 +306,27 @@ class Encoder:
                 offer(before[left], left)
         return [s for s in symbols if s is not None]
 
-    def pieces(self, part: str) -> tuple[tuple[int, ...], tuple[int, ...]]:
-        """Ids of one part, and for each the characters from its start on that it closes.
+    def pieces(self, part: str) -> bytes:
+        """Codes of one part's pieces: the id, and the characters from its start on that it closes.
 
         The byte pieces of a character close nothing but the last, which closes the character.
         """
-        found = self.known.get(part)
-        if found is not None:
-            return found
-        ids: list[int] = []
-        widths: list[int] = []
+        codes: list[int] = []
         for symbol in chain.from_iterable(map(self.symbols, self.cut(part))):
             at = self.ids.get(symbol)
             if at is not None and self.model.kinds[at] != UNUSED:
-                ids.append(at)
-                widths.append(len(symbol))
+                codes.append(at << WIDTH_BITS | len(symbol))
             elif self.model.byte_fallback:
-                octets = symbol.encode()
-                ids.extend(self.bytes_of[o] for o in octets)
-                widths.extend([0] * (len(octets) - 1) + [len(symbol)])
+                codes.extend(self.bytes_of[o] << WIDTH_BITS for o in symbol.encode())
+                codes[-1] |= len(symbol)
             else:
-                ids.append(self.unknown)
-                widths.append(len(symbol))
-        found = tuple(ids), tuple(widths)
-        if len(part) <= MEMORY_LETTERS:
-            if len(self.known) >= MEMORY_PARTS:
-                self.known.clear()
-            self.known[part] = found
-        return found
+                codes.append(self.unknown << WIDTH_BITS | len(symbol))
+        return struct.pack(f"<{len(codes)}q", *codes)
 
-    def encode(self, text: str) -> tuple[list[int], np.ndarray, np.ndarray]:
+    def encode(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids and the begin and end of each piece in the UTF-8 bytes of ``text``."""
         if not text:
-            return [], np.zeros(0, np.int32), np.zeros(0, np.int32)
+            return (np.zeros(0, np.int32),) * 3
         if self.normalize.plain:
             prefix = " " if self.model.dummy_prefix else ""
             normal = (prefix + text).replace(" ", SPACE) if self.model.escape_spaces else prefix + text
@@ -331,12 +337,10 @@ class Encoder:
         else:
             normal, begins, ends = self.normalize(text)
             begin, end = np.array(begins, np.int64), np.array(ends, np.int64)
-        known, pieces = self.known.get, self.pieces
-        parts = [known(p) or pieces(p) for p in self.part.findall(normal)]
-        ids = list(chain.from_iterable([p[0] for p in parts]))
-        widths = np.fromiter(chain.from_iterable([p[1] for p in parts]), np.int64, len(ids))
-        if not ids:
-            return [], np.zeros(0, np.int32), np.zeros(0, np.int32)
+        codes = np.frombuffer(b"".join(map(self.known.__getitem__, self.part.findall(normal))), "<i8")
+        if not len(codes):
+            return (np.zeros(0, np.int32),) * 3
+        ids, widths = codes >> WIDTH_BITS, codes & ((1 << WIDTH_BITS) - 1)
         last = np.cumsum(widths)  # characters closed so far
         first = last - widths
         opened = first[widths > 0]
@@ -344,7 +348,7 @@ class Encoder:
         owner = np.cumsum(widths > 0) - (widths > 0)
         from_ = opened[owner]
         to = (last[widths > 0])[owner]
-        return ids, begin[from_].astype(np.int32), end[to - 1].astype(np.int32)
+        return ids.astype(np.int32), begin[from_].astype(np.int32), end[to - 1].astype(np.int32)
 
 
 class Decoder:
@@ -423,7 +427,7 @@ def encode_documents(docs: DataFrame, model_data: bytes) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [
                     part.column("doc_id"),
-                    _lists([np.array(f[0], np.int32) for f in found]),
+                    _lists([f[0] for f in found]),
                     _lists([f[1] for f in found]),
                     _lists([f[2] for f in found]),
                 ],
