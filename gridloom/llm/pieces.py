@@ -18,7 +18,6 @@ import re
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -237,8 +236,8 @@ class Encoder:
         within = any(pair[1] == SPACE != pair[0] for pair in self.pairs)
         self.part = re.compile("(?s).+" if within else f"(?s){edge}+{rest}*|{rest}+|.")
         self.rank = {p: -model.scores[i] for p, i in self.ids.items()}
-        self.known = _Memory(self.pieces)
-        self.merged: dict[str, list[str]] = {}
+        self.short = _Memory(self.codes)
+        self.known = _Memory(lambda part: b"".join(map(self.short.__getitem__, self.cut(part))))
 
     def cut(self, part: str) -> list[str]:
         """``part`` cut between neighbours that no piece holds side by side."""
@@ -252,9 +251,6 @@ class Encoder:
 
     def symbols(self, part: str) -> list[str]:
         """Symbols left when no two neighbours form a piece; best score first, then leftmost."""
-        found = self.merged.get(part)
-        if found is not None:
-            return found
         if len(part) > MEMORY_LETTERS:
             return self.merge(part)
         rank, out = self.rank.get, list(part)
@@ -271,9 +267,6 @@ class Encoder:
                 ranks[at] = rank(out[at] + out[at + 1], none)
             if at:
                 ranks[at - 1] = rank(out[at - 1] + out[at], none)
-        if len(self.merged) >= MEMORY_PARTS:
-            self.merged.clear()
-        self.merged[part] = out
         return out
 
     def merge(self, part: str) -> list[str]:
@@ -306,13 +299,13 @@ class Encoder:
                 offer(before[left], left)
         return [s for s in symbols if s is not None]
 
-    def pieces(self, part: str) -> bytes:
-        """Codes of one part's pieces: the id, and the characters from its start on that it closes.
+    def codes(self, part: str) -> bytes:
+        """Codes of a part's pieces: the id, and the characters from its start on that it closes.
 
         The byte pieces of a character close nothing but the last, which closes the character.
         """
         codes: list[int] = []
-        for symbol in chain.from_iterable(map(self.symbols, self.cut(part))):
+        for symbol in self.symbols(part):
             at = self.ids.get(symbol)
             if at is not None and self.model.kinds[at] != UNUSED:
                 codes.append(at << WIDTH_BITS | len(symbol))
