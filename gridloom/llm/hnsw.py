@@ -186,7 +186,7 @@ def _search(count: int):
     def work(graphs: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         columns = [c.split()[0] for c in FOUND_COLUMNS.split(", ")]
         if not len(graphs) or not len(queries):
-            return pd.DataFrame({c: [] for c in columns}, columns=columns)
+            return pd.DataFrame(columns=columns, dtype=object)
         graphs = graphs.sort_values("level")
         base = graphs.iloc[0]
         levels = np.asarray(base["levels"], np.int64)
