@@ -33,8 +33,8 @@ from pyspark.sql import functions as F
 from ..session import settle
 from .text import utf8
 
-BLOCK_TOKENS = 2_000_000
-PART_ENTRIES = 1_000_000
+BLOCK_TOKENS = 500_000
+PART_ENTRIES = 500_000
 #: Counts above this are not discounted; pairs below LEAST_PAIR count as unseen.
 MOST_DISCOUNTED = 5
 LEAST_PAIR = 2
