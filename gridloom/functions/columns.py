@@ -23,7 +23,25 @@ def finite(value: str | Column) -> Column:
 
 
 def positive_part(value: str | Column) -> Column:
-    return F.greatest(col(value), F.lit(0.0))
+    """max(value, 0); null and NaN stay what they are."""
+    value = col(value)
+    return F.when(value > 0, value).when(value <= 0, F.lit(0.0))
+
+
+def clip(value: Column, lower: Column, upper: Column) -> Column:
+    """``value`` inside its bounds; null and NaN stay what they are."""
+    return (
+        F.when(F.isnan(value), value)
+        .when(value < lower, lower)
+        .when(value > upper, upper)
+        .otherwise(value)
+    )
+
+
+def whole_sum(value: str | Column) -> Column:
+    """Sum of a group that is null as soon as one of its values is."""
+    value = col(value)
+    return F.when(F.count_if(value.isNull()) == 0, F.sum(value))
 
 
 def reason_list(pairs: Iterable[tuple[str, Column]]) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import EPS, positive_part
+from ..functions.columns import EPS, clip, positive_part
 from ..session import settle
 
 ROW = ["case_id", "block", "row"]
@@ -97,10 +97,6 @@ def dot(
     )
 
 
-def clip(value: Column, lower: Column, upper: Column) -> Column:
-    return F.least(F.greatest(value, lower), upper)
-
-
 def dual_projection(value: Column, block: Column) -> Column:
     """Inequality multipliers are non-negative; equality multipliers are free."""
     return F.when(block == "A2", positive_part(value)).otherwise(value)

@@ -13,10 +13,10 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import EPS, positive_part, reason_list
+from ..functions.columns import EPS, clip, positive_part, reason_list
 from ..functions.ordered import BLOCK, previous
 from ..session import release, settle
-from .algebra import COL, ROW, clip, residual_summary, spmv, spmv_t
+from .algebra import COL, ROW, residual_summary, spmv, spmv_t
 
 Solver = Callable[[DataFrame], DataFrame]
 

@@ -1,7 +1,9 @@
 """Dispatch tables against every physical constraint family.
 
 Violations share one shape: ``(case_id, family, side, period, element, value)`` with value
-0 where the constraint holds, so that counts of checks and maxima come from one table.
+0 where the constraint holds, so that counts of checks and maxima come from one table.  A value
+that cannot be computed is null, and dispatch of a device that is not listed has the side
+``unknown_device`` and an infinite value: neither passes.
 """
 
 from __future__ import annotations
@@ -9,21 +11,27 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import finite, positive_part
+from ..functions.columns import INF, finite, positive_part, whole_sum
 from ..functions.ordered import BLOCK, running_sum
 from .algebra import COL, row_activity
 
 SHAPE = ["case_id", "family", "side", "period", "element", "value"]
 DEVICE = ["case_id", "pos"]
+#: Set by the joins below where the device of a row is listed.
+LISTED = "_listed"
 
 
 def _unfold(
     df: DataFrame, family: str, element: Column, sides: dict[str, Column], period: Column | None = None
 ) -> DataFrame:
     period = F.col("period") if period is None else period
-    packed = F.array(
-        *[F.struct(F.lit(s).alias("side"), v.cast("double").alias("value")) for s, v in sides.items()]
+    side = lambda name, value: F.struct(
+        F.lit(name).alias("side"), value.cast("double").alias("value")
     )
+    packed = F.array(*[side(s, v) for s, v in sides.items()])
+    if LISTED in df.columns:
+        unknown = F.array(side("unknown_device", F.lit(INF)))
+        packed = F.when(F.col(LISTED).isNotNull(), packed).otherwise(unknown)
     out = df.select(
         "case_id",
         F.lit(family).alias("family"),
@@ -41,20 +49,32 @@ def violation_power_balance(supply: list[tuple[DataFrame, str, float]], load: Da
         terms = terms.unionByName(
             df.select("case_id", "period", (F.lit(sign) * F.col(value)).alias("mw"))
         )
-    sums = terms.groupBy("case_id", "period").agg(F.sum("mw").alias("mw"))
+    sums = terms.groupBy("case_id", "period").agg(whole_sum("mw").alias("mw"))
     return _unfold(sums, "power_balance", F.lit(0), {"equality": F.abs("mw")})
 
 
 def violation_line_flow(flow: DataFrame, branch: DataFrame) -> DataFrame:
     """|flow| above the rate of limited active branches."""
-    limited = branch.where(F.col("status") & (F.col("rate_mw") > 0) & (F.col("rate_mw") < 1e10))
-    joined = flow.join(limited.select("case_id", "branch_id", "rate_mw"), ["case_id", "branch_id"])
+    limited = F.col("status") & (F.col("rate_mw") > 0) & (F.col("rate_mw") < 1e10)
+    rates = branch.withColumn("_limited", F.coalesce(limited, F.lit(False)))
+    joined = _with(flow, rates, "rate_mw", "_limited", keys=["case_id", "branch_id"])
+    joined = joined.where(F.col(LISTED).isNull() | F.col("_limited"))
     over = positive_part(F.abs("mw") - F.col("rate_mw"))
     return _unfold(joined, "line_flow", F.col("branch_id"), {"magnitude": over})
 
 
-def _with(dispatch: DataFrame, device: DataFrame, *cols: str) -> DataFrame:
-    return dispatch.join(device.select(*DEVICE, *cols), DEVICE)
+def _with(dispatch: DataFrame, device: DataFrame, *cols: str, keys: list[str] = DEVICE) -> DataFrame:
+    """Dispatch rows beside their device; those of an unknown device stay, unlisted."""
+    known = device.select(*keys, *cols, F.lit(True).alias(LISTED))
+    return dispatch.join(known, keys, "left")
+
+
+def missing_dispatch(device: DataFrame, dispatch: DataFrame, family: str, keys: list[str] = DEVICE) -> DataFrame:
+    """Listed devices (with ``period`` in ``keys``: device periods) without a dispatch row."""
+    absent = device.select(*keys).distinct().join(dispatch.select(*keys).distinct(), keys, "left_anti")
+    period = F.col("period") if "period" in keys else F.lit(None)
+    element = F.col("pos") if "pos" in keys else F.lit(0)
+    return _unfold(absent, family, element, {"missing_dispatch": F.lit(INF)}, period)
 
 
 def violation_generator_bounds(dispatch: DataFrame, gen: DataFrame) -> DataFrame:
@@ -99,9 +119,10 @@ def violation_headroom(dispatch: DataFrame, gen: DataFrame) -> DataFrame:
 
 
 def violation_reserve_requirement(dispatch: DataFrame, profile: DataFrame) -> DataFrame:
-    """Requirement minus the reserve held; a period without any dispatch holds none."""
+    """Requirement minus the reserve held; a period without any dispatch holds none, and one
+    without a requirement cannot be checked (null)."""
     held = dispatch.select(
-        "case_id", "period", "r_up", "r_down", F.lit(None).cast("double").alias("u"),
+        "case_id", "period", F.col("r_up"), F.col("r_down"), F.lit(None).cast("double").alias("u"),
         F.lit(None).cast("double").alias("d"),
     ).unionByName(
         profile.select(
@@ -110,8 +131,9 @@ def violation_reserve_requirement(dispatch: DataFrame, profile: DataFrame) -> Da
         )
     )
     sums = held.groupBy("case_id", "period").agg(
-        F.sum("r_up").alias("r_up"), F.sum("r_down").alias("r_down"), F.max("u").alias("u"), F.max("d").alias("d")
-    ).where(F.col("u").isNotNull())
+        whole_sum("r_up").alias("r_up"), whole_sum("r_down").alias("r_down"),
+        F.max("u").alias("u"), F.max("d").alias("d"),
+    )
     return _unfold(
         sums,
         "reserve_requirements",
@@ -128,13 +150,20 @@ def violation_ramp(dispatch: DataFrame, gen: DataFrame, dt: float = 1.0) -> Data
     """
     none = F.lit(None).cast("double")
     keys = [*DEVICE, "period"]
-    sent = dispatch.select(*keys, F.col("p_g").alias("now"), none.alias("before")).unionByName(
+    yes, no = F.lit(True), F.lit(None).cast("boolean")
+    sent = dispatch.select(
+        *keys, F.col("p_g").alias("now"), none.alias("before"), yes.alias("_now"), no.alias("_before")
+    ).unionByName(
         dispatch.select(
-            *DEVICE, (F.col("period") + 1).alias("period"), none.alias("now"), F.col("p_g").alias("before")
+            *DEVICE, (F.col("period") + 1).alias("period"), none.alias("now"),
+            F.col("p_g").alias("before"), no.alias("_now"), yes.alias("_before"),
         )
     )
-    paired = sent.groupBy(*keys).agg(F.max("now").alias("now"), F.max("before").alias("before"))
-    paired = paired.where(F.col("now").isNotNull() & F.col("before").isNotNull())
+    paired = sent.groupBy(*keys).agg(
+        F.max("now").alias("now"), F.max("before").alias("before"),
+        F.max("_now").alias("_now"), F.max("_before").alias("_before"),
+    )
+    paired = paired.where(F.col("_now") & F.col("_before"))
     change = F.col("now") - F.col("before")
     return _unfold(
         _with(paired, gen, "ramp_up", "ramp_down"),
@@ -149,7 +178,7 @@ def violation_ramp(dispatch: DataFrame, gen: DataFrame, dt: float = 1.0) -> Data
 
 def violation_renewable(output: DataFrame, renewable: DataFrame) -> DataFrame:
     keys = [*DEVICE, "period"]
-    both = output.join(renewable.select(*keys, "min_mw", "max_mw"), keys)
+    both = _with(output, renewable, "min_mw", "max_mw", keys=keys)
     return _unfold(
         both,
         "renewable_bounds",
@@ -207,7 +236,9 @@ def violation_storage_energy(path: DataFrame, storage: DataFrame) -> DataFrame:
 
 def violation_storage_terminal(dispatch: DataFrame, storage: DataFrame, dt: float = 1.0) -> DataFrame:
     both = _with(dispatch, storage, "charge_eff", "discharge_eff")
-    sums = both.groupBy(*DEVICE).agg(F.sum(_energy_change(dt)).alias("moved"))
+    sums = both.groupBy(*DEVICE).agg(
+        whole_sum(_energy_change(dt)).alias("moved"), F.max(LISTED).alias(LISTED)
+    )
     return _unfold(
         sums, "storage_terminal_energy", F.col("pos"), {"equality": F.abs("moved")}, F.lit(None)
     )
@@ -228,7 +259,7 @@ def violation_canonical(
         F.col("row").alias("element"),
         F.when(equal, F.abs(gap)).otherwise(positive_part(-gap)).alias("value"),
     )
-    box = state_col.join(col_vec.select(*COL, "lower", "upper"), COL)
+    box = state_col.join(col_vec.select(*COL, "lower", "upper"), COL, "full_outer")
     outside = positive_part(F.col("lower") - F.col("x")) + positive_part(F.col("x") - F.col("upper"))
     return rows.unionByName(
         _unfold(box, "canonical_box", F.col("col"), {"box": outside}, F.lit(None))
@@ -240,12 +271,30 @@ STRICT_TOLERANCE = 1e-7
 CANDIDATE_TOLERANCE = 0.01
 
 
-def family_summary(violation: DataFrame, tolerance: float = STRICT_TOLERANCE) -> DataFrame:
-    largest = F.coalesce(F.max("value"), F.lit(0.0))
-    return violation.groupBy("case_id", "family").agg(
-        F.count("*").alias("checks"), largest.alias("max_violation")
-    ).withColumn("tolerance", F.lit(tolerance)).withColumn(
-        "passed", finite("max_violation") & (F.col("max_violation") <= tolerance)
+def family_summary(
+    violation: DataFrame, tolerance: float = STRICT_TOLERANCE, expected: DataFrame | None = None
+) -> DataFrame:
+    """Checks, largest violation and verdict per case and family.
+
+    A family with a value that is null, NaN or infinite fails; its maximum is null if a value is
+    unknown.  ``expected`` (case_id, family) lists families that must appear: one without any row
+    has 0 checks and fails.
+    """
+    rows = violation.select("case_id", "family", "value", F.lit(1).alias("_row"))
+    if expected is not None:
+        rows = rows.unionByName(
+            expected.select("case_id", "family", F.lit(None).cast("double").alias("value"), F.lit(0).alias("_row"))
+        )
+    unknown = F.count_if((F.col("_row") == 1) & (F.col("value").isNull() | F.isnan("value")))
+    found = rows.groupBy("case_id", "family").agg(
+        F.sum("_row").alias("checks"),
+        F.when(unknown == 0, F.max("value")).alias("max_violation"),
+    )
+    return found.withColumn("tolerance", F.lit(tolerance)).withColumn(
+        "passed",
+        (F.col("checks") > 0)
+        & finite("max_violation")
+        & F.coalesce(F.col("max_violation") <= tolerance, F.lit(False)),
     )
 
 
@@ -259,12 +308,13 @@ def direct_objective(
     renewable_penalty: float = 1.0,
     storage_penalty: float = 1.0,
 ) -> DataFrame:
-    """Cost per case from the devices: generation, spilled output and storage losses."""
+    """Cost per case from the devices: generation, spilled output and storage losses; null if a
+    value is unknown or a row's device is not listed."""
     keys = [*DEVICE, "period"]
     parts = _with(gen_dispatch, gen, "slope", "constant").select(
         "case_id", (F.col("slope") * F.col("p_g") + F.col("constant")).alias("v")
     )
-    spill = output.join(renewable.select(*keys, "max_mw"), keys)
+    spill = _with(output, renewable, "max_mw", keys=keys)
     parts = parts.unionByName(
         spill.select(
             "case_id", (F.lit(renewable_penalty) * (F.col("max_mw") - F.col("output"))).alias("v")
@@ -275,7 +325,7 @@ def direct_objective(
     )
     stored = _with(storage_dispatch, storage, "charge_eff", "discharge_eff")
     parts = parts.unionByName(stored.select("case_id", (F.lit(storage_penalty) * loss).alias("v")))
-    return parts.groupBy("case_id").agg(F.sum("v").alias("direct_objective"))
+    return parts.groupBy("case_id").agg(whole_sum("v").alias("direct_objective"))
 
 
 def objective_difference(direct: DataFrame, canonical: DataFrame, limit: float = 1e-8) -> DataFrame:

@@ -49,6 +49,22 @@ def month_load(t):
     return months.select("case_id", "period", (F.col("r_up") * 2 + F.col("pos") % 3).alias("mw"))
 
 
+def stored(t):
+    """Dispatch of the storage devices."""
+    return t.months().join(t.storage().select("case_id", "pos"), ["case_id", "pos"], "left_semi")
+
+
+def generated(t):
+    """Dispatch of the generators."""
+    return t.months().join(gens(t).select("case_id", "pos"), ["case_id", "pos"], "left_semi")
+
+
+def produced(t):
+    """Output of the device periods that have a profile."""
+    keys = ["case_id", "pos", "period"]
+    return t.output().join(t.renewable().select(*keys), keys, "left_semi")
+
+
 @query(
     "violation_power_balance",
     f"""SELECT case_id, 'power_balance' AS family, 'equality' AS side, period, 0::BIGINT AS element,
@@ -80,20 +96,20 @@ def _(t):
 @query("violation_generator_bounds", _sql("generator_bounds", "gd", {
     "lower": "greatest(lower_mw - p_g, 0)", "upper": "greatest(p_g - upper_mw, 0)"}), DISPATCH)
 def _(t):
-    return out(p.violation_generator_bounds(t.months(), gens(t)))
+    return out(p.violation_generator_bounds(generated(t), gens(t)))
 
 
 @query("violation_reserve_bounds", _sql("reserve_bounds", "gd", {
     "up_lower": "greatest(-r_up, 0)", "up_upper": "greatest(r_up - ramp_up, 0)",
     "down_lower": "greatest(-r_down, 0)", "down_upper": "greatest(r_down - ramp_down, 0)"}), DISPATCH)
 def _(t):
-    return out(p.violation_reserve_bounds(t.months(), gens(t)))
+    return out(p.violation_reserve_bounds(generated(t), gens(t)))
 
 
 @query("violation_headroom", _sql("reserve_headroom_footroom", "gd", {
     "headroom": "greatest(p_g + r_up - upper_mw, 0)", "footroom": "greatest(lower_mw + r_down - p_g, 0)"}), DISPATCH)
 def _(t):
-    return out(p.violation_headroom(t.months(), gens(t)))
+    return out(p.violation_headroom(generated(t), gens(t)))
 
 
 @query(
@@ -114,7 +130,7 @@ RAMP = "(SELECT now.*, now.p_g - before.p_g AS ch FROM gd now JOIN b_months befo
 @query("violation_ramp", _sql("generator_ramping", RAMP, {
     "up": "greatest(ch - ramp_up, 0)", "down": "greatest(-ramp_down - ch, 0)"}), DISPATCH)
 def _(t):
-    return out(p.violation_ramp(t.months(), gens(t)))
+    return out(p.violation_ramp(generated(t), gens(t)))
 
 
 @query(
@@ -126,14 +142,14 @@ def _(t):
     "b_output b_renewable",
 )
 def _(t):
-    return out(p.violation_renewable(t.output(), t.renewable()), 6)
+    return out(p.violation_renewable(produced(t), t.renewable()), 6)
 
 
 @query("violation_storage_power", _sql("storage_power_bounds", "sd", {
     "discharge_lower": "greatest(-discharge, 0)", "discharge_upper": "greatest(discharge - max_discharge, 0)",
     "charge_lower": "greatest(-charge, 0)", "charge_upper": "greatest(charge - max_charge, 0)"}), DISPATCH)
 def _(t):
-    return out(p.violation_storage_power(t.months(), t.storage()))
+    return out(p.violation_storage_power(stored(t), t.storage()))
 
 
 PATH = """pt AS (SELECT *, initial_mwh + sum(charge_eff * charge - discharge / discharge_eff) OVER
@@ -142,14 +158,14 @@ PATH = """pt AS (SELECT *, initial_mwh + sum(charge_eff * charge - discharge / d
 
 @query("storage_energy_path", f"WITH {G}, {PATH} SELECT case_id, pos, period, {r('energy_mwh', 4)} AS energy_mwh FROM pt", DISPATCH)
 def _(t):
-    path = p.storage_energy_path(t.months(), t.storage(), block=16)
+    path = p.storage_energy_path(stored(t), t.storage(), block=16)
     return path.withColumn("energy_mwh", rounded("energy_mwh", 4))
 
 
 @query("violation_storage_energy", _sql("storage_energy_bounds", "(SELECT *, initial_mwh + sum(charge_eff * charge - discharge / discharge_eff) OVER (PARTITION BY case_id, pos ORDER BY period) AS e FROM sd)", {
     "lower": "greatest(min_mwh - e, 0)", "upper": "greatest(e - max_mwh, 0)"}), DISPATCH)
 def _(t):
-    return out(p.violation_storage_energy(p.storage_energy_path(t.months(), t.storage()), t.storage()))
+    return out(p.violation_storage_energy(p.storage_energy_path(stored(t), t.storage()), t.storage()))
 
 
 @query(
@@ -159,7 +175,7 @@ def _(t):
     DISPATCH,
 )
 def _(t):
-    return out(p.violation_storage_terminal(t.months(), t.storage()))
+    return out(p.violation_storage_terminal(stored(t), t.storage()))
 
 
 CANON = """ax AS (SELECT case_id, block, row, sum(value * x) AS ax FROM b_coo JOIN b_state_col USING (case_id, col) GROUP BY ALL),
@@ -188,6 +204,51 @@ def _(t):
     return found.withColumn("max_violation", rounded("max_violation", 4))
 
 
+@query(
+    "validate_nulls",
+    f"""WITH {G}, x AS (SELECT *, CASE WHEN pos % 7 = 3 AND period % 5 = 2 THEN NULL ELSE p_g END AS q FROM gd),
+      v AS (SELECT case_id, CASE WHEN q IS NULL THEN NULL ELSE greatest(lower_mw - q, 0) END AS v FROM x
+        UNION ALL SELECT case_id, CASE WHEN q IS NULL THEN NULL ELSE greatest(q - upper_mw, 0) END FROM x)
+      SELECT case_id, 'generator_bounds' AS family, count(*) AS checks,
+        CASE WHEN count(v) = count(*) THEN {r('max(v)', 4)} END AS max_violation, 1e6::DOUBLE AS tolerance,
+        count(v) = count(*) AND max(v) <= 1e6 AS passed FROM v GROUP BY 1""",
+    DISPATCH,
+)
+def _(t):
+    lost = (F.col("pos") % 7 == 3) & (F.col("period") % 5 == 2)
+    dispatch = generated(t).withColumn("p_g", F.when(~lost, F.col("p_g")))
+    found = p.family_summary(p.violation_generator_bounds(dispatch, gens(t)), 1e6)
+    return found.withColumn("max_violation", rounded("max_violation", 4))
+
+
+@query(
+    "validate_unknown_devices",
+    f"""WITH {G}, few AS (SELECT * FROM g WHERE pos % 3 <> 1), m AS (SELECT * FROM gd WHERE pos % 4 <> 2),
+      v AS (SELECT case_id, greatest(lower_mw - p_g, 0) AS v FROM m WHERE pos % 3 <> 1
+        UNION ALL SELECT case_id, greatest(p_g - upper_mw, 0) FROM m WHERE pos % 3 <> 1
+        UNION ALL SELECT case_id, 'infinity'::DOUBLE FROM m WHERE pos % 3 = 1
+        UNION ALL SELECT case_id, 'infinity'::DOUBLE FROM few WHERE (case_id, pos) NOT IN (SELECT (case_id, pos) FROM m)),
+      e AS (SELECT case_id, 'generator_bounds' AS family, count(*) AS checks, max(v) AS mv FROM v GROUP BY 1
+        UNION ALL SELECT DISTINCT case_id, 'no_such_family', 0, NULL FROM g)
+      SELECT case_id, family, checks, CASE WHEN isinf(mv) THEN mv ELSE {r('mv', 4)} END AS max_violation,
+        1e6::DOUBLE AS tolerance, coalesce(checks > 0 AND mv <= 1e6, false) AS passed FROM e""",
+    DISPATCH,
+)
+def _(t):
+    listed = gens(t).where(F.col("pos") % 3 != 1)
+    dispatch = generated(t).where(F.col("pos") % 4 != 2)
+    found = p.violation_generator_bounds(dispatch, listed).unionByName(
+        p.missing_dispatch(listed, dispatch, "generator_bounds")
+    )
+    cases = gens(t).select("case_id").distinct()
+    expected = cases.select("case_id", F.lit("generator_bounds").alias("family")).unionByName(
+        cases.select("case_id", F.lit("no_such_family").alias("family"))
+    )
+    summary = p.family_summary(found, 1e6, expected)
+    value = F.when(F.abs("max_violation") < float("inf"), rounded("max_violation", 4))
+    return summary.withColumn("max_violation", F.coalesce(value, "max_violation"))
+
+
 DIRECT = f"""{G}, v AS (SELECT case_id, slope * p_g + constant AS v FROM gd
     UNION ALL SELECT case_id, max_mw - output FROM b_output JOIN b_renewable USING (case_id, pos, period)
     UNION ALL SELECT case_id, discharge * (1 / discharge_eff - 1) + charge * (1 - charge_eff) FROM sd)"""
@@ -199,8 +260,7 @@ DIRECT = f"""{G}, v AS (SELECT case_id, slope * p_g + constant AS v FROM gd
     f"{DISPATCH} b_output b_renewable",
 )
 def _(t):
-    m = t.months()
-    found = p.direct_objective(m, gens(t), t.output(), t.renewable(), m, t.storage())
+    found = p.direct_objective(generated(t), gens(t), produced(t), t.renewable(), stored(t), t.storage())
     return found.withColumn("direct_objective", rounded("direct_objective", 3))
 
 
@@ -212,8 +272,7 @@ def _(t):
     f"{DISPATCH} b_output b_renewable",
 )
 def _(t):
-    m = t.months()
-    direct = p.direct_objective(m, gens(t), t.output(), t.renewable(), m, t.storage())
+    direct = p.direct_objective(generated(t), gens(t), produced(t), t.renewable(), stored(t), t.storage())
     other = t.read("lineitem").groupBy((F.col("l_suppkey") % 5).alias("case_id")).agg(F.sum("l_quantity").alias("objective"))
     found = p.objective_difference(direct, other, 1e6)
     return found.select("case_id", rounded("difference", 3).alias("difference"), "passed")
