@@ -87,91 +87,58 @@ def previous(
 
 
 def exact_quantiles(
-    df: DataFrame,
-    keys: Sequence[str],
-    value: str,
-    quantiles: dict[str, float],
-    largest_group: int = 1_000_000,
-    buckets: int = 500,
+    df: DataFrame, keys: Sequence[str], value: str, quantiles: dict[str, float]
 ) -> DataFrame:
-    """Exact quantiles with linear interpolation between order statistics.
+    """Exact quantiles with linear interpolation between order statistics; nulls do not count.
 
-    The built-in ``percentile`` keeps a group's values in one buffer, so it is used only
-    after a count shows that every group fits.  Otherwise a bounded sketch places bucket
-    borders, counts per bucket locate the two order statistics of each quantile, and only
-    the buckets that hold one are ranked.
+    Equal values are counted first.  The distinct values are range-partitioned by key and value,
+    so a hot key spans many tasks, and the counts of the partitions before give the ranks that a
+    value holds.  Each wanted order statistic then meets the one value whose ranks hold it.
+    NaN sorts above infinity.
     """
     keys = list(keys)
     source = df.select(*keys, F.col(value).cast("double").alias("_x")).where(F.col("_x").isNotNull())
-    biggest = source.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
-    if biggest <= largest_group:
-        return source.groupBy(*keys).agg(
-            *[F.percentile("_x", q).alias(n) for n, q in quantiles.items()]
-        )
-    return _ranked_quantiles(source, keys, quantiles, buckets)
-
-
-def _ranked_quantiles(
-    source: DataFrame, keys: list[str], quantiles: dict[str, float], buckets: int
-) -> DataFrame:
-    borders = source.groupBy(*keys).agg(
-        F.percentile_approx("_x", [i / buckets for i in range(1, buckets)], 10 * buckets).alias(
-            "_borders"
-        ),
-        F.count("*").alias("_n"),
-    )
     counted = source.groupBy(*keys, "_x").agg(F.count("*").alias("_m"))
-    placed = counted.join(borders.select(*keys, "_borders"), keys).select(
-        *keys,
-        "_x",
-        "_m",
-        F.size(F.filter("_borders", lambda b: b < F.col("_x"))).alias("_bucket"),
-    )
-    sizes = placed.groupBy(*keys, "_bucket").agg(F.sum("_m").alias("_size"))
-    upto = W.partitionBy(*keys).orderBy("_bucket")  # at most ``buckets`` rows per key
-    spans = sizes.withColumn("_stop", F.sum("_size").over(upto)).withColumn(
-        "_start", F.col("_stop") - F.col("_size")
+    order = [*[F.col(k) for k in keys], F.col("_x")]
+    placed = settle(
+        counted.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
     )
-    wanted = borders.select(
+    sums = placed.groupBy(*keys, "_part").agg(F.sum("_m").alias("_in"))
+    before = W.partitionBy(*keys).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    starts = sums.select(
         *keys,
-        F.explode(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(name).alias("name"),
-                        F.floor((F.col("_n") - 1) * F.lit(q)).alias("low"),
-                        F.ceil((F.col("_n") - 1) * F.lit(q)).alias("high"),
-                        ((F.col("_n") - 1) * F.lit(q)).alias("at"),
-                    )
-                    for name, q in quantiles.items()
-                ]
-            )
-        ).alias("w"),
-    ).select(*keys, "w.*")
-    ranks = wanted.select(
-        *keys, "name", "at", F.explode(F.array("low", "high")).alias("rank")
-    ).distinct()
-    located = ranks.join(spans, keys).where(
-        (F.col("rank") >= F.col("_start")) & (F.col("rank") < F.col("_stop"))
-    )
-    needed = located.select(*keys, "_bucket", "_start").distinct()
-    inside = W.partitionBy(*keys, "_bucket").orderBy("_x")
-    ordered = (
-        placed.join(needed, [*keys, "_bucket"])
-        .withColumn("_to", F.col("_start") + F.sum("_m").over(inside))
+        "_part",
+        F.coalesce(F.sum("_in").over(before), F.lit(0)).alias("_start"),
+        F.sum("_in").over(W.partitionBy(*keys)).alias("_n"),
+    )
+    inside = W.partitionBy(*keys, "_part").orderBy("_x")
+    ranked = (
+        placed.withColumn("_upto", F.sum("_m").over(inside))
+        .join(starts, [*keys, "_part"])
+        .withColumn("_to", F.col("_start") + F.col("_upto"))
         .withColumn("_from", F.col("_to") - F.col("_m"))
     )
-    hits = located.join(ordered.select(*keys, "_bucket", "_x", "_from", "_to"), [*keys, "_bucket"])
-    hits = hits.where((F.col("rank") >= F.col("_from")) & (F.col("rank") < F.col("_to")))
-    weight = F.col("at") - F.floor("at")
-    values = hits.groupBy(*keys, "name", "at").agg(
-        F.min_by("_x", "rank").alias("lo"), F.max_by("_x", "rank").alias("hi")
-    )
-    values = values.withColumn("v", F.col("lo") * (1 - weight) + F.col("hi") * weight)
-    return values.groupBy(*keys).agg(
-        *[F.max(F.when(F.col("name") == n, F.col("v"))).alias(n) for n in quantiles]
+
+    def at(q: float) -> Column:
+        return (F.col("_n") - 1) * F.lit(q)
+
+    def holding(rank: Column) -> Column:
+        held = (rank >= F.col("_from")) & (rank < F.col("_to"))
+        return F.max(F.when(held, F.col("_x")))
+
+    found = ranked.groupBy(*keys).agg(
+        F.max("_n").alias("_n"),
+        *[holding(F.floor(at(q))).alias(f"_lo_{n}") for n, q in quantiles.items()],
+        *[holding(F.ceil(at(q))).alias(f"_hi_{n}") for n, q in quantiles.items()],
     )
 
+    def between(name: str, q: float) -> Column:
+        low, high, weight = F.col(f"_lo_{name}"), F.col(f"_hi_{name}"), at(q) - F.floor(at(q))
+        same = (low == high) | (weight == 0)  # keeps infinity as it is
+        return F.when(same, low).otherwise(low * (1 - weight) + high * weight)
+
+    return found.select(*keys, *[between(n, q).alias(n) for n, q in quantiles.items()])
+
 
 def spread_sequence(
     df: DataFrame, count: Column, name: str, keys: Sequence[str], chunk: int = BLOCK

@@ -10,11 +10,9 @@ from pyspark.sql import functions as F
 from ..functions.columns import TINY, close, every, finite, scaled_gap
 from ..functions.ordered import exact_quantiles, position
 
-FULL_GROUP = 1_000_000
-
 
 def timing_statistics(
-    timing: DataFrame, runs: DataFrame, keys: Sequence[str] = ("run",), largest_group: int = FULL_GROUP
+    timing: DataFrame, runs: DataFrame, keys: Sequence[str] = ("run",)
 ) -> DataFrame:
     """Count, median, range, sample deviation and quartile range per run.
 
@@ -30,7 +28,7 @@ def timing_statistics(
         F.coalesce(F.stddev_samp(x), F.lit(0.0)).alias("standard_deviation_seconds"),
     )
     cuts = exact_quantiles(
-        timing, keys, "wall_seconds", {"_q1": 0.25, "median_seconds": 0.5, "_q3": 0.75}, largest_group
+        timing, keys, "wall_seconds", {"_q1": 0.25, "median_seconds": 0.5, "_q3": 0.75}
     )
     span = F.col("maximum_seconds") - F.col("minimum_seconds")
     joined = runs.select(*keys).join(basic, keys, "left").join(cuts, keys, "left")
@@ -49,13 +47,13 @@ def timing_statistics(
 
 
 def percentile_linear(
-    values: DataFrame, value: str, q: float, keys: Sequence[str], largest_group: int = FULL_GROUP
+    values: DataFrame, value: str, q: float, keys: Sequence[str]
 ) -> DataFrame:
-    return exact_quantiles(values, keys, value, {"percentile": q}, largest_group)
+    return exact_quantiles(values, keys, value, {"percentile": q})
 
 
 def timing_distribution(
-    timing: DataFrame, keys: Sequence[str] = ("run",), largest_group: int = FULL_GROUP
+    timing: DataFrame, keys: Sequence[str] = ("run",)
 ) -> DataFrame:
     """Quartiles, range and the median absolute deviation (a second pass over the median)."""
     keys = list(keys)
@@ -64,7 +62,6 @@ def timing_distribution(
         keys,
         "wall_seconds",
         {"first_quartile": 0.25, "median": 0.5, "third_quartile": 0.75},
-        largest_group,
     )
     spans = timing.groupBy(*keys).agg(
         F.min("wall_seconds").alias("minimum"), F.max("wall_seconds").alias("maximum")
@@ -72,7 +69,7 @@ def timing_distribution(
     away = timing.join(cuts.select(*keys, "median"), keys).withColumn(
         "_away", F.abs(F.col("wall_seconds") - F.col("median"))
     )
-    mad = exact_quantiles(away, keys, "_away", {"median_absolute_deviation": 0.5}, largest_group)
+    mad = exact_quantiles(away, keys, "_away", {"median_absolute_deviation": 0.5})
     return cuts.join(spans, keys).join(mad, keys)
 
 
@@ -147,15 +144,22 @@ MAXIMUM_SPREAD = 4.0
 
 
 def log_log_fit(points: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Line through log(seconds) over log(work), and the spread of seconds per work."""
-    positive = points.where((F.col("work") > 0) & (F.col("seconds") > 0))
-    x, y = F.log("work"), F.log("seconds")
-    rate = F.col("seconds") / F.col("work")
-    fit = positive.groupBy(*keys).agg(
-        F.regr_slope(y, x).alias("slope"),
-        F.regr_intercept(y, x).alias("intercept"),
-        F.coalesce(F.regr_r2(y, x), F.lit(1.0)).alias("r_squared"),
-        (F.max(rate) / F.min(rate)).alias("spread"),
+    """Line through log(seconds) over log(work), and the spread of seconds per work.
+
+    A group with a point that has no logarithm (null, NaN, infinite, zero or negative) is
+    rejected: its numbers are null, it does not pass, and ``bad_points`` counts such points.
+    """
+    good = finite("work") & finite("seconds") & (F.col("work") > 0) & (F.col("seconds") > 0)
+    x, y = F.when(good, F.ln("work")), F.when(good, F.ln("seconds"))
+    rate = F.when(good, F.col("seconds") / F.col("work"))
+    bad = F.count_if(~F.coalesce(good, F.lit(False)))
+    whole = lambda value: F.when(bad == 0, value)
+    fit = points.groupBy(*keys).agg(
+        whole(F.regr_slope(y, x)).alias("slope"),
+        whole(F.regr_intercept(y, x)).alias("intercept"),
+        whole(F.coalesce(F.regr_r2(y, x), F.lit(1.0))).alias("r_squared"),
+        whole(F.max(rate) / F.min(rate)).alias("spread"),
+        bad.alias("bad_points"),
     )
     passed = (
         F.col("slope").between(*SLOPE_RANGE)

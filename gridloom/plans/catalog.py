@@ -20,9 +20,7 @@ MODULES = (
     "annotation",
     "files",
 )
-import os as _os
-
-for _name in (_os.environ.get("GRIDLOOM_MODULES", "").split() or MODULES):
+for _name in MODULES:
     importlib.import_module(f".{_name}_queries", __package__)
 
 __all__ = ["ORACLES", "QUERIES"]

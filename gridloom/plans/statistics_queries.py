@@ -37,7 +37,7 @@ def _(t):
 @query("timing_statistics_spread", _stats_sql("true"), "b_timing")
 def _(t):
     """The same statistics by the path for runs too large for one buffer."""
-    return short(b.timing_statistics(t.timing(), runs(t), largest_group=0))
+    return short(b.timing_statistics(t.timing(), runs(t)))
 
 
 @query(
@@ -45,7 +45,7 @@ def _(t):
     f"SELECT event_type, {r('quantile_cont(value, 0.9)')} AS percentile FROM events GROUP BY 1",
 )
 def _(t):
-    found = b.percentile_linear(t.read("events"), "value", 0.9, ["event_type"], largest_group=100)
+    found = b.percentile_linear(t.read("events"), "value", 0.9, ["event_type"])
     return found.withColumn("percentile", rounded("percentile"))
 
 
@@ -130,6 +130,23 @@ def _(t):
     )
 
 
+@query(
+    "log_log_fit_rejected",
+    """SELECT l_linenumber AS phase, count(*) FILTER (l_quantity <= l_linenumber) AS bad_points,
+         count(*) FILTER (l_quantity <= l_linenumber) = 0 AS whole
+       FROM lineitem GROUP BY 1""",
+)
+def _(t):
+    """Some points have no logarithm: their groups are rejected and count them."""
+    points = t.read("lineitem").select(
+        F.col("l_linenumber").alias("phase"),
+        (F.col("l_quantity") - F.col("l_linenumber")).alias("work"),
+        F.col("l_extendedprice").alias("seconds"),
+    )
+    fit = b.log_log_fit(points, ["phase"])
+    return fit.select("phase", "bad_points", F.col("slope").isNotNull().alias("whole"))
+
+
 @query(
     "speedup",
     f"""WITH m AS (SELECT user_id AS phase, event_type AS backend, quantile_cont(value, 0.5) AS md FROM events GROUP BY ALL)

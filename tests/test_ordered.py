@@ -55,17 +55,28 @@ def test_sorted_position(data):
         assert [r.n for r in got] == list(range(1, len(want) + 1))
 
 
-@pytest.mark.parametrize("buckets", [2, 8, 500])
-def test_exact_quantiles_by_ranks(data, buckets):
+def test_exact_quantiles(data):
     rows, df = data
-    source = df.select("k", F.col("v").alias("_x"))
     cuts = {"lo": 0.0, "q": 0.3, "md": 0.5, "hi": 1.0}
-    got = {r.k: r for r in o._ranked_quantiles(source, ["k"], cuts, buckets).collect()}
+    got = {r.k: r for r in o.exact_quantiles(df, ["k"], "v", cuts).collect()}
     for key, group in by_key(rows).items():
         for name, q in cuts.items():
             assert got[key][name] == pytest.approx(np.percentile([r[2] for r in group], 100 * q))
 
 
+def test_exact_quantiles_of_odd_values(spark):
+    inf, nan = float("inf"), float("nan")
+    groups = {"inf": [1.0, 2.0, inf], "both": [-inf, 0.0, inf], "nan": [1.0, nan], "one": [5.0], "none": [None]}
+    df = spark.createDataFrame([(k, v) for k, vs in groups.items() for v in vs], "k string, v double")
+    got = {r.k: r for r in o.exact_quantiles(df, ["k"], "v", {"lo": 0.0, "md": 0.5, "hi": 1.0}).collect()}
+    assert (got["inf"].lo, got["inf"].md, got["inf"].hi) == (1.0, 2.0, inf)
+    assert (got["both"].lo, got["both"].md, got["both"].hi) == (-inf, 0.0, inf)
+    assert got["nan"].lo == 1.0 and np.isnan(got["nan"].md) and np.isnan(got["nan"].hi)
+    assert got["one"].md == 5.0 and "none" not in got
+    whole = o.exact_quantiles(df.where("k = 'inf'"), [], "v", {"md": 0.5}).first()
+    assert whole.md == 2.0
+
+
 def test_spread_sequence(spark):
     df = spark.createDataFrame([("a", 10), ("b", 0), ("c", 3)], "k string, n long")
     got = sorted((r.k, r.i) for r in o.spread_sequence(df, F.col("n"), "i", ["k"], chunk=4).collect())

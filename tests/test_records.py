@@ -34,18 +34,25 @@ def test_sigma_guards(table):
 def test_statistics_of_one_to_five(table):
     timing = table("run string, wall_seconds double", [("a", float(i)) for i in (3, 1, 5, 2, 4)] + [("one", 7.0)])
     runs = table("run string", [("a",), ("one",), ("none",)])
-    for limit in (1_000_000, 0):
-        got = {r.run: r for r in b.timing_statistics(timing, runs, largest_group=limit).collect()}
-        assert (got["a"].median_seconds, got["a"].interquartile_range_seconds) == (3.0, 2.0)
-        assert got["a"].standard_deviation_seconds == pytest.approx(math.sqrt(2.5))
-        assert got["one"].standard_deviation_seconds == 0.0
-        assert got["none"]["count"] == 0 and got["none"].median_seconds is None
+    got = {r.run: r for r in b.timing_statistics(timing, runs).collect()}
+    assert (got["a"].median_seconds, got["a"].interquartile_range_seconds) == (3.0, 2.0)
+    assert got["a"].standard_deviation_seconds == pytest.approx(math.sqrt(2.5))
+    assert got["one"].standard_deviation_seconds == 0.0
+    assert got["none"]["count"] == 0 and got["none"].median_seconds is None
     stats = b.timing_statistics(timing, runs)
     assert all(r.passed for r in b.audit_statistics(stats, stats).collect())
     wrong = stats.withColumn("median_seconds", F.col("median_seconds") + 1e-6)
     assert {r.run for r in b.audit_statistics(stats, wrong).collect() if not r.passed} == {"a", "one"}
 
 
+def test_log_log_fit_rejects_points_without_logarithm(table):
+    good = [("good", float(i), 2.0 * i) for i in range(1, 6)]
+    bad = [("bad", float(i), 2.0 * i) for i in range(1, 6)] + [("bad", 0.0, 1.0), ("bad", None, 1.0)]
+    got = {r.k: r for r in b.log_log_fit(table("k string, work double, seconds double", good + bad), ["k"]).collect()}
+    assert got["good"].passed and got["good"].bad_points == 0
+    assert not got["bad"].passed and got["bad"].bad_points == 2 and got["bad"].slope is None
+
+
 def test_measured_runs(table):
     steady = [("steady", i, True, 1.0) for i in range(1, 8)]
     wild = [("wild", i, True, float(i)) for i in range(1, 11)]
