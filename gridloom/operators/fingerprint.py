@@ -19,8 +19,8 @@ WORDS = 8
 
 
 def record_digest(cols: Sequence[str]) -> Column:
-    """SHA-256 of the record as JSON with sorted keys."""
-    return F.sha2(F.to_json(F.struct(*sorted(cols))), 256)
+    """SHA-256 of the record as JSON with sorted keys; a null field is written as null."""
+    return F.sha2(F.to_json(F.struct(*sorted(cols)), {"ignoreNullFields": "false"}), 256)
 
 
 def record_fingerprint(df: DataFrame, cols: Sequence[str], out: str = "digest") -> DataFrame:
@@ -28,10 +28,17 @@ def record_fingerprint(df: DataFrame, cols: Sequence[str], out: str = "digest")
 
 
 def _row_digest(cols: Sequence[str]) -> Column:
-    """SHA-256 of the row's values as text, in the order given; null is its own mark."""
-    return F.sha2(
-        F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("\\N")) for c in cols]), 256
-    )
+    """SHA-256 of the row's values as text, in the order given.
+
+    Every value is preceded by its length and null is the letter n, so that different rows have
+    different texts.
+    """
+
+    def written(name: str) -> Column:
+        text = F.col(name).cast("string")
+        return F.coalesce(F.concat(F.length(text), F.lit(":"), text), F.lit("n"))
+
+    return F.sha2(F.concat(*[written(c) for c in cols]), 256)
 
 
 def _sum_digest(digest: Column) -> Column:

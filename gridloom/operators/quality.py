@@ -153,16 +153,27 @@ def check_population(
 def contract_drift(
     actual: DataFrame, expected: DataFrame, keys: Sequence[str], value: str = "document"
 ) -> DataFrame:
-    """Differing or missing keys of two JSON objects, compared key by key as text."""
+    """Differing or missing keys of two JSON objects, compared key by key and by value.
+
+    Values are written back in one form (objects with sorted keys, decimals without trailing
+    zeros), and plain numbers are compared as numbers.  A key that holds null reads ``null``; an
+    absent key is a null column.
+    """
+    spark = actual.sparkSession
 
     def entries(df: DataFrame, name: str) -> DataFrame:
-        parsed = F.from_json(value, "map<string,string>")
-        return df.select(*keys, F.explode(parsed).alias("key", name))
+        parsed = df.select(*keys, F.try_parse_json(value).alias("_v"))
+        each = parsed.lateralJoin(spark.tvf.variant_explode(F.col("_v").outer()))
+        return each.select(*keys, F.col("key"), F.to_json("value").alias(name))
 
     pair = entries(actual, "actual").join(
         entries(expected, "expected"), [*keys, "key"], "full_outer"
     )
-    return pair.where(~F.col("actual").eqNullSafe(F.col("expected")))
+    number = lambda c: F.when(~F.col(c).startswith('"'), F.expr(f"try_cast({c} AS double)"))
+    same = F.col("actual").eqNullSafe(F.col("expected")) | F.coalesce(
+        number("actual") == number("expected"), F.lit(False)
+    )
+    return pair.where(~same)
 
 
 def reject_nonlinear_cost(gen: DataFrame) -> DataFrame:

@@ -331,8 +331,12 @@ def trajectory_comparison(
     )
 
 
+#: The only column of a log that two equal executions may differ in.
+ELAPSED = "iteration_loop_elapsed_seconds"
+
+
 def determinism_check(
-    a: DataFrame, b: DataFrame, keys: Sequence[str], ignore: Sequence[str] = ("elapsed",)
+    a: DataFrame, b: DataFrame, keys: Sequence[str], ignore: Sequence[str] = (ELAPSED,)
 ) -> DataFrame:
     """Rows that occur a different number of times in the two logs, elapsed time aside.
 
@@ -394,3 +398,8 @@ def policy_schedule(policy_event: DataFrame, keys: Sequence[str] = RUN) -> DataF
     return policy_event.select(
         *keys, "iteration", "inner_iteration", "restarted", "restart_reasons"
     )
+
+
+def policy_differences(a: DataFrame, b: DataFrame, keys: Sequence[str] = RUN) -> DataFrame:
+    """Per ``keys``: schedule rows of one execution that the other lacks, and the verdict."""
+    return determinism_check(policy_schedule(a), policy_schedule(b), keys, ignore=())

@@ -14,19 +14,27 @@ def _sum_sql(digest):
     return f"sha256(concat_ws('|', count(*)::VARCHAR, {words}))"
 
 
+def _written(*values):
+    """SQL twin of a row's text before it is digested."""
+    parts = [f"coalesce(length({v}::VARCHAR) || ':' || {v}::VARCHAR, 'n')" for v in values]
+    return f"sha256({' || '.join(parts)})"
+
+
 @query(
     "record_fingerprint",
-    """SELECT o_orderkey, sha256('{"o_custkey":' || o_custkey || ',"o_orderkey":' || o_orderkey || ',"o_orderstatus":"' || o_orderstatus || '"}') AS digest
-       FROM orders""",
+    """SELECT o_orderkey, sha256('{"o_custkey":' || o_custkey || ',"o_orderkey":' || o_orderkey || ',"o_orderstatus":'
+         || CASE WHEN o_orderkey % 3 = 0 THEN 'null' ELSE '"' || o_orderstatus || '"' END || '}') AS digest FROM orders""",
 )
 def _(t):
-    found = fp.record_fingerprint(t.read("orders"), ["o_orderstatus", "o_orderkey", "o_custkey"])
+    status = F.when(F.col("o_orderkey") % 3 != 0, F.col("o_orderstatus"))
+    orders = t.read("orders").withColumn("o_orderstatus", status)
+    found = fp.record_fingerprint(orders, ["o_orderstatus", "o_orderkey", "o_custkey"])
     return found.select("o_orderkey", "digest")
 
 
 @query(
     "table_fingerprint",
-    f"""WITH d AS (SELECT case_id, block, sha256(concat_ws('|', row::VARCHAR, col::VARCHAR, value::VARCHAR)) AS h FROM b_coo)
+    f"""WITH d AS (SELECT case_id, block, {_written('row', 'col', 'value')} AS h FROM b_coo)
         SELECT case_id, block, count(*) AS rows, {_sum_sql('h')} AS digest FROM d GROUP BY ALL""",
     "b_entry b_coo",
 )
@@ -36,11 +44,11 @@ def _(t):
 
 @query(
     "lp_fingerprint",
-    f"""WITH p AS (SELECT case_id, block AS part, row AS p, col::VARCHAR AS q, value AS v FROM b_coo
-          UNION ALL SELECT case_id, CASE block WHEN 'A1' THEN 'b1' ELSE 'b2' END, row, '\\N', b FROM b_row
-          UNION ALL SELECT case_id, 'c', col, '\\N', c FROM b_col UNION ALL SELECT case_id, 'lower', col, '\\N', lower FROM b_col
-          UNION ALL SELECT case_id, 'upper', col, '\\N', upper FROM b_col),
-        d AS (SELECT case_id, part, sha256(concat_ws('|', p::VARCHAR, q, v::VARCHAR)) AS h FROM p),
+    f"""WITH p AS (SELECT case_id, block AS part, row AS p, col AS q, value AS v FROM b_coo
+          UNION ALL SELECT case_id, CASE block WHEN 'A1' THEN 'b1' ELSE 'b2' END, row, NULL, b FROM b_row
+          UNION ALL SELECT case_id, 'c', col, NULL, c FROM b_col UNION ALL SELECT case_id, 'lower', col, NULL, lower FROM b_col
+          UNION ALL SELECT case_id, 'upper', col, NULL, upper FROM b_col),
+        d AS (SELECT case_id, part, {_written('p', 'q', 'v')} AS h FROM p),
         g AS (SELECT case_id, part, {_sum_sql('h')} AS digest FROM d GROUP BY ALL)
         SELECT case_id, sha256('{{' || string_agg('"' || part || '":"' || digest || '"', ',' ORDER BY part) || '}}') AS digest FROM g GROUP BY 1""",
     "b_entry b_coo b_row b_col",
@@ -52,20 +60,22 @@ def _(t):
 
 @query(
     "state_fingerprint",
-    f"""WITH s AS (SELECT case_id, 'x' AS name, x AS v FROM b_state_col UNION ALL SELECT case_id, 'z', z FROM b_state_col
-          UNION ALL SELECT case_id, 'y', y FROM b_state_row)
+    f"""WITH s AS (SELECT case_id, 'x' AS name, '' AS block, col AS place, x AS v FROM b_state_col
+          UNION ALL SELECT case_id, 'z', '', col, z FROM b_state_col
+          UNION ALL SELECT case_id, 'y', block, row, y FROM b_state_row),
+        d AS (SELECT *, {_written('block', 'place', 'v')} AS h FROM s)
         SELECT case_id, name, count(*) AS size, true AS finite, least(min(v), 0) AS minimum, greatest(max(v), 0) AS maximum,
-          {r('sqrt(sum(v * v))')} AS l2_norm FROM s GROUP BY ALL""",
+          {r('sqrt(sum(v * v))')} AS l2_norm, {_sum_sql('h')} AS digest FROM d GROUP BY case_id, name""",
     "b_state_col b_state_row",
 )
 def _(t):
     found = fp.state_fingerprint(t.state_col(), t.state_row())
-    return found.select("case_id", "name", "size", "finite", "minimum", "maximum", rounded("l2_norm").alias("l2_norm"))
+    return found.select("case_id", "name", "size", "finite", "minimum", "maximum", rounded("l2_norm").alias("l2_norm"), "digest")
 
 
 @query(
     "run_fingerprint",
-    f"""WITH d AS (SELECT source AS run, sha256(concat_ws('|', 'doc_' || doc_id, sha256(text))) AS h FROM documents),
+    f"""WITH d AS (SELECT source AS run, {_written("('doc_' || doc_id)", 'sha256(text)')} AS h FROM documents),
         g AS (SELECT run, {_sum_sql('h')} AS sources FROM d GROUP BY 1)
         SELECT run, sha256('{{"config_sha256":"' || sha256(run) || '","sources":"' || sources || '","versions":"v1"}}') AS run_fingerprint FROM g""",
 )

@@ -277,7 +277,9 @@ def _(t):
     "b_run_log",
 )
 def _(t):
-    return rl.determinism_check(t.run_log(), second_log(t), ["case_id"])
+    timed = {"elapsed": rl.ELAPSED}
+    first, second = (df.withColumnsRenamed(timed) for df in (t.run_log(), second_log(t)))
+    return rl.determinism_check(first, second, ["case_id"])
 
 
 @query(
@@ -321,3 +323,20 @@ def _(t):
 )
 def _(t):
     return rl.policy_schedule(policy(t))
+
+
+@query(
+    "policy_differences",
+    f"""WITH {POL}, x AS (SELECT "case", iteration, inner_iteration, restarted, restart_reasons, run, phase, 1 AS n FROM pe
+          UNION ALL SELECT "case", iteration, inner_iteration, CASE WHEN iteration % 11 = 5 THEN NOT restarted ELSE restarted END,
+            restart_reasons, run, phase, -1 FROM pe WHERE iteration % 9 <> 4),
+        d AS (SELECT * EXCLUDE (n), sum(n) AS n FROM x GROUP BY ALL)
+        SELECT "case", sum(greatest(n, 0))::BIGINT AS only_first, sum(greatest(-n, 0))::BIGINT AS only_second,
+          sum(abs(n)) = 0 AS identical FROM d GROUP BY 1""",
+)
+def _(t):
+    """A second execution lacks some events and restarts at others."""
+    first = policy(t)
+    flipped = F.when(F.col("iteration") % 11 == 5, ~F.col("restarted")).otherwise(F.col("restarted"))
+    second = first.where(F.col("iteration") % 9 != 4).withColumn("restarted", flipped)
+    return rl.policy_differences(first, second, ["case"])

@@ -60,9 +60,16 @@ def write_run_log(trajectory: DataFrame, policy_event: DataFrame, path: str) ->
     both.write.json(path, compression="gzip")
 
 
-def file_manifest(spark: SparkSession, paths: Paths) -> DataFrame:
-    """Path, size and SHA-256 of each file, one file per row."""
-    files = spark.read.format("binaryFile").load(paths)
+def content_manifest(files: DataFrame, content: str = "content") -> DataFrame:
+    """``path``, size and SHA-256 of each row's content."""
+    octets = F.col(content).cast("binary")
     return files.select(
-        "path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256")
+        "path",
+        F.octet_length(octets).cast("bigint").alias("bytes"),
+        F.sha2(octets, 256).alias("sha256"),
     )
+
+
+def file_manifest(spark: SparkSession, paths: Paths) -> DataFrame:
+    """Path, size and SHA-256 of each file, one file (of less than 2 GiB) per row."""
+    return content_manifest(spark.read.format("binaryFile").load(paths))
