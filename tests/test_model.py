@@ -74,8 +74,8 @@ def build(spark, table, text, config, case="k"):
     ("config", "sizes", "entries"),
     [(grids.BASE_CONFIG, (15, 1, 16), (5, 46)), (grids.TWO_PERIODS, (36, 3, 46), (20, 148))],
 )
-def test_case5_dimensions(spark, table, config, sizes, entries):
-    _, _, lp, *_ = model(spark, table, grids.CASE5, config)
+def test_ring_dimensions(spark, table, config, sizes, entries):
+    _, _, lp, *_ = model(spark, table, grids.RING5, config)
     check = asm.check_lp_dimensions(lp).first()
     assert check.passed and (check.n, check.m1, check.m2) == sizes
     nnz = lp.a.groupBy("block").count().orderBy("block").collect()
@@ -198,7 +198,7 @@ def test_published_dimensions(table):
 
 
 def fleet(spark, table):
-    _, setting, lp, *_ = model(spark, table, grids.CASE5, grids.TWO_PERIODS)
+    _, setting, lp, *_ = model(spark, table, grids.RING5, grids.TWO_PERIODS)
     if "fleet" not in BUILT:
         BUILT["fleet"] = it.Problem(settle(lp.a), settle(lp.row_vec), settle(lp.col_vec))
     return BUILT["fleet"], lp.dims, setting.storage

@@ -14,23 +14,23 @@ from gridloom.sources import casefiles, configs, tables
 from gridloom.streaming.runlog_stream import stream_run_log
 
 
-def test_case5(spark, tmp_path):
-    path = tmp_path / "case5.m"
-    path.write_text(grids.CASE5)
+def test_ring(spark, tmp_path):
+    path = tmp_path / "ring5.m"
+    path.write_text(grids.RING5)
     case = casefiles.read_case_text(spark, str(path))
     assert case.rejects.count() == 0
     bus = {r.bus_id: r for r in case.bus.collect()}
-    assert [bus[i].demand_mw for i in (1, 2, 3, 4, 5)] == [0, 300, 300, 400, 0]
+    assert [bus[i].demand_mw for i in (1, 2, 3, 4, 5)] == [60, 150, 210, 90, 30]
     assert bus[4].bus_type == 3 and len(bus) == 5
     gens = sorted(case.gen.collect(), key=lambda r: r.gen_pos)
-    assert [g.parameters[0] for g in gens] == [14, 15, 30, 40, 10]
-    assert [g.max_mw for g in gens] == [40, 170, 520, 200, 600]
+    assert [g.parameters[0] for g in gens] == [22, 18, 35, 27, 12]
+    assert [g.max_mw for g in gens] == [120, 160, 240, 300, 280]
     assert [g.generator_id for g in gens][0] == "gen_1" and gens[0].cost.model == 2
     branches = case.branch.collect()
-    assert sorted(b.rate_mw for b in branches if b.rate_mw > 0) == [240, 400]
+    assert sorted(b.rate_mw for b in branches if b.rate_mw > 0) == [180, 320]
     meta = case.case_meta.first()
-    assert (meta.name, meta.base_mva) == ("case5", 100.0)
-    assert meta.sha256 == hashlib.sha256(grids.CASE5.encode()).hexdigest()
+    assert (meta.name, meta.base_mva) == ("ring5", 100.0)
+    assert meta.sha256 == hashlib.sha256(grids.RING5.encode()).hexdigest()
     assert quality.check_single_reference(case.bus).count() == 0
 
 
@@ -38,20 +38,20 @@ def test_case5(spark, tmp_path):
     ("old", "new", "reason"),
     [
         ("mpc.baseMVA = 100;", "", "base_mva"),
-        ("\t5\t2\t0\t0", "\t5\t2\t0 ...\t0", "continuation"),
-        ("\t5\t2\t0\t0", "\t5\t2\tPd\t0", "nonnumeric"),
-        ("\t5\t2\t0\t0", "\t5.5\t2\t0\t0", "noninteger"),
-        ("\t5\t2\t0\t0", "\t5\t2\tInf\t0", "nonfinite"),
-        ("\t5\t2\t0\t0\t0\t0", "\t5\t2", "too_few_columns"),
+        ("\t5\t2\t30\t6", "\t5\t2\t30 ...\t6", "continuation"),
+        ("\t5\t2\t30\t6", "\t5\t2\tPd\t6", "nonnumeric"),
+        ("\t5\t2\t30\t6", "\t5.5\t2\t30\t6", "noninteger"),
+        ("\t5\t2\t30\t6", "\t5\t2\tInf\t6", "nonfinite"),
+        ("\t5\t2\t30\t6\t0\t0", "\t5\t2", "too_few_columns"),
         ("mpc.gencost", "mpc.costs", "missing_section"),
-        ("\t2\t0\t0\t2\t10\t0;", "", "gencost_count"),
-        ("\t2\t0\t0\t2\t10\t0;", "\t2\t0\t0\t3\t10\t0;", "parameter_count"),
-        ("\t2\t0\t0\t2\t10\t0;", "\t4\t0\t0\t2\t10\t0;", "unsupported_model"),
+        ("\t2\t0\t0\t2\t12\t0;", "", "gencost_count"),
+        ("\t2\t0\t0\t2\t12\t0;", "\t2\t0\t0\t3\t12\t0;", "parameter_count"),
+        ("\t2\t0\t0\t2\t12\t0;", "\t4\t0\t0\t2\t12\t0;", "unsupported_model"),
     ],
 )
 def test_case_rejects(table, old, new, reason):
-    text = grids.CASE5.replace(old, new)
-    assert text != grids.CASE5
+    text = grids.RING5.replace(old, new)
+    assert text != grids.RING5
     case = casefiles.parse_case_text(table("path string, value string", [("x/a.m", text)]))
     assert reason in {r.reason for r in case.rejects.collect()}
 
@@ -69,11 +69,11 @@ def test_configs(spark, tmp_path):
     (tmp_path / "broken.json").write_text('{"name": ')
     got = configs.read_operating_config(spark, str(tmp_path))
     assert got.config.count() == 2
-    assert sorted(r.multiplier for r in got.period_profile.collect()) == [0.9, 1.0, 1.0]
+    assert sorted(r.multiplier for r in got.period_profile.collect()) == [0.75, 1.0, 1.0]
     assert got.gen_ramp.count() == 10
-    assert sorted(r.max_mw for r in got.renewable_profile.collect()) == [80.0, 120.0]
+    assert sorted(r.max_mw for r in got.renewable_profile.collect()) == [45.0, 70.0]
     store = got.storage.first()
-    assert (store.initial_mwh, store.charge_eff, store.bus_id) == (100.0, 0.95, 3)
+    assert (store.initial_mwh, store.charge_eff, store.bus_id) == (60.0, 0.9, 1)
     assert quality.check_storage(got.storage).count() == 0
     why = {r.case_id.split("/")[-1]: set(r.reasons) for r in got.rejects.collect()}
     assert why["bad.json"] == {"load_multipliers", "unlabelled_extension"}
