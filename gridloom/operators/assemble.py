@@ -55,35 +55,23 @@ def coo_kron(pattern: str, device: DataFrame, periods: int, rows: int, cols: int
     """Kronecker product of a time pattern with a device matrix.
 
     ``ones`` is one row over all periods, ``difference`` takes period t minus t-1 for
-    t >= 1, ``lower`` sums the periods up to t.  The pattern is an expression per entry.
+    t >= 1, ``lower`` sums the periods up to t.  An entry unfolds by period first, so one row
+    never holds more than one period's cells.
     """
-    span = F.sequence(F.lit(0), F.lit(periods - 1))
+    t = F.col("_t")
+    cell = lambda r, c, w: F.struct(r.alias("r"), c.alias("c"), F.lit(w).alias("w"))
     if pattern == "ones":
-        cells = F.transform(span, lambda t: F.struct(F.lit(0).alias("r"), t.alias("c"), F.lit(1.0).alias("w")))
+        first, cells = 0, F.array(cell(F.lit(0), t, 1.0))
     elif pattern == "difference":
-        later = F.filter(span, lambda t: t >= 1)
-        cells = F.flatten(
-            F.transform(
-                later,
-                lambda t: F.array(
-                    F.struct((t - 1).alias("r"), t.alias("c"), F.lit(1.0).alias("w")),
-                    F.struct((t - 1).alias("r"), (t - 1).alias("c"), F.lit(-1.0).alias("w")),
-                ),
-            )
-        )
+        first, cells = 1, F.array(cell(t - 1, t, 1.0), cell(t - 1, t - 1, -1.0))
     elif pattern == "lower":
-        cells = F.flatten(
-            F.transform(
-                span,
-                lambda t: F.transform(
-                    F.sequence(F.lit(0), t),
-                    lambda s: F.struct(t.alias("r"), s.alias("c"), F.lit(1.0).alias("w")),
-                ),
-            )
-        )
+        first = 0
+        cells = F.transform(F.sequence(F.lit(0), t), lambda s: cell(t, s, 1.0))
     else:
         raise ValueError(f"unknown time pattern {pattern!r}")
-    return device.select("*", F.explode(cells).alias("_k")).select(
+    times = F.array(*[]) if periods <= first else F.sequence(F.lit(first), F.lit(periods - 1))
+    unfolded_rows = device.select("*", F.explode(times.cast("array<int>")).alias("_t"))
+    return unfolded_rows.select("*", F.explode(cells).alias("_k")).select(
         "case_id",
         "block",
         (F.col("_k.r") * F.lit(rows) + F.col("row")).alias("row"),

@@ -213,11 +213,23 @@ def text_coverage(document: DataFrame, phrase: DataFrame) -> DataFrame:
     """Required subjects of a document of which no wording occurs in its whole text.
 
     ``document(doc_id, text)`` and ``phrase(doc_id, subject, wording)``: a subject names
-    its document, so texts meet only their own wordings.
+    its document, so a text meets only its own wordings, all beside one copy of it.
     """
-    pair = phrase.join(document.select("doc_id", "text"), "doc_id", "left")
-    found = F.coalesce(F.contains(F.lower("text"), F.lower("wording")), F.lit(False))
-    present = pair.groupBy("doc_id", "subject").agg(F.max(found).alias("present"))
+    asked = phrase.groupBy("doc_id").agg(
+        F.collect_set(F.struct("subject", F.lower("wording").alias("wording"))).alias("_asked")
+    )
+    beside_text = asked.join(document.select("doc_id", F.lower("text").alias("_low")), "doc_id", "left")
+    checks = F.transform(
+        "_asked",
+        lambda a: F.struct(
+            a["subject"].alias("subject"),
+            F.coalesce(F.contains(F.col("_low"), a["wording"]), F.lit(False)).alias("found"),
+        ),
+    )
+    found = beside_text.select("doc_id", checks.alias("_c")).select("doc_id", F.explode("_c").alias("_c"))
+    present = found.groupBy("doc_id", F.col("_c.subject").alias("subject")).agg(
+        F.max("_c.found").alias("present")
+    )
     return present.where(~F.col("present")).select("doc_id", "subject")
 
 

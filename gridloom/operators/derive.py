@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import count_if, near_zero
 from ..functions.ordered import BLOCK, spread_sequence
-from ..session import beside, unfolded
+from ..session import beside, settle, unfolded
 
 # The order of the variable blocks.
 KINDS = ("p_g", "p_rg", "p_ess_dc", "p_ess_ch", "r_up", "r_down")
@@ -185,7 +185,7 @@ def expand_load(bus: DataFrame, dims: DataFrame, profile: DataFrame) -> DataFram
         "period", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("periods") - 1))
     )
     return long.join(
-        beside(profile.select("case_id", "period", "multiplier")), ["case_id", "period"]
+        beside(settle(profile.select("case_id", "period", "multiplier"))), ["case_id", "period"]
     ).select(
         "case_id",
         "period",

@@ -418,7 +418,7 @@ def fixed_flow(offset: DataFrame, load_shift: DataFrame, profile: DataFrame) ->
         "period", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("periods") - 1))
     )
     return long.join(
-        beside(profile.select("case_id", "period", "multiplier")), ["case_id", "period"]
+        beside(settle(profile.select("case_id", "period", "multiplier"))), ["case_id", "period"]
     ).select(*keys, "period", (F.col("o") - F.col("multiplier") * F.col("s")).alias("mw"))
 
 

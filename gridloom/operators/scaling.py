@@ -88,9 +88,11 @@ def _accumulate(old: DataFrame | None, new: DataFrame, keys: list[str]) -> DataF
 def ruiz(a: DataFrame, k: int) -> Scaled:
     """``k`` simultaneous infinity-norm steps with the accumulated denominators.
 
-    Every step is settled: the plan of step k does not contain the k-1 steps before it.
+    Every step is settled: the plan of step k does not contain the k-1 steps before it.  The
+    input is settled too, as each step reads its matrix for norms, changes and diagnostics.
     """
     rows = cols = log = None
+    a = settle(a)
     for step in range(1, k + 1):
         one = scale_step(a, "ruiz")
         noted = settle(one.diagnostics.withColumn("step", F.lit(step)))
@@ -98,7 +100,7 @@ def ruiz(a: DataFrame, k: int) -> Scaled:
         new_rows = settle(_accumulate(rows, one.row_scale, ROW))
         new_cols = settle(_accumulate(cols, one.col_scale, COL))
         scaled = settle(one.a)
-        release(rows, cols, a if step > 1 else None)
+        release(rows, cols, a)
         rows, cols, a = new_rows, new_cols, scaled
     return Scaled(a, rows, cols, log)
 

@@ -101,7 +101,7 @@ def _(t):
 @query(
     "section_at_offset",
     """WITH h AS (SELECT role AS document_id, (conv_id * 53 + turn) % 5000 AS "offset", conv_id * 1000 + turn AS place, 's' || conv_id AS sid
-         FROM conversations WHERE turn = 0),
+         FROM conversations),
        m AS (SELECT document_id, "offset", arg_max(sid, place) AS sid FROM h GROUP BY ALL)
        SELECT a.id, coalesce(m.sid, 'abstract') AS section_id FROM b_annotation a ASOF LEFT JOIN m
          ON a.document_id = m.document_id AND a.start_offset >= m."offset" """,
@@ -109,7 +109,7 @@ def _(t):
 )
 def _(t):
     conv, turn = F.col("conv_id"), F.col("turn")
-    heading = t.read("conversations").where(turn == 0).select(
+    heading = t.read("conversations").select(
         F.col("role").alias("document_id"), ((conv * 53 + turn) % 5000).alias("offset"), (conv * 1000 + turn).alias("place"),
         F.concat(F.lit("s"), conv).alias("section_id"), F.lit("Heading").alias("section_title"),
     )

@@ -114,8 +114,8 @@ def _(t):
 
 @query(
     "log_coverage",
-    """WITH g AS (SELECT DISTINCT 'u' || user_id AS "case", event_type AS run FROM events WHERE value > 60),
-         w AS (SELECT DISTINCT 'u' || user_id AS "case", event_type AS run FROM events WHERE value < 40)
+    """WITH g AS (SELECT DISTINCT 'u' || user_id AS "case", event_type AS run FROM events WHERE value >= 10),
+         w AS (SELECT DISTINCT 'u' || user_id AS "case", event_type AS run FROM events WHERE value < 10)
        SELECT *, 'unexpected' AS side FROM (SELECT * FROM g EXCEPT SELECT * FROM w)
        UNION ALL SELECT *, 'missing' FROM (SELECT * FROM w EXCEPT SELECT * FROM g)""",
 )
@@ -124,21 +124,21 @@ def _(t):
         F.concat(F.lit("u"), F.col("user_id")).alias("case"), F.col("event_type").alias("run"), "value"
     )
     return rl.log_coverage(
-        events.where(F.col("value") > 60), events.where(F.col("value") < 40), ["case", "run"]
+        events.where(F.col("value") >= 10), events.where(F.col("value") < 10), ["case", "run"]
     )
 
 
 @query(
     "unknown_event_runs",
-    """SELECT DISTINCT 'u' || user_id AS "case", event_type AS run FROM events WHERE value > 60
-       AND ('u' || user_id, event_type) NOT IN (SELECT 'u' || user_id, event_type FROM events WHERE value < 40)""",
+    """SELECT DISTINCT 'u' || user_id AS "case", event_type AS run FROM events WHERE value >= 10
+       AND ('u' || user_id, event_type) NOT IN (SELECT 'u' || user_id, event_type FROM events WHERE value < 10)""",
 )
 def _(t):
     events = t.read("events").select(
         F.concat(F.lit("u"), F.col("user_id")).alias("case"), F.col("event_type").alias("run"), "value"
     )
-    wanted = events.where(F.col("value") < 40).select("case", "run")
-    return rl.unknown_event_runs(events.where(F.col("value") > 60), wanted, ["case", "run"])
+    wanted = events.where(F.col("value") < 10).select("case", "run")
+    return rl.unknown_event_runs(events.where(F.col("value") >= 10), wanted, ["case", "run"])
 
 
 GRID = """ru AS (SELECT user_id, max(event_id) AS iterations FROM events GROUP BY 1),
