@@ -33,10 +33,10 @@ from .text import map_batches, shuffle_key
 UNKNOWN = "und"
 FOLDS = 5
 SAMPLE_DOCS = 200
-SAMPLE_LETTERS = 60_000
+SAMPLE_LETTERS = 30_000
 SEED = 6
 #: Parses remembered per task; longer words are parsed anew each time.
-MEMORY_WORDS = 400_000
+MEMORY_WORDS = 100_000
 MEMORY_LETTERS = 40
 
 LETTERS = re.compile(r"[^\W\d_]+")

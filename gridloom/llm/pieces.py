@@ -30,7 +30,7 @@ SPACE = "▁"
 #: Kinds of piece in a model file.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, BYTE, UNUSED = 1, 2, 3, 4, 6, 5
 #: Parts remembered per task, and the longest part that is remembered.
-MEMORY_PARTS = 500_000
+MEMORY_PARTS = 200_000
 MEMORY_LETTERS = 48
 #: Bits of a piece code below its id: the characters that the piece closes.
 WIDTH_BITS = 24
@@ -411,21 +411,14 @@ def encode_documents(docs: DataFrame, model_data: bytes) -> DataFrame:
     given = docs.sparkSession.sparkContext.broadcast(model_data)
     ready: list[Encoder] = []
 
-    def work(batch: pa.RecordBatch):
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         if not ready:
             ready.append(Encoder(Model.read(given.value)))
-        for at in range(0, batch.num_rows, 500):
-            part = batch.slice(at, 500)
-            found = [ready[0].encode(t or "") for t in part.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    part.column("doc_id"),
-                    _lists([f[0] for f in found]),
-                    _lists([f[1] for f in found]),
-                    _lists([f[2] for f in found]),
-                ],
-                names=["doc_id", "ids", "begins", "ends"],
-            )
+        found = [ready[0].encode(t or "") for t in batch.column("text").to_pylist()]
+        lists = [_lists([f[i] for f in found]) for i in range(3)]
+        return pa.RecordBatch.from_arrays(
+            [batch.column("doc_id"), *lists], names=["doc_id", "ids", "begins", "ends"]
+        )
 
     return map_batches(
         docs.select("doc_id", F.col("text").cast("string")),
@@ -440,19 +433,17 @@ def decode_documents(encoded: DataFrame, model_data: bytes) -> DataFrame:
     given = encoded.sparkSession.sparkContext.broadcast(model_data)
     ready: list[Decoder] = []
 
-    def work(batch: pa.RecordBatch):
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         if not ready:
             ready.append(Decoder(Model.read(given.value)))
-        for at in range(0, batch.num_rows, 500):
-            part = batch.slice(at, 500)
-            ids = part.column("ids")
-            flat = ids.flatten().to_numpy(zero_copy_only=False)
-            sizes = np.array([0] + [len(v) if v.is_valid else 0 for v in ids]).cumsum()
-            texts = [ready[0].decode(flat[a:b]) for a, b in zip(sizes[:-1], sizes[1:])]
-            yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), ids, pa.array(texts, pa.string())],
-                names=["doc_id", "ids", "text"],
-            )
+        ids = batch.column("ids")
+        flat = ids.flatten().to_numpy(zero_copy_only=False)
+        sizes = np.array([0] + [len(v) if v.is_valid else 0 for v in ids]).cumsum()
+        texts = [ready[0].decode(flat[a:b]) for a, b in zip(sizes[:-1], sizes[1:])]
+        return pa.RecordBatch.from_arrays(
+            [batch.column("doc_id"), ids, pa.array(texts, pa.string())],
+            names=["doc_id", "ids", "text"],
+        )
 
     return map_batches(
         encoded.select("doc_id", "ids"), work, f"doc_id {kind}, ids array<int>, text string"

@@ -39,7 +39,7 @@ from .text import map_batches
 LENGTH = 400
 GRAM = 32
 #: Bytes of runs that one shard sorts; it takes about 120 bytes of memory for each.
-SHARD_BYTES = 1_000_000
+SHARD_BYTES = 500_000
 #: Bytes whose anchors are computed at once; places inside a stretch need less than 20 bits.
 STRETCH = 500_000
 BASE = 0x9E3779B97F4A7C15

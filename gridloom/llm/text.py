@@ -40,22 +40,23 @@ def leading_bits(key: Column, bits: int) -> Column:
     return F.shiftright(key, HASH_BITS - bits).cast("int")
 
 
+#: Rows handed to a function at once: what it holds in memory follows from these, not from a batch.
+SLICE_ROWS = 500
+
+
 def map_batches(
-    df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch | Iterable | None], schema: str
+    df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch | Iterable], schema: str
 ) -> DataFrame:
-    """``mapInArrow`` with a function of one batch that gives a batch, several, or none."""
+    """``mapInArrow`` with a function of a few rows that gives a batch or several."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            out = work(batch)
-            if out is None:
-                continue
-            if isinstance(out, pa.RecordBatch):
-                yield out
-            else:
-                yield from out
+            for at in range(0, batch.num_rows, SLICE_ROWS):
+                out = work(batch.slice(at, SLICE_ROWS))
+                if isinstance(out, pa.RecordBatch):
+                    yield out
+                else:
+                    yield from out
 
     return df.mapInArrow(run, schema)
 
