@@ -16,6 +16,7 @@ from __future__ import annotations
 import heapq
 import re
 import struct
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -34,6 +35,8 @@ MEMORY_PARTS = 200_000
 MEMORY_LETTERS = 48
 #: Bits of a piece code below its id: the characters that the piece closes.
 WIDTH_BITS = 24
+#: Bits of an id in a merge number.
+ID_BITS = 20
 
 
 def wire_fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -236,9 +239,56 @@ class Encoder:
         within = any(pair[1] == SPACE != pair[0] for pair in self.pairs)
         self.part = re.compile("(?s).+" if within else f"(?s){edge}+{rest}*|{rest}+|.")
         self.rank = {p: -model.scores[i] for p, i in self.ids.items()}
+        self._number_merges()
         self.short = _Memory(self.codes)
         self.known = _Memory(lambda part: b"".join(map(self.short.__getitem__, self.cut(part))))
 
+    def _number_merges(self) -> None:
+        """For two ids that form a piece: its place by score and its id, in one number.
+
+        Pieces of equal score would be told apart by id instead of place in the text, so parts
+        that can hold such pieces are left to ``merge``.
+        """
+        longer = [(self.rank[p], p) for p in self.ids if len(p) > 1]
+        often = Counter(r for r, _ in longer)
+        self.tied = {p[i : i + 2] for r, p in longer if often[r] > 1 for i in range(len(p) - 1)}
+        place = {p: n for n, (r, p) in enumerate(sorted(longer)) if often[r] == 1}
+        self.joined: dict[int, int] = {}
+        for piece, at in place.items():
+            for cut in range(1, len(piece)):
+                left, right = self.ids.get(piece[:cut]), self.ids.get(piece[cut:])
+                if left is not None and right is not None:
+                    self.joined[left << ID_BITS | right] = at << ID_BITS | self.ids[piece]
+        plain = [i for i, k in enumerate(self.model.kinds) if k == NORMAL and i < 1 << ID_BITS]
+        self.single = {p: self.ids[p] for p in map(self.model.pieces.__getitem__, plain) if len(p) == 1}
+        if any(self.model.kinds[i] == UNUSED for i in self.ids.values()):
+            self.single = {}  # unused pieces need to be taken apart again
+        self.code = [i << WIDTH_BITS | len(p) for i, p in enumerate(self.model.pieces)]
+
+    def _fast_codes(self, part: str) -> list[int] | None:
+        """Codes of a short part whose characters are all pieces; the same merges on numbers."""
+        if any(pair in part for pair in self.tied):
+            return None
+        single = self.single.get
+        ids = [single(c) for c in part]
+        if None in ids:
+            return None
+        joined, none = self.joined.get, 1 << 62
+        merges = [joined(a << ID_BITS | b, none) for a, b in zip(ids, ids[1:])]
+        while merges:
+            best = min(merges)
+            if best == none:
+                break
+            at = merges.index(best)
+            ids[at] = made = best & ((1 << ID_BITS) - 1)
+            del ids[at + 1], merges[at]
+            if at < len(merges):
+                merges[at] = joined(made << ID_BITS | ids[at + 1], none)
+            if at:
+                merges[at - 1] = joined(ids[at - 1] << ID_BITS | made, none)
+        code = self.code
+        return [code[i] for i in ids]
+
     def cut(self, part: str) -> list[str]:
         """``part`` cut between neighbours that no piece holds side by side."""
         pairs, start, out = self.pairs, 0, []
@@ -249,28 +299,8 @@ class Encoder:
         out.append(part[start:])
         return out
 
-    def symbols(self, part: str) -> list[str]:
-        """Symbols left when no two neighbours form a piece; best score first, then leftmost."""
-        if len(part) > MEMORY_LETTERS:
-            return self.merge(part)
-        rank, out = self.rank.get, list(part)
-        none = float("inf")
-        ranks = [rank(out[i] + out[i + 1], none) for i in range(len(out) - 1)]
-        while ranks:
-            best = min(ranks)
-            if best == none:
-                break
-            at = ranks.index(best)
-            out[at : at + 2] = [out[at] + out[at + 1]]
-            del ranks[at]
-            if at < len(ranks):
-                ranks[at] = rank(out[at] + out[at + 1], none)
-            if at:
-                ranks[at - 1] = rank(out[at - 1] + out[at], none)
-        return out
-
     def merge(self, part: str) -> list[str]:
-        """The same with a queue, for long parts."""
+        """Symbols left when no two neighbours form a piece; best score first, then leftmost."""
         ids, scores = self.ids, self.model.scores
         symbols: list[str | None] = list(part)
         n = len(symbols)
@@ -304,8 +334,11 @@ class Encoder:
 
         The byte pieces of a character close nothing but the last, which closes the character.
         """
+        fast = self._fast_codes(part) if len(part) <= MEMORY_LETTERS else None
+        if fast is not None:
+            return struct.pack(f"<{len(fast)}q", *fast)
         codes: list[int] = []
-        for symbol in self.symbols(part):
+        for symbol in self.merge(part):
             at = self.ids.get(symbol)
             if at is not None and self.model.kinds[at] != UNUSED:
                 codes.append(at << WIDTH_BITS | len(symbol))
