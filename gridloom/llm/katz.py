@@ -1,8 +1,8 @@
 """Word scoring with a Katz backoff model of pairs.
 
-A training token is a word of a training document, or its one end.  Pairs seen twice or more keep a
-Good-Turing discounted share of their context's count; what is left of a context goes to all other
-tokens by their discounted single counts, with a weight that makes every context sum to one; what
+A training token is a word of a training document, or its one end.  Pairs seen ``least_pair`` times
+or more (the query: once, so all of them) keep a Good-Turing discounted share of their context's
+count; what is left of a context goes to all other tokens by their discounted single counts, with a weight that makes every context sum to one; what
 is left of the single counts goes to the unknown word.  Every token is looked up as a pair, then as
 a single, then as unknown.
 
@@ -35,7 +35,8 @@ from .text import utf8
 
 BLOCK_TOKENS = 500_000
 PART_ENTRIES = 500_000
-#: Counts above this are not discounted; pairs below LEAST_PAIR count as unseen.
+#: Counts above this are not discounted; pairs below LEAST_PAIR count as unseen unless a caller
+#: gives another limit.
 MOST_DISCOUNTED = 5
 LEAST_PAIR = 2
 #: Contexts with more tokens than this are spread over SALTS partitions.
@@ -279,7 +280,7 @@ def _ask_pairs(parts: int):
 CONTEXTS = "context array<long>, seen array<double>, singles array<double>, counted array<array<long>>"
 
 
-def _answer_pairs(singles: Singles):
+def _answer_pairs(singles: Singles, least_pair: int):
     """A pair partition: total counts, sums per context, and the answers to the blocks."""
 
     def work(group: pd.DataFrame) -> pd.DataFrame:
@@ -296,7 +297,7 @@ def _answer_pairs(singles: Singles):
             mine = total[place[at : at + len(s[1])]]
             rows.append((block, part, "counts", pack(mine), None, None, None, None, None))
             at += len(s[1])
-        kept = total >= LEAST_PAIR
+        kept = total >= least_pair
         context, count = key[kept] >> 32, total[kept]
         start = np.flatnonzero(np.diff(context, prepend=-1))
         sums = lambda v: np.add.reduceat(v, start) if len(start) else np.zeros(0)
@@ -334,7 +335,7 @@ def _answer_contexts(contexts: pd.DataFrame, words: pd.DataFrame) -> pd.DataFram
     return _message(rows)
 
 
-def _score(parts: int, singles: Singles, pair_ratio: np.ndarray):
+def _score(parts: int, singles: Singles, pair_ratio: np.ndarray, least_pair: int):
     def work(group: pd.DataFrame) -> pd.DataFrame:
         of = {k: g for k, g in group.groupby("kind")}
         base = of["block"].iloc[0]
@@ -355,7 +356,7 @@ def _score(parts: int, singles: Singles, pair_ratio: np.ndarray):
         weight = np.where(seen > 0, (1 - seen / whole) / np.maximum(1 - lower, 1e-300), 1.0)
         single = np.log10(singles.probability(pairs.counts))
         ratio = np.where(total > MOST_DISCOUNTED, 1.0, pair_ratio[np.minimum(total, MOST_DISCOUNTED)])
-        kept = total >= LEAST_PAIR
+        kept = total >= least_pair
         direct = np.log10(np.where(kept, ratio * total / whole[pairs.first], 1.0))
         backed = np.log10(weight[pairs.first]) + single[pairs.second]
         by_pair = np.where(kept, direct, backed)
@@ -382,6 +383,7 @@ def score_documents(
     folds: int = 10,
     block_tokens: int = BLOCK_TOKENS,
     part_entries: int = PART_ENTRIES,
+    least_pair: int = LEAST_PAIR,
 ) -> tuple[DataFrame, DataFrame]:
     """(scores, pair table).  scores: doc_id, held_out, n_tokens, n_known, train_tokens,
     base_score, score.  The pair table's rows hold sorted arrays of first word, second word, count.
@@ -405,14 +407,14 @@ def score_documents(
     answers = words.where("kind = 'words'").select(*message)
     pairs = body.unionByName(answers).groupBy("block").applyInPandas(_ask_pairs(pair_parts), MESSAGE)
     table = settle(
-        pairs.groupBy("part").applyInPandas(_answer_pairs(singles), f"{MESSAGE}, {CONTEXTS}"),
+        pairs.groupBy("part").applyInPandas(_answer_pairs(singles, least_pair), f"{MESSAGE}, {CONTEXTS}"),
         compression="zstd",
     )
     places = [F.sum(F.get("hist", F.lit(i))) for i in range(MOST_DISCOUNTED + 1)]
     found = [v or 0 for v in table.where("kind = 'table'").agg(*places).first()]
     pair_ratio = discounts(found)
     mass = F.lit(0.0)
-    for r in range(LEAST_PAIR, MOST_DISCOUNTED + 1):
+    for r in range(least_pair, MOST_DISCOUNTED + 1):
         mass = mass + F.get("c.counted", F.lit(r - 1)) * float(pair_ratio[r] * r)
     mass = mass + F.get("c.counted", F.lit(MOST_DISCOUNTED))
     zipped = F.explode(F.arrays_zip("context", "singles", "counted")).alias("c")
@@ -440,7 +442,7 @@ def score_documents(
     )
     columns = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double"
     scores = everything.groupBy("block").applyInPandas(
-        _score(pair_parts, singles, pair_ratio), columns
+        _score(pair_parts, singles, pair_ratio, least_pair), columns
     )
     return (
         scores.withColumn("train_tokens", F.lit(int(singles.tokens)).cast("bigint")),

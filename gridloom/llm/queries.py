@@ -102,7 +102,7 @@ def op3_encode_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op4_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scores, _ = katz.score_documents(documents(spark, sf_dir))
+    scores, _ = katz.score_documents(documents(spark, sf_dir), least_pair=1)
     return scores
 
 
