@@ -38,54 +38,57 @@ BASE = (
     ("mit license", "mit"),
 )
 
-#: family: (keyword, names, versions, label).  Words are separated by one space, as in a text.
+#: family: (names, versions, label).  Words are separated by one space, as in a text; each name is
+#: gated by a word of its own.
 FAMILIES = (
-    ("gpl", "gnu general public license|gnu gpl|gpl", ("1", "2", "3"), "gpl"),
-    ("gpl", "gnu (?:lesser|library) general public license|gnu lgpl|lgpl", ("2", "2 1", "3"), "lgpl"),
-    ("gpl", "gnu affero general public license|affero general public license|gnu agpl|agpl", ("1", "3"), "agpl"),
-    ("gnu", "gnu general public license", ("1", "2", "3"), "gpl"),
-    ("gnu", "gnu (?:lesser|library) general public license", ("2", "2 1", "3"), "lgpl"),
-    ("affero", "(?:gnu )?affero general public license", ("1", "3"), "agpl"),
-    ("gnu", "gnu free documentation license|gnu fdl|gfdl", ("1 1", "1 2", "1 3"), "gfdl"),
-    ("apache", "apache (?:software )?license", ("1 0", "1 1", "2 0", "2"), "apache"),
-    ("mit", "mit license|mit x11 license|expat license", (), "mit"),
-    ("bsd", "(?:new |modified |simplified |original )?bsd (?:style )?license", ("2 clause", "3 clause", "4 clause"), "bsd"),
-    ("mozilla", "mozilla public license|mpl", ("1 0", "1 1", "2 0"), "mpl"),
-    ("eclipse", "eclipse public license|epl", ("1 0", "2 0"), "epl"),
-    ("cddl", "cddl", ("1 0", "1 1"), "cddl"),
-    ("common", "common development and distribution license", ("1 0", "1 1"), "cddl"),
-    ("common", "common public license", ("0 5", "1 0"), "cpl"),
-    ("artistic", "(?:perl )?artistic license", ("1 0", "2 0"), "artistic"),
-    ("zlib", "zlib(?: libpng)? license", (), "zlib"),
-    ("boost", "boost software license", ("1 0",), "boost"),
-    ("isc", "isc license|internet systems consortium license", (), "isc"),
-    ("unlicense", "unlicense", (), "unlicense"),
-    ("wtfpl", "wtfpl", ("1", "2"), "wtfpl"),
-    ("python", "python software foundation license|python license", ("2",), "python"),
-    ("php", "php license", ("3 0", "3 01"), "php"),
-    ("microsoft", "microsoft (?:public|reciprocal) license", (), "microsoft"),
-    ("european", "european union public licen[cs]e|eupl", ("1 0", "1 1", "1 2"), "eupl"),
-    ("open", "open software license|osl", ("1 0", "2 0", "2 1", "3 0"), "osl"),
-    ("academic", "academic free license|afl", ("1 1", "2 1", "3 0"), "afl"),
-    ("database", "open database license|odbl", ("1 0",), "odbl"),
-    ("sil", "sil open font license", ("1 0", "1 1"), "ofl"),
-    ("cecill", "cecill(?: [abc])?(?: license)?", ("1 0", "2 0", "2 1"), "cecill"),
-    ("creative", "creative commons attribution(?: [0-9] [0-9])?(?: international| unported| generic)?", ("1 0", "2 0", "2 5", "3 0", "4 0"), "cc-by"),
-    ("creative", "creative commons attribution share ?alike", ("1 0", "2 0", "2 5", "3 0", "4 0"), "cc-by-sa"),
-    ("creative", "creative commons attribution non ?commercial", ("1 0", "2 0", "2 5", "3 0", "4 0"), "cc-by-nc"),
-    ("creative", "creative commons attribution non ?commercial share ?alike", ("1 0", "2 0", "2 5", "3 0", "4 0"), "cc-by-nc-sa"),
-    ("creative", "creative commons attribution no ?deriv(?:ative)?s?", ("1 0", "2 0", "2 5", "3 0", "4 0"), "cc-by-nd"),
-    ("creative", "creative commons zero|creative commons public domain dedication", ("1 0",), "cc0"),
-    ("cc", "cc by", ("1 0", "2 0", "2 5", "3 0", "4 0"), "cc-by"),
-    ("cc", "cc by sa", ("1 0", "2 0", "2 5", "3 0", "4 0"), "cc-by-sa"),
-    ("cc", "cc by nc", ("1 0", "2 0", "2 5", "3 0", "4 0"), "cc-by-nc"),
-    ("cc", "cc by nc sa", ("1 0", "2 0", "2 5", "3 0", "4 0"), "cc-by-nc-sa"),
-    ("cc", "cc by nc nd", ("1 0", "2 0", "2 5", "3 0", "4 0"), "cc-by-nc-nd"),
-    ("cc", "cc by nd", ("1 0", "2 0", "2 5", "3 0", "4 0"), "cc-by-nd"),
-    ("cc0", "cc0", ("1 0",), "cc0"),
+    ("gnu general public license|gnu gpl|gpl", ("1", "2", "3"), "gpl"),
+    ("gnu (?:lesser|library) general public license|gnu lgpl|lgpl", ("2", "2 1", "3"), "lgpl"),
+    ("gnu affero general public license|affero general public license|gnu agpl|agpl", ("1", "3"), "agpl"),
+    ("gnu free documentation license|gnu fdl|gfdl", ("1 1", "1 2", "1 3"), "gfdl"),
+    ("apache (?:software )?license", ("1 0", "1 1", "2 0", "2"), "apache"),
+    ("mit license|mit x11 license|expat license", (), "mit"),
+    ("(?:new |modified |simplified |original )?bsd (?:style )?license", ("2 clause", "3 clause", "4 clause"), "bsd"),
+    ("mozilla public license|mpl", ("1 0", "1 1", "2 0"), "mpl"),
+    ("eclipse public license|epl", ("1 0", "2 0"), "epl"),
+    ("cddl", ("1 0", "1 1"), "cddl"),
+    ("common development and distribution license", ("1 0", "1 1"), "cddl"),
+    ("common public license", ("0 5", "1 0"), "cpl"),
+    ("(?:perl )?artistic license", ("1 0", "2 0"), "artistic"),
+    ("zlib(?: libpng)? license", (), "zlib"),
+    ("boost software license", ("1 0",), "boost"),
+    ("isc license|internet systems consortium license", (), "isc"),
+    ("unlicense", (), "unlicense"),
+    ("wtfpl", ("1", "2"), "wtfpl"),
+    ("python software foundation license|python license", ("2",), "python"),
+    ("php license", ("3 0", "3 01"), "php"),
+    ("microsoft (?:public|reciprocal) license", (), "microsoft"),
+    ("european union public licen[cs]e|eupl", ("1 0", "1 1", "1 2"), "eupl"),
+    ("open software license|osl", ("1 0", "2 0", "2 1", "3 0"), "osl"),
+    ("academic free license|afl", ("1 1", "2 1", "3 0"), "afl"),
+    ("open database license|odbl", ("1 0",), "odbl"),
+    ("sil open font license", ("1 0", "1 1"), "ofl"),
+    ("cecill(?: [abc])?(?: license)?", ("1 0", "2 0", "2 1"), "cecill"),
+    ("creative commons attribution(?: [0-9] [0-9])?(?: international| unported| generic)?", ("1 0", "2 0", "2 5", "3 0", "4 0"), "cc-by"),
+    ("creative commons attribution share ?alike", ("1 0", "2 0", "2 5", "3 0", "4 0"), "cc-by-sa"),
+    ("creative commons attribution non ?commercial", ("1 0", "2 0", "2 5", "3 0", "4 0"), "cc-by-nc"),
+    ("creative commons attribution non ?commercial share ?alike", ("1 0", "2 0", "2 5", "3 0", "4 0"), "cc-by-nc-sa"),
+    ("creative commons attribution no ?deriv(?:ative)?s?", ("1 0", "2 0", "2 5", "3 0", "4 0"), "cc-by-nd"),
+    ("creative commons zero|creative commons public domain dedication", ("1 0",), "cc0"),
+    ("cc by", ("1 0", "2 0", "2 5", "3 0", "4 0"), "cc-by"),
+    ("cc by sa", ("1 0", "2 0", "2 5", "3 0", "4 0"), "cc-by-sa"),
+    ("cc by nc", ("1 0", "2 0", "2 5", "3 0", "4 0"), "cc-by-nc"),
+    ("cc by nc sa", ("1 0", "2 0", "2 5", "3 0", "4 0"), "cc-by-nc-sa"),
+    ("cc by nc nd", ("1 0", "2 0", "2 5", "3 0", "4 0"), "cc-by-nc-nd"),
+    ("cc by nd", ("1 0", "2 0", "2 5", "3 0", "4 0"), "cc-by-nd"),
+    ("cc0", ("1 0",), "cc0"),
 )
 #: A version after a name, with the words that may stand between.
-VERSION = "(?: license)?(?: version| ver)? v?{}(?: (?:only|or (?:any |at your option any )?later(?: version)?|plus))?"
+#: or fused to it ("gplv3").
+VERSION = "(?:(?: license)?(?: version| ver)? (?:v ?)?|v?){}(?: (?:only|or (?:any |at your option any )?later(?: version)?|plus))?"
+#: A version inside a name ("bsd 3 clause license"), or numbers of clauses before it.
+INNER = "{}(?: version| ver)?(?: (?:v ?)?|v?){} license"
+#: Words too common to gate a name, if it has another.
+COMMON_WORDS = {"license", "public", "general", "software", "free", "open"}
 #: phrasing: (pattern around the family's name, priority, confidence)
 PHRASINGS = {
     "grant": ("(?:licen[cs]ed|released|distributed|available|published|covered|provided) (?:under|by) (?:the )?(?:terms of )?(?:the |an? )?{}", 3, 0.9),
@@ -132,6 +135,32 @@ class Detection(NamedTuple):
     confidence: float
 
 
+def keyword_of(name: str) -> str:
+    """The begin of a word that every form of a name's pattern holds, the longest of uncommon ones."""
+    fixed = re.sub(r"\S*[?\[]\S*", " ", re.sub(r"\(\?:[^()]*\)\??", " ", name)).split()
+    word = max([w for w in fixed if w not in COMMON_WORDS] or fixed, key=len)
+    return f" {word}"
+
+
+def by_keyword(names: str) -> dict[str, list[str]]:
+    """The alternatives of ``names`` (split outside of groups) by keyword."""
+    out: dict[str, list[str]] = {}
+    for name in re.split(r"\|(?![^()]*\))", names):
+        out.setdefault(keyword_of(name), []).append(name)
+    return out
+
+
+def versioned(name: str, version: str) -> str:
+    """A name with a version after it, inside it, or, for clauses, before it."""
+    forms = [name + VERSION.format(version)]
+    head = re.sub(r"(?: |\(\?:\w+ \)\?)*license$", "", name)
+    if head != name:
+        forms.append(INNER.format(head, version))
+        if "clause" in version:
+            forms += [f"{head} {version}", f"{version} {name}"]
+    return "|".join(forms)
+
+
 def rules() -> list[Rule]:
     """All rules, highest priority first."""
     out = []
@@ -142,13 +171,14 @@ def rules() -> list[Rule]:
 
     for keyword, pattern, label, priority, confidence in SIGNATURES:
         add(keyword, pattern, label, priority, confidence)
-    for keyword, names, versions, label in FAMILIES:
-        for around, priority, confidence in PHRASINGS.values():
-            for version in versions:
-                with_version = f"(?:{names}){VERSION.format(version)}"
-                name = f"{label}-{version.replace(' ', '-' if 'clause' in version else '.')}"
-                add(keyword, around.format(with_version), name, priority + 1, min(1.0, confidence + 0.1))
-            add(keyword, around.format(f"(?:{names})"), label, priority, confidence)
+    for names, versions, label in FAMILIES:
+        for keyword, alike in by_keyword(names).items():
+            for around, priority, confidence in PHRASINGS.values():
+                for version in versions:
+                    with_version = "|".join(versioned(name, version) for name in alike)
+                    name = f"{label}-{version.replace(' ', '-' if 'clause' in version else '.')}"
+                    add(keyword, around.format(f"(?:{with_version})"), name, priority + 1, min(1.0, confidence + 0.1))
+                add(keyword, around.format(f"(?:{'|'.join(alike)})"), label, priority, confidence)
         for version in ("", *versions):
             exact = label.replace("-", " ") + (f" {version}" if version else "")
             dotted = version.replace(" ", "-" if "clause" in version else ".")

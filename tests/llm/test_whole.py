@@ -1,13 +1,14 @@
 """Operators at full extent: nothing below a cut-off is left out."""
 
 import math
+import re
 import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
 
-from gridloom.llm import katz
+from gridloom.llm import katz, licenses
 
 from .conftest import prose
 
@@ -49,3 +50,51 @@ def test_katz_keeps_pairs_seen_once(make_docs, messy):
     table = katz.score_documents(make_docs(rows), least_pair=1)[1].collect()
     counts = np.concatenate([katz.unpack(r.data)[2] for r in table])
     assert (counts == 1).any()
+
+
+def spelled(pattern):
+    """All texts of a name's pattern."""
+    group = re.search(r"\(\?:([^()]*)\)(\?)?|\[([a-z]+)\]|(.)\?", pattern)
+    if not group:
+        return {} if "[" in pattern else {pattern}
+    inner, optional, letters, single = group.groups()
+    if inner is not None:
+        options = inner.split("|") + [""] * bool(optional)
+    else:
+        options = list(letters) if letters else [single, ""]
+    before, after = pattern[: group.start()], pattern[group.end() :]
+    return {text for option in options for text in spelled(before + option + after)}
+
+
+def test_every_license_name_is_found_alone():
+    scanner, checked = licenses.Scanner(), 0
+    for names, versions, label in licenses.FAMILIES:
+        for name in re.split(r"\|(?![^()]*\))", names):
+            for text in spelled(name.replace("[0-9]", "3")):
+                for around in ("{}", "released under the {}"):
+                    found = scanner.scan(around.format(text).encode())
+                    assert any(x.split("-")[0] == label.split("-")[0] for x in found[5].split(",")), text
+                    assert found[6] >= 0.6
+                for version in versions:
+                    for form in (" {}", " v{}", " version {}", "v{}", "{}"):
+                        found = scanner.scan((text + form.format(version)).encode())
+                        assert label.split("-")[0] in found[5], (text, form, version)
+                        checked += 1
+    assert checked > 500
+
+
+@pytest.mark.parametrize(
+    "text, label",
+    [
+        ("Released under the MPL 2.0", "mpl-2.0"),
+        ("licensed under the Expat License", "mit"),
+        ("GPLv3", "gpl-3"),
+        ("LGPLv2.1 or later", "lgpl-2.1"),
+        ("BSD 3-Clause License", "bsd-3-clause"),
+        ("the 2-clause BSD license", "bsd-2-clause"),
+        ("Apache 2.0 License", "apache-2.0"),
+        ("an example, simply closely apart", ""),
+    ],
+)
+def test_license_forms(text, label):
+    assert licenses.Scanner().scan(text.encode())[5] == label
