@@ -382,10 +382,16 @@ def repeated_spans(
     texts: DataFrame, length: int = LENGTH, shard_bytes: int = SHARD_BYTES
 ) -> DataFrame:
     """t1, t2, begins and ends: the removed bytes of every text (t1, t2, body) that has some."""
-    texts = texts.where(F.octet_length("body") >= length).select("t1", "t2", "body")
+    # one row for each text: what is gathered for a text does not grow with its copies
+    texts = settle(
+        texts.where(F.octet_length("body") >= length)
+        .groupBy("t1", "t2")
+        .agg(F.first("body").alias("body"), F.count("*").alias("n")),
+        compression="zstd",
+    )
     anchors = settle(
         map_batches(
-            texts, _anchors(length), "t1 long, t2 long, anchor long, first long, last long"
+            texts.drop("n"), _anchors(length), "t1 long, t2 long, anchor long, first long, last long"
         )
     )
     ends = [f(c).alias(f"{f.__name__}_{c}") for c in ("t1", "t2", "first") for f in (F.min, F.max)]
@@ -395,10 +401,9 @@ def repeated_spans(
     picked = anchors.join(again, "anchor").groupBy("t1", "t2").agg(
         F.array_distinct(F.collect_list(place)).alias("picked")
     )
-    merged = texts.groupBy("t1", "t2").agg(F.first("body").alias("body"))
     runs = settle(
         map_batches(
-            merged.join(picked, ["t1", "t2"]),
+            texts.drop("n").join(picked, ["t1", "t2"]),
             _runs(length),
             "t1 long, t2 long, first long, anchor long, d1 long, d2 long, size long, bytes binary",
         ),
@@ -452,11 +457,7 @@ def repeated_spans(
     )
     marks = partly.unionByName(wholly)
     spans = runs.select("t1", "t2", "first", *key).join(marks, key)
-    copied = (
-        texts.groupBy("t1", "t2")
-        .agg(F.count("*").alias("n"), F.max(F.octet_length("body")).alias("size"))
-        .where("n > 1")
-    )
+    copied = texts.where("n > 1").select("t1", "t2", F.octet_length("body").alias("size"))
     one = lambda b, e: F.struct(b.cast("bigint").alias("b"), e.cast("bigint").alias("e"))
     listed = spans.select(
         "t1", "t2", one(F.col("first") + F.col("b"), F.col("first") + F.col("e")).alias("s")
