@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from ..functions.ordered import position
 from ..session import settle
 from .ordering import bucket_totals, placed
-from .text import leading_bits, shuffle_key, source_key, word_count
+from .text import WORD, leading_bits, shuffle_key, source_key, word_count
 
 #: The golden ratio's fraction in units of 2**-64.
 GOLDEN = 11400714819323198485
@@ -222,12 +222,14 @@ def mixed_documents(
     most: int = 2,
     seed: int = SEED,
 ) -> DataFrame:
-    """``docs`` with every row as often as the mix holds it, in whole documents.
+    """``docs`` with every row's copies as the schedule's spans hold them.
 
-    A row is repeated for every copy whose middle word lies in the part that its source's blocks
-    take, so a source's words differ from its target by at most half a document.  The middle of a
-    document without words is its place.
+    The spans of a copy begin at the text's first word and follow each other.  Where they end
+    before the text does, at a source's target, the copy's text ends with their last word, and
+    n_chars, if there, counts what is left.  A document without words is in no span and goes.
     """
+    _, spans = mix(docs, weights, share, most, seed=seed)
+    taken = spans.groupBy("src", "bucket", "place", "copy").agg(F.sum("tokens").alias("_taken"))
     packed = docs.select(
         F.struct("*").alias("_row"),
         F.col("doc_id").alias("_id"),
@@ -235,15 +237,16 @@ def mixed_documents(
         word_count(F.col("text")).alias("_size"),
         shuffle_key(F.col("doc_id"), seed).alias("_key"),
     ).withColumn("_bucket", leading_bits(F.col("_key"), BUCKET_BITS))
-    sizes = settle(packed.groupBy("src", "_bucket").agg(F.sum("_size").alias("_size")))
-    plan = settle(targets(sizes, weights, share, most))
-    totals = bucket_totals(sizes, "src", "_size").join(plan, "src")
-    order = ["_key", "_id", "_size", "_text"]
-    rows = packed.withColumn("_text", F.xxhash64(F.col("_row.text")))
-    spread = placed(rows, totals, "src", "_size", order)
-    middle = F.col("_start") + F.expr("_size div 2")
-    copies = F.filter(
-        F.sequence(F.lit(0), F.lit(most - 1)),
-        lambda c: c * F.col("source_size") + middle < F.round("target"),
-    )
-    return spread.select(F.explode(copies), "_row").select("_row.*")
+    # rows with equal key, id and size are interchangeable: any order of them fits the spans
+    totals = bucket_totals(packed, "src", "_size")
+    rows = placed(packed, totals, "src", "_size", ["_key", "_id", "_size"]).select(
+        "src", F.col("_bucket").alias("bucket"), F.col("_place").alias("place"), "_size", "_row"
+    )
+    row, cut = F.col("_row"), F.col("_taken") < F.col("_size")
+    words = F.regexp_extract_all(F.col("_row.text"), F.lit(rf"[\x20\x09-\x0D]*{WORD}"), F.lit(0))
+    left = F.array_join(F.slice(words, 1, F.col("_taken").cast("int")), "")
+    row = row.withField("text", F.when(cut, left).otherwise(F.col("_row.text")))
+    if "n_chars" in docs.columns:
+        count = F.char_length(left).cast(docs.schema["n_chars"].dataType)
+        row = row.withField("n_chars", F.when(cut, count).otherwise(F.col("_row.n_chars")))
+    return rows.join(taken, ["src", "bucket", "place"]).select(row.alias("_row")).select("_row.*")

@@ -1,6 +1,10 @@
 """Copies, passages and mixtures as a whole."""
 
-from gridloom.llm import suffix
+from collections import Counter
+
+import pytest
+
+from gridloom.llm import mixing, suffix
 
 from .conftest import prose
 
@@ -20,3 +24,17 @@ def test_anchors_once_for_all_copies(make_docs, monkeypatch):
     monkeypatch.setattr(suffix, "settle", counting)
     spans = suffix.repeated_spans(suffix.keyed(make_docs(rows))).collect()
     assert seen == [1] and len(spans) == 2
+
+
+@pytest.mark.parametrize("long", [5000, 5001])
+def test_mixture_meets_targets_to_the_word(make_docs, long):
+    rows = [(1, " \t" + prose(1, long).replace(" ", "\n "), "en", "a")]
+    rows += [(10 + i, prose(i, 100), "en", "ab"[i % 2]) for i in range(40)]
+    docs = make_docs(rows)
+    spans = mixing.mix(docs)[1].groupBy("src").agg({"tokens": "sum"}).collect()
+    out, taken = mixing.mixed_documents(docs).collect(), Counter()
+    for row in out:
+        taken["a" + row.source] += len(row.text.split())
+        assert row.n_chars == len(row.text)
+        assert next(r[1] for r in rows if r[0] == row.doc_id).startswith(row.text)
+    assert taken == Counter({r[0]: r[1] for r in spans})
