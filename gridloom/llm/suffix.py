@@ -24,6 +24,7 @@ and text are read.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,6 +38,10 @@ from ..session import settle
 from .text import map_batches
 
 LENGTH = 400
+#: Passages of over 50 words, and the octets of hash that stand for a word.
+PASSAGE_WORDS = 51
+CODE_OCTETS = 6
+WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 GRAM = 32
 #: Bytes of runs that one shard sorts; it takes about 120 bytes of memory for each.
 SHARD_BYTES = 500_000
@@ -509,12 +514,86 @@ def kept_bytes(whole_characters: bool = False):
     return F.aggregate(parts, F.lit(b"").cast("binary"), lambda done, part: F.concat(done, part))
 
 
+def word_codes(docs: DataFrame) -> DataFrame:
+    """t1, t2 (as in ``keyed``) and body, six octets of hash for each word of the text."""
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        digest = xxhash.xxh3_64_digest
+        codes = [
+            b"".join([digest(w)[:CODE_OCTETS] for w in t.split()])
+            for t in batch.column("body").to_pylist()
+        ]
+        return pa.RecordBatch.from_arrays(
+            [batch.column("t1"), batch.column("t2"), pa.array(codes, pa.binary())],
+            names=["t1", "t2", "body"],
+        )
+
+    return map_batches(docs.select("t1", "t2", "body"), work, "t1 long, t2 long, body binary")
+
+
+def _word_spans(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Spans of word codes as spans of the text's bytes, from a first word to the end of a last."""
+    for row in batch.to_pylist():
+        edges = [m.span() for m in WORD.finditer(row["body"])]
+        spans = []
+        for begin, end in zip(row["begins"], row["ends"]):
+            # a span may reach some octets into a word that happens to begin or end alike
+            first, beyond = -(-begin // CODE_OCTETS), end // CODE_OCTETS
+            spans.append({"b": edges[first][0], "e": edges[beyond - 1][1]})
+        kind = pa.list_(pa.struct([("b", pa.int64()), ("e", pa.int64())]))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([row["t1"]]), pa.array([row["t2"]]), pa.array([spans], kind)],
+            names=["t1", "t2", "spans"],
+        )
+
+
+def cut_passages(docs: DataFrame, length: int = LENGTH, words: int = PASSAGE_WORDS) -> DataFrame:
+    """As ``cut_repeats``, and what ``words`` equal words at two places cover is removed as well.
+
+    Words are compared by 48 bits of hash, in passages of ``words``; the space between may differ.
+    """
+    rows = keyed(docs)
+    passages = settle(repeated_spans(word_codes(rows), words * CODE_OCTETS))
+    distinct = rows.groupBy("t1", "t2").agg(F.first("body").alias("body"))
+    by_words = map_batches(
+        passages.join(distinct, ["t1", "t2"]),
+        _word_spans,
+        "t1 long, t2 long, spans array<struct<b: long, e: long>>",
+    )
+    strings = repeated_spans(rows, length).select(
+        "t1",
+        "t2",
+        F.zip_with("begins", "ends", lambda b, e: F.struct(b.alias("b"), e.alias("e"))).alias("spans"),
+    )
+    both = by_words.unionByName(strings).groupBy("t1", "t2")
+    spans = settle(
+        map_batches(
+            both.agg(F.flatten(F.collect_list("spans")).alias("spans")),
+            _merge_spans,
+            "t1 long, t2 long, begins array<long>, ends array<long>",
+        )
+    )
+    none = F.array().cast("array<bigint>")
+    return rows.join(spans, ["t1", "t2"], "left").select(
+        "_row", "body", F.coalesce("begins", none).alias("begins"), F.coalesce("ends", none).alias("ends")
+    )
+
+
+def without_passages(docs: DataFrame) -> DataFrame:
+    """``without_repeats``, also of passages of over 50 words, however short their words are."""
+    return _without(docs, cut_passages(docs))
+
+
 def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """``docs`` with repeated strings cut out of text; n_chars, if there, counts what is left.
 
     A character of which only a part is cut goes as a whole, so that texts stay valid.
     """
-    cut = cut_repeats(docs, length).withColumn("_cut", F.size("begins") > 0)
+    return _without(docs, cut_repeats(docs, length))
+
+
+def _without(docs: DataFrame, cut: DataFrame) -> DataFrame:
+    cut = cut.withColumn("_cut", F.size("begins") > 0)
     row, left = F.col("_row"), F.decode(kept_bytes(whole_characters=True), "UTF-8")
     row = row.withField("text", F.when(F.col("_cut"), left).otherwise(row["text"]))
     if "n_chars" in docs.columns:

@@ -38,3 +38,24 @@ def test_mixture_meets_targets_to_the_word(make_docs, long):
         assert row.n_chars == len(row.text)
         assert next(r[1] for r in rows if r[0] == row.doc_id).startswith(row.text)
     assert taken == Counter({r[0]: r[1] for r in spans})
+
+
+def test_passages_of_over_50_words(spark, make_docs):
+    import corpus_pipeline
+
+    passage, short, letters = prose(50, 51), prose(51, 50), "x" * 450
+    assert len(passage) < 400
+    text = lambda i: prose(100 + i, 60)
+    rows = [(i, f"{text(i)} {passage} {text(10 + i)}", "en", "a") for i in range(2)]
+    rows += [(i, f"{text(i)} {short} {text(10 + i)}", "en", "a") for i in range(2, 4)]
+    rows += [(i, f"{text(i)} {letters}{text(10 + i)}", "en", "a") for i in range(4, 6)]
+    rows += [(6, None, "en", "a"), (7, "", "en", "a")]
+    docs = make_docs(rows)
+    out = corpus_pipeline.repeated_passages(spark, docs, "")
+    assert out.columns == docs.columns
+    got = {r.doc_id: r.text for r in out.collect()}
+    for i in range(2):
+        assert got[i].split() == f"{text(i)} {text(10 + i)}".split()
+    assert all(got[i] == rows[i][1] for i in (2, 3, 6, 7))
+    # the spaces beside a string of 400 bytes are part of it
+    assert all(got[i] == f"{text(i)}{text(10 + i)}" for i in (4, 5))
