@@ -125,15 +125,19 @@ def op4_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     size = F.octet_length("body").cast("bigint")
-    removed = F.aggregate(
-        F.zip_with("begins", "ends", lambda b, e: e - b), F.lit(0).cast("bigint"), lambda a, x: a + x
-    )
-    return suffix.cut_repeats(documents(spark, sf_dir)).select(
+
+    def covered(begins: str, ends: str):
+        sizes = F.zip_with(begins, ends, lambda b, e: e - b)
+        return F.aggregate(sizes, F.lit(0).cast("bigint"), lambda a, x: a + x)
+
+    return suffix.repeats_and_passages(documents(spark, sf_dir)).select(
         F.col("_row.doc_id").alias("doc_id"),
         size.alias("n_bytes"),
-        removed.alias("n_removed"),
+        covered("begins", "ends").alias("n_removed"),
         F.size("begins").cast("bigint").alias("n_spans"),
         F.sha2(suffix.kept_bytes(), 256).alias("kept_sha256"),
+        covered("passage_begins", "passage_ends").alias("n_passage_bytes"),
+        F.size("passage_begins").cast("bigint").alias("n_passage_spans"),
     )
 
 

@@ -12,7 +12,10 @@ follow from alternating star contraction on settled tables.
 
 Defined results: a null or wordless text has fingerprint 0 and is linked like any other; repeated
 rows share a fingerprint; the null doc_id never names a component unless it is alone; an empty
-table gives no rows.  Only doc_id and text are read.
+table gives no rows; a long text's shingles are voted in slices.  Only doc_id and text are read.
+
+The removal of near copies (``one_of_each``) has fingerprints and settings of its own and confirms
+its links.
 """
 
 from __future__ import annotations
@@ -222,15 +225,221 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return marked.join(of_print, "fp").select("doc_id", "fp", "component_id")
 
 
+#: Near copies for removal: words in a shingle, and the similarity that confirms a link, as a ratio.
+COPY_SHINGLE = 5
+SIMILAR = (4, 5)
+#: Bits of a removal fingerprint, tables of the index, and bits of a table's key.
+WIDE = 128
+TABLES = 40
+KEY_BITS = 14
+#: Most differing bits of a candidate: in the half that the index holds, and in all.
+MOST_HALF = 20
+MOST_WIDE = 32
+
+
+def shingle_digests(text: bytes, shingle: int = COPY_SHINGLE) -> tuple[bytes, np.ndarray]:
+    """128 bits that name the text's words, and its distinct shingles as rows of 16 octets."""
+    words = text.lower().split()
+    line = b" ".join(words)
+    if len(words) <= shingle:
+        parts = {line} if words else set()
+    else:
+        parts = set(map(b" ".join, zip(*(words[i:] for i in range(shingle)))))
+    digests = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, parts)), np.uint8)
+    return xxhash.xxh3_128_digest(line), digests.reshape(-1, WIDE // 8)
+
+
+def wide_print(digests: np.ndarray) -> np.ndarray:
+    """The majority bits of the shingles' digests, 16 octets; zeros without shingles."""
+    votes = np.zeros(WIDE, np.int64)
+    for at in range(0, len(digests), 100_000):
+        part = np.unpackbits(digests[at : at + 100_000], axis=1)
+        votes += part.sum(axis=0, dtype=np.int32)
+    return np.packbits(2 * votes > len(digests))
+
+
+def _tables() -> np.ndarray:
+    """For each table an order of the bits; its key's bits come first."""
+    draw = np.random.default_rng(WIDE)
+    return np.array([draw.permutation(WIDE) for _ in range(TABLES)])
+
+
+def near_pairs(codes: np.ndarray, more: np.ndarray, top: int):
+    """Pairs (i, j, differing bits), i < j, of sorted codes that agree in the ``top`` leading bits.
+
+    The index holds ``codes``; the differences counted down the tree drop groups above
+    ``MOST_HALF``, and ``more``, the other half of each fingerprint, decides at the leaves.
+    """
+    n = len(codes)
+    head = np.uint64(((1 << top) - 1) << (BITS - top))
+    levels = _levels(codes)
+    roots = np.arange(len(levels[-1][0]))
+    per_query = max(1, FRONTIER // (FAN * FAN * 8))
+    for begin in range(0, n, per_query):
+        mine = np.arange(begin, min(n, begin + per_query))
+        query, node = np.repeat(mine, len(roots)), np.tile(roots, len(mine))
+        spent = np.zeros(len(query), np.uint8)
+        for depth in range(len(levels) - 1, -1, -1):
+            own, pattern, _ = levels[depth]
+            apart = (codes[query] ^ pattern[node]) & own[node]
+            spent = spent + np.bitwise_count(apart)
+            keep = (spent <= MOST_HALF) & ((apart & head) == 0) & ((node + 1) * FAN**depth > query)
+            query, node, spent = query[keep], node[keep], spent[keep]
+            if depth:
+                node = (node[:, None] * FAN + np.arange(FAN)).ravel()
+                query, spent = np.repeat(query, FAN), np.repeat(spent, FAN)
+                inside = node < len(levels[depth - 1][0])
+                query, node, spent = query[inside], node[inside], spent[inside]
+        later = node > query
+        query, node, spent = query[later], node[later], spent[later]
+        spent = spent + np.bitwise_count(more[query] ^ more[node])
+        near = spent <= MOST_WIDE
+        yield query[near], node[near], spent[near].astype(np.int64)
+
+
+def _nearest(orders: np.ndarray):
+    """The work of one spread key of one table: each print's nearest before and after it."""
+
+    def work(group: pd.DataFrame) -> pd.DataFrame:
+        raw = np.frombuffer(b"".join(group["prints"]), np.uint8).reshape(-1, WIDE // 8)
+        bits = np.unpackbits(raw, axis=1)[:, orders[int(group["block"].iloc[0])]]
+        halves = np.ascontiguousarray(np.packbits(bits, axis=1)).view(">u8").astype(np.uint64)
+        codes, more = halves[:, 0], halves[:, 1]
+        rest = np.uint64((1 << (BITS - KEY_BITS)) - 1)
+        order = np.lexsort((gray_rank(codes & rest), codes >> np.uint64(BITS - KEY_BITS)))
+        codes, more, raw = codes[order], more[order], raw[order]
+        none = np.iinfo(np.int64).max
+        before, after = np.full(len(codes), none), np.full(len(codes), none)
+        for i, j, apart in near_pairs(codes, more, KEY_BITS):
+            np.minimum.at(after, i, (apart << 32) + j)
+            np.minimum.at(before, j, (apart << 32) + i)
+        low = (1 << 32) - 1
+        a = np.concatenate([np.flatnonzero(best != none) for best in (before, after)])
+        b = np.concatenate([best[best != none] & low for best in (before, after)])
+        packed = [bytes(row) for row in raw]
+        return pd.DataFrame({"a": [packed[i] for i in a], "b": [packed[i] for i in b]})
+
+    return work
+
+
+def candidate_prints(distinct: DataFrame, rows: int) -> DataFrame:
+    """Pairs (a, b) of prints that some table holds as nearest: one before and one after each."""
+    orders = _tables()
+    spread = max(1, min(1 << KEY_BITS, -(-rows // TASK_ROWS)))
+
+    def keys(batch: pa.RecordBatch) -> pa.RecordBatch:
+        raw = np.frombuffer(b"".join(batch.column("print").to_pylist()), np.uint8)
+        raw = raw.reshape(-1, WIDE // 8)
+        bits, weight = np.unpackbits(raw, axis=1).astype(np.int64), 1 << np.arange(KEY_BITS)
+        rows = []
+        for block, order in enumerate(orders):
+            part = bits[:, order[:KEY_BITS]] @ weight % spread
+            by = np.argsort(part, kind="stable")
+            cuts = np.flatnonzero(np.diff(part[by])) + 1
+            rows += [(block, part[some[0]], raw[some].tobytes()) for some in np.split(by, cuts) if len(some)]
+        blocks, parts, prints = zip(*rows)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(blocks, pa.int32()), pa.array(parts, pa.int32()), pa.array(prints, pa.binary())],
+            names=["block", "part", "prints"],
+        )
+
+    keyed = map_batches(distinct, keys, "block int, part int, prints binary")
+    return keyed.groupBy("block", "part").applyInPandas(_nearest(orders), "a binary, b binary")
+
+
+def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) of ``texts`` (name, text) whose shingles are similar: exact Jaccard."""
+
+    def shingles(batch: pa.RecordBatch) -> pa.RecordBatch:
+        # 64 bits of each shingle's digest stand for it
+        sets = [
+            np.unique(np.ascontiguousarray(shingle_digests(t)[1][:, :8]).view(np.int64).ravel())
+            for t in utf8(batch.column("text"))
+        ]
+        return pa.RecordBatch.from_arrays(
+            [batch.column("name"), pa.array(sets, pa.list_(pa.int64()))], names=["name", "shingles"]
+        )
+
+    sets = settle(map_batches(texts, shingles, "name binary, shingles array<long>"))
+    side = lambda n: sets.select(F.col("name").alias(n), F.col("shingles").alias(f"of_{n}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    common = F.size(F.array_intersect("of_a", "of_b"))
+    either = F.size("of_a") + F.size("of_b") - common
+    found = settle(both.where(common * SIMILAR[1] >= either * SIMILAR[0]).select("a", "b"))
+    release(sets)
+    return found
+
+
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """One row of every component: of those with the smallest doc_id, that of the least row hash."""
+    """One row of every group of near copies: of those with the smallest doc_id, that of the least
+    row hash.
+
+    Near copies are texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more
+    (A-Z lowered; a text of five words or fewer is one shingle), and groups are the components of
+    such links.  Texts of the same words are merged first.  Candidates come from fingerprints of
+    128 bits: each of ``TABLES`` tables deals them by 14 of the bits, chosen at random once for
+    all, and searches the Gray-order index of a bucket.  A table proposes each print's nearest
+    neighbour before and after it in its bucket, so that a large group gives a few links per text
+    and not all pairs.  Every proposed link is confirmed on the texts themselves.
+    """
     packed = docs.select(F.struct("*").alias("_row")).withColumns(
         {"_k1": F.xxhash64("_row"), "_k2": F.xxhash64(F.lit(1), F.col("_row"))}
     )
     key = F.struct(
         F.col("_row.doc_id").isNull().alias("last"), F.col("_row.doc_id").alias("id"), "_k1", "_k2"
     )
-    marked = settle(fingerprints(packed.select(key.alias("doc_id"), F.col("_row.text").alias("text"))))
-    first = roots_of(marked).groupBy("root").agg(F.min("first_id").alias("first_id"))
-    kept = settle(first.select("first_id._k1", "first_id._k2"))
-    return packed.join(kept, ["_k1", "_k2"]).dropDuplicates(["_k1", "_k2"]).select("_row.*")
+    texts = packed.select(key.alias("_key"), F.col("_row.text").cast("string").alias("text"))
+
+    def marks(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = [shingle_digests(t) for t in utf8(batch.column("text"))]
+        prints = [wide_print(d).tobytes() for _, d in found]
+        return pa.RecordBatch.from_arrays(
+            [batch.column("_key"), pa.array([n for n, _ in found]), pa.array(prints, pa.binary())],
+            names=["_key", "name", "print"],
+        )
+
+    kind = texts.schema["_key"].dataType.simpleString()
+    marked = settle(map_batches(texts, marks, f"_key {kind}, name binary, print binary"))
+    units = settle(
+        marked.groupBy("name").agg(F.min("_key").alias("_key"), F.first("print").alias("print"))
+    )
+    prints = settle(units.groupBy("print").agg(F.min("name").alias("name"), F.count("*").alias("n")))
+    near = settle(candidate_prints(prints.select("print"), prints.count()).distinct())
+    named = lambda c: prints.select(F.col("print").alias(f"of_{c}"), F.col("name").alias(c))
+    pairs = (
+        near.select(F.col("a").alias("of_a"), F.col("b").alias("of_b"))
+        .join(named("a"), "of_a")
+        .join(named("b"), "of_b")
+        .select("a", "b")
+    )
+    alike = units.select("print", F.col("name").alias("b")).join(
+        prints.where("n > 1").select("print", F.col("name").alias("a")), "print"
+    )
+    pairs = pairs.unionByName(alike.where("a <> b").select("a", "b"))
+    pairs = settle(
+        pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    )
+    release(near, prints)
+    asked = pairs.select(F.col("a").alias("name")).unionByName(pairs.select(F.col("b").alias("name")))
+    asked = settle(units.join(asked.distinct(), "name").select("name", "_key"))
+    wanted = asked.select("name", F.col("_key._k1").alias("_k1"), F.col("_key._k2").alias("_k2"))
+    mine = packed.select("_k1", "_k2", F.col("_row.text").cast("string").alias("text"))
+    found = mine.join(wanted, ["_k1", "_k2"]).select("name", "text").dropDuplicates(["name"])
+    links = confirmed(pairs, found)
+    roots = settle(components(links, "a", "b"))
+    release(pairs, asked, links)
+    rooted = units.join(roots, units.name == roots.node, "left").select(
+        "name", "_key", F.coalesce("root", "name").alias("root")
+    )
+    first = rooted.groupBy("root").agg(F.min("_key").alias("_first"))
+    chosen = rooted.join(first, "root").select("name", "_first")
+    rows = marked.groupBy("name", "_key").agg(F.count("*").alias("n")).join(chosen, "name")
+    rows = settle(
+        rows.select("_key._k1", "_key._k2", "n", (F.col("_key") == F.col("_first")).alias("stays"))
+    )
+    release(marked, units, roots)
+    # most rows stay: only those that go, and equal rows, are named
+    others = rows.where("NOT stays OR n > 1").select("_k1", "_k2")
+    equal = packed.join(rows.where("stays AND n > 1").select("_k1", "_k2"), ["_k1", "_k2"])
+    alone = packed.join(others, ["_k1", "_k2"], "left_anti").select("_row")
+    return alone.unionByName(equal.dropDuplicates(["_k1", "_k2"]).select("_row")).select("_row.*")

@@ -3,12 +3,15 @@
 A byte is removed if a string of ``length`` bytes that covers it also starts at another place of the
 input, in the same or another document.  Documents are UTF-8; strings never cross documents.
 
-1. Equal texts are merged: one of each is searched, with the number of its rows.
+1. Equal texts are merged: one of each is searched, with the number of its rows.  The texts are
+   bucketed by name, so that they move once.
 2. Anchors: every start of a string is given to the gram of 32 bytes of least mixed hash inside the
    string (the last of equal ones).  The choice depends only on the string, so equal strings have
    equal anchors.  Neighbouring starts with one anchor form a run.
-3. Runs whose anchor occurs once hold no repeated string.  Of the others the bytes are taken, and
-   equal runs are merged before and after the shuffle; a run met twice is repeated in whole.
+3. A string has on one side of its anchor at least half of what is not the anchor.  A run without a
+   side (the anchor and that half) that occurs elsewhere holds no repeated string.  Of the others
+   the bytes are taken, and equal runs are merged before and after the shuffle; a run met twice is
+   repeated in whole.
 4. Anchors with several different runs are dealt to shards of bounded bytes.  A shard sorts its
    suffixes by Larsson-Sadakane refinement (groups of equal prefixes double their sorted depth;
    singletons rest), and Kasai's walk gives the common prefixes of neighbours.
@@ -17,6 +20,9 @@ input, in the same or another document.  Documents are UTF-8; strings never cros
    lists.
 6. Repeated starts return to their texts, and the spans they cover are cut.
 
+The same search over words, as codes of some octets of hash, finds passages of equal words.  Tables
+are deleted as soon as their last reader is written, and one search ends before the other starts.
+
 Defined results: null texts are empty; texts shorter than ``length`` stay whole; repeated rows are
 copies of each other and lose all bytes if long enough; an empty table gives no rows.  Only doc_id
 and text are read.
@@ -34,8 +40,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import settle
-from .text import map_batches
+from ..session import release, settle, settle_bucketed
+from .text import map_batches, word_count
 
 LENGTH = 400
 #: Passages of over 50 words, and the octets of hash that stand for a word.
@@ -75,10 +81,23 @@ def window_least(value: np.ndarray, width: int) -> np.ndarray:
     return least
 
 
-def anchor_runs(data: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """anchor, first start and last start of every run of ``data``'s strings."""
+def grams_beside(length: int) -> tuple[int, int]:
+    """What lies beside a string's anchor: on one side at least this many octets, and the width of
+    the two grams that cover them together with the anchor."""
+    half = -(-(length - GRAM) // 2)
+    return half, 1 << ((half + GRAM).bit_length() - 1)
+
+
+def anchor_runs(data: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, ...]:
+    """Of every run of ``data``'s strings: anchor, first start, last start, the anchor's place, and the
+    hashes of the anchor with what lies to its left and to its right.
+
+    A hash reaches ``grams_beside`` octets and holds for strings with so many on that side; it means
+    nothing where the run has no such string.
+    """
     grams = length - GRAM + 1
-    anchors, firsts, lasts = [], [], []
+    half, width = grams_beside(length)
+    found = []
     for at in range(0, len(data) - length + 1, STRETCH):
         part = data[at : at + STRETCH + length - 1]
         mixed = gram_hashes(part)
@@ -88,13 +107,26 @@ def anchor_runs(data: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.
         gram = (low - (chosen & low)).astype(np.int64)
         edge = np.flatnonzero(np.diff(gram)) + 1
         first = np.concatenate([[0], edge])
-        anchors.append(mixed[gram[first]].view(np.int64))
-        firsts.append(first + at)
-        lasts.append(np.concatenate([edge - 1, [len(gram) - 1]]) + at)
-    if not anchors:
-        none = np.zeros(0, np.int64)
-        return none, none, none
-    return np.concatenate(anchors), np.concatenate(firsts), np.concatenate(lasts)
+        mine, wide = gram[first], gram_hashes(part, width)
+        last = len(wide) - 1
+
+        def pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            near, far = wide[np.clip(a, 0, last)], wide[np.clip(b, 0, last)]
+            return (near * np.uint64(BASE) + far).view(np.int64)
+
+        found.append(
+            (
+                mixed[mine].view(np.int64),
+                first + at,
+                np.concatenate([edge - 1, [len(gram) - 1]]) + at,
+                mine + at,
+                pair(mine - half, mine + GRAM - width),
+                pair(mine + half + GRAM - width, mine),
+            )
+        )
+    if not found:
+        return (np.zeros(0, np.int64),) * 6
+    return tuple(np.concatenate(column) for column in zip(*found))
 
 
 def suffix_order(data: np.ndarray) -> np.ndarray:
@@ -105,9 +137,16 @@ def suffix_order(data: np.ndarray) -> np.ndarray:
         key = (key[:-width] << np.uint64(8 * width)) | key[width:]
         width *= 2
     order = np.argsort(key[:n])
+    # a suffix shorter than its key comes before those that hold zero bytes where it has ended
+    ordered = key[order]
+    for short in np.unique(key[max(0, n - 7) : n]):
+        low, high = np.searchsorted(ordered, short, "left"), np.searchsorted(ordered, short, "right")
+        equal = order[low:high]
+        ended = equal > n - 8
+        order[low:high] = np.concatenate([-np.sort(-equal[ended]), equal[~ended]])
     fresh = np.ones(n, bool)
     fresh[1:] = np.diff(key[order]) != 0
-    # the last suffixes are shorter than their key: they must differ from zero bytes
+    # and differs from all others
     tail = np.flatnonzero(order > n - 8)
     fresh[tail] = True
     fresh[tail[tail + 1 < n] + 1] = True
@@ -305,12 +344,26 @@ def _ranges(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _anchors(length: int):
+def octets(body: bytes) -> bytes:
+    """The view in which strings are bytes."""
+    return body
+
+
+def word_codes(body: bytes) -> bytes:
+    """The view in which strings are words: ``CODE_OCTETS`` of hash for each."""
+    digest = xxhash.xxh3_64_digest
+    return b"".join([digest(w)[:CODE_OCTETS] for w in body.split()])
+
+
+def _anchors(length: int, view):
+    half, _ = grams_beside(length)
+
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = batch.column("body").to_pylist()
+        texts = [view(t) for t in batch.column("body").to_pylist()]
         end = np.cumsum([len(t) for t in texts])
         begin = end - [len(t) for t in texts]
-        anchor, first, last = anchor_runs(np.frombuffer(b"".join(texts), np.uint8), length)
+        runs = anchor_runs(np.frombuffer(b"".join(texts), np.uint8), length)
+        first, last = runs[1:3]
         # a run touches the starts of one text only: shorten it to those
         owner = np.searchsorted(end, first, side="right")
         late = first > end[owner] - length
@@ -318,7 +371,8 @@ def _anchors(length: int):
         first = np.maximum(first, begin[owner])
         last = np.minimum(last, end[owner] - length)
         keep = first <= last
-        anchor, owner, first, last = anchor[keep], owner[keep], first[keep], last[keep]
+        anchor, _, _, gram, left, right = (column[keep] for column in runs)
+        owner, first, last = owner[keep], first[keep], last[keep]
         take = pa.array(owner)
         return pa.RecordBatch.from_arrays(
             [
@@ -327,17 +381,19 @@ def _anchors(length: int):
                 pa.array(anchor),
                 pa.array((first - begin[owner]).astype(np.int64)),
                 pa.array((last - begin[owner]).astype(np.int64)),
+                pa.array(left, mask=first > gram - half),
+                pa.array(right, mask=last + length < gram + GRAM + half),
             ],
-            names=["t1", "t2", "anchor", "first", "last"],
+            names=["t1", "t2", "anchor", "first", "last", "left", "right"],
         )
 
     return work
 
 
-def _runs(length: int):
+def _runs(length: int, view):
     def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for row in batch.to_pylist():
-            body, picked = row["body"], row["picked"]
+            body, picked = view(row["body"]), row["picked"]
             parts = [body[p["first"] : p["last"] + length] for p in picked]
             digests = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, parts)), "<i8")
             yield pa.RecordBatch.from_arrays(
@@ -375,45 +431,66 @@ def _merge_spans(batch: pa.RecordBatch) -> pa.RecordBatch:
     )
 
 
+def _body(text):
+    return F.coalesce(text.cast("string"), F.lit("")).cast("binary")
+
+
 def keyed(docs: DataFrame) -> DataFrame:
     """``docs`` packed in _row, the text's bytes as body, and 128 bits that name the text."""
-    body = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
-    return docs.select(F.struct("*").alias("_row"), body.alias("body")).withColumns(
+    body = _body(F.col("text")).alias("body")
+    return docs.select(F.struct("*").alias("_row"), body).withColumns(
         {"t1": F.xxhash64("body"), "t2": F.xxhash64(F.lit(1), F.col("body"))}
     )
 
 
+def merged(rows: DataFrame) -> DataFrame:
+    """t1, t2, body and n (rows) of every text, bucketed by its name.
+
+    What is gathered for a text later does not grow with its copies, and the texts move only here.
+    """
+    texts = rows.groupBy("t1", "t2").agg(F.first("body").alias("body"), F.count("*").alias("n"))
+    return settle_bucketed(texts, "t1", "t2", compression="zstd")
+
+
 def repeated_spans(
-    texts: DataFrame, length: int = LENGTH, shard_bytes: int = SHARD_BYTES
+    rows: DataFrame, length: int = LENGTH, shard_bytes: int = SHARD_BYTES
 ) -> DataFrame:
     """t1, t2, begins and ends: the removed bytes of every text (t1, t2, body) that has some."""
-    # one row for each text: what is gathered for a text does not grow with its copies
-    texts = settle(
-        texts.where(F.octet_length("body") >= length)
-        .groupBy("t1", "t2")
-        .agg(F.first("body").alias("body"), F.count("*").alias("n")),
-        compression="zstd",
-    )
-    anchors = settle(
+    texts = merged(rows)
+    spans = text_spans(texts, octets, length, shard_bytes)
+    release(texts)
+    return spans
+
+
+def text_spans(texts: DataFrame, view, length: int, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """t1, t2, begins and ends of what is repeated in a view of ``merged`` texts."""
+    sided = settle(
         map_batches(
-            texts.drop("n"), _anchors(length), "t1 long, t2 long, anchor long, first long, last long"
+            texts.where(F.octet_length("body") >= F.lit(length if view is octets else 0)).select(
+                "t1", "t2", "body"
+            ),
+            _anchors(length, view),
+            "t1 long, t2 long, anchor long, first long, last long, left long, right long",
         )
     )
+    sides = F.explode(F.array_compact(F.array("left", "right"))).alias("side")
+    sides = sided.select("t1", "t2", "anchor", "first", "last", sides)
     ends = [f(c).alias(f"{f.__name__}_{c}") for c in ("t1", "t2", "first") for f in (F.min, F.max)]
     apart = " OR ".join(f"min_{c} <> max_{c}" for c in ("t1", "t2", "first"))
-    again = settle(anchors.groupBy("anchor").agg(*ends).where(apart).select("anchor"))
+    again = settle(sides.groupBy("side").agg(*ends).where(apart).select("side"))
+    anchors = settle(sides.join(again, "side").drop("side").distinct())
+    release(sided, again)
     place = F.struct("anchor", "first", "last")
-    picked = anchors.join(again, "anchor").groupBy("t1", "t2").agg(
-        F.array_distinct(F.collect_list(place)).alias("picked")
-    )
+    picked = anchors.groupBy("t1", "t2").agg(F.collect_list(place).alias("picked"))
     runs = settle(
         map_batches(
-            texts.drop("n").join(picked, ["t1", "t2"]),
-            _runs(length),
+            texts.select("t1", "t2", "body").join(picked, ["t1", "t2"]),
+            _runs(length, view),
             "t1 long, t2 long, first long, anchor long, d1 long, d2 long, size long, bytes binary",
         ),
         compression="zstd",
     )
+    release(anchors)
     key = ["anchor", "d1", "d2"]
     counted = settle(runs.groupBy(*key).agg(F.count("*").alias("n"), F.first("size").alias("size")))
     several = settle(
@@ -441,6 +518,9 @@ def repeated_spans(
     found = settle(
         dealt.groupBy("shard", "split", "part").applyInPandas(_shard(length), SHARD_COLUMNS)
     )
+    release(several)
+    places = settle(runs.select("t1", "t2", "first", *key))
+    release(runs)
     across = map_batches(
         found.where("codes IS NOT NULL").select(*key, "part", "starts", "codes"),
         _ranges,
@@ -461,29 +541,42 @@ def repeated_spans(
         *key, F.lit(0).cast("bigint").alias("b"), F.col("size").alias("e")
     )
     marks = partly.unionByName(wholly)
-    spans = runs.select("t1", "t2", "first", *key).join(marks, key)
-    copied = texts.where("n > 1").select("t1", "t2", F.octet_length("body").alias("size"))
+    spans = places.join(marks, key)
     one = lambda b, e: F.struct(b.cast("bigint").alias("b"), e.cast("bigint").alias("e"))
     listed = spans.select(
         "t1", "t2", one(F.col("first") + F.col("b"), F.col("first") + F.col("e")).alias("s")
-    ).unionByName(copied.select("t1", "t2", one(F.lit(0), F.col("size")).alias("s")))
-    return map_batches(
-        listed.groupBy("t1", "t2").agg(F.collect_list("s").alias("spans")),
-        _merge_spans,
-        "t1 long, t2 long, begins array<long>, ends array<long>",
+    ).unionByName(_copied(texts, view, length, one))
+    out = settle(
+        map_batches(
+            listed.groupBy("t1", "t2").agg(F.collect_list("s").alias("spans")),
+            _merge_spans,
+            "t1 long, t2 long, begins array<long>, ends array<long>",
+        )
     )
+    release(found, counted, places)
+    return out
+
+
+def _copied(texts: DataFrame, view, length: int, one) -> DataFrame:
+    """Texts of several rows: all of the view is repeated, if it is long enough."""
+    size = F.octet_length("body") if view is octets else word_count(F.decode("body", "UTF-8")) * CODE_OCTETS
+    copied = texts.where("n > 1").select("t1", "t2", size.alias("size"))
+    return copied.where(F.col("size") >= length).select("t1", "t2", one(F.lit(0), F.col("size")).alias("s"))
 
 
 def cut_repeats(docs: DataFrame, length: int = LENGTH, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """_row (the columns of ``docs``), body, and begins and ends of the removed spans."""
     rows = keyed(docs)
-    spans = settle(repeated_spans(rows, length, shard_bytes))
+    return _beside_rows(rows, repeated_spans(rows, length, shard_bytes), "begins", "ends")
+
+
+def _beside_rows(rows: DataFrame, spans: DataFrame, *names: str) -> DataFrame:
+    """_row, body, and the lists ``names`` of the row's text, empty where ``spans`` lacks it."""
     none = F.array().cast("array<bigint>")
-    return rows.join(spans, ["t1", "t2"], "left").select(
-        "_row",
-        "body",
-        F.coalesce("begins", none).alias("begins"),
-        F.coalesce("ends", none).alias("ends"),
+    return (
+        rows.select("_row", "t1", "t2")
+        .join(spans, ["t1", "t2"], "left")
+        .select("_row", _body(F.col("_row.text")).alias("body"), *[F.coalesce(n, none).alias(n) for n in names])
     )
 
 
@@ -514,68 +607,64 @@ def kept_bytes(whole_characters: bool = False):
     return F.aggregate(parts, F.lit(b"").cast("binary"), lambda done, part: F.concat(done, part))
 
 
-def word_codes(docs: DataFrame) -> DataFrame:
-    """t1, t2 (as in ``keyed``) and body, six octets of hash for each word of the text."""
-
-    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        digest = xxhash.xxh3_64_digest
-        codes = [
-            b"".join([digest(w)[:CODE_OCTETS] for w in t.split()])
-            for t in batch.column("body").to_pylist()
-        ]
-        return pa.RecordBatch.from_arrays(
-            [batch.column("t1"), batch.column("t2"), pa.array(codes, pa.binary())],
-            names=["t1", "t2", "body"],
-        )
-
-    return map_batches(docs.select("t1", "t2", "body"), work, "t1 long, t2 long, body binary")
-
-
 def _word_spans(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     """Spans of word codes as spans of the text's bytes, from a first word to the end of a last."""
     for row in batch.to_pylist():
         edges = [m.span() for m in WORD.finditer(row["body"])]
-        spans = []
-        for begin, end in zip(row["begins"], row["ends"]):
-            # a span may reach some octets into a word that happens to begin or end alike
-            first, beyond = -(-begin // CODE_OCTETS), end // CODE_OCTETS
-            spans.append({"b": edges[first][0], "e": edges[beyond - 1][1]})
-        kind = pa.list_(pa.struct([("b", pa.int64()), ("e", pa.int64())]))
+        # a span may reach some octets into a word that happens to begin or end alike
+        begins = [edges[-(-b // CODE_OCTETS)][0] for b in row["begins"]]
+        ends = [edges[e // CODE_OCTETS - 1][1] for e in row["ends"]]
+        long = pa.list_(pa.int64())
         yield pa.RecordBatch.from_arrays(
-            [pa.array([row["t1"]]), pa.array([row["t2"]]), pa.array([spans], kind)],
-            names=["t1", "t2", "spans"],
+            [pa.array([row["t1"]]), pa.array([row["t2"]]), pa.array([begins], long), pa.array([ends], long)],
+            names=["t1", "t2", "passage_begins", "passage_ends"],
         )
 
 
-def cut_passages(docs: DataFrame, length: int = LENGTH, words: int = PASSAGE_WORDS) -> DataFrame:
-    """As ``cut_repeats``, and what ``words`` equal words at two places cover is removed as well.
+def repeats_and_passages(
+    docs: DataFrame, length: int = LENGTH, words: int = PASSAGE_WORDS
+) -> DataFrame:
+    """As ``cut_repeats``, and passage_begins and passage_ends: what ``words`` equal words that stand at
+    two places cover, from a first word to the end of a last.
 
     Words are compared by 48 bits of hash, in passages of ``words``; the space between may differ.
     """
     rows = keyed(docs)
-    passages = settle(repeated_spans(word_codes(rows), words * CODE_OCTETS))
-    distinct = rows.groupBy("t1", "t2").agg(F.first("body").alias("body"))
-    by_words = map_batches(
-        passages.join(distinct, ["t1", "t2"]),
-        _word_spans,
-        "t1 long, t2 long, spans array<struct<b: long, e: long>>",
-    )
-    strings = repeated_spans(rows, length).select(
-        "t1",
-        "t2",
-        F.zip_with("begins", "ends", lambda b, e: F.struct(b.alias("b"), e.alias("e"))).alias("spans"),
-    )
-    both = by_words.unionByName(strings).groupBy("t1", "t2")
-    spans = settle(
+    texts = merged(rows)
+    coded = text_spans(texts, word_codes, words * CODE_OCTETS)
+    passages = settle(
         map_batches(
-            both.agg(F.flatten(F.collect_list("spans")).alias("spans")),
-            _merge_spans,
-            "t1 long, t2 long, begins array<long>, ends array<long>",
+            coded.join(texts.select("t1", "t2", "body"), ["t1", "t2"]),
+            _word_spans,
+            "t1 long, t2 long, passage_begins array<long>, passage_ends array<long>",
         )
     )
-    none = F.array().cast("array<bigint>")
-    return rows.join(spans, ["t1", "t2"], "left").select(
-        "_row", "body", F.coalesce("begins", none).alias("begins"), F.coalesce("ends", none).alias("ends")
+    release(coded)
+    strings = text_spans(texts, octets, length)
+    release(texts)
+    both = strings.join(passages, ["t1", "t2"], "full")
+    return _beside_rows(rows, both, "begins", "ends", "passage_begins", "passage_ends")
+
+
+def cut_passages(docs: DataFrame, length: int = LENGTH, words: int = PASSAGE_WORDS) -> DataFrame:
+    """As ``cut_repeats``, and what passages of ``words`` equal words cover is removed as well."""
+    found = repeats_and_passages(docs, length, words)
+    # all spans by their begins, then the furthest end so far tells where a new one starts
+    one = lambda b, e: F.zip_with(b, e, lambda x, y: F.struct(x.alias("b"), y.alias("e")))
+    listed = F.array_sort(F.concat(one("begins", "ends"), one("passage_begins", "passage_ends")))
+    span = "array<struct<b: bigint, e: bigint>>"
+
+    def join(done, s):
+        last = F.element_at(done, -1)
+        wider = F.struct(last["b"].alias("b"), F.greatest(last["e"], s["e"]).alias("e"))
+        touched = F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(wider))
+        return F.when((F.size(done) > 0) & (s["b"] <= F.try_element_at(done, F.lit(-1))["e"]), touched).otherwise(
+            F.concat(done, F.array(s))
+        )
+
+    spans = F.aggregate(listed, F.array().cast(span), join)
+    return found.select("_row", "body", spans.alias("_spans")).select(
+        "_row", "body", F.col("_spans.b").alias("begins"), F.col("_spans.e").alias("ends")
     )
 
 
