@@ -58,6 +58,24 @@ def settle(df: DataFrame, **options: str) -> DataFrame:
     return back
 
 
+def settle_bucketed(df: DataFrame, *keys: str, **options: str) -> DataFrame:
+    """``settle`` as a table bucketed by ``keys``.
+
+    Joins and aggregations by exactly these keys then move only the other side.  There are as many
+    buckets as shuffle partitions, so the other side is dealt alike; the rows are dealt first, so a
+    task writes one file per bucket that it holds.
+    """
+    spark = df.sparkSession
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"gridloom_{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}"
+    dealt = df.repartition(buckets, *keys)
+    dealt.write.options(**options).option("path", path).bucketBy(buckets, *keys).saveAsTable(name)
+    back = spark.table(name)
+    back._settled_at, back._table = path, name
+    return back
+
+
 def release(*tables: DataFrame | None) -> None:
     """Delete settled tables that a loop has replaced.
 
@@ -69,6 +87,8 @@ def release(*tables: DataFrame | None) -> None:
         if path is None:
             continue
         spark = df.sparkSession
+        if getattr(df, "_table", None):
+            spark.sql(f"DROP TABLE IF EXISTS {df._table}")
         place = spark._jvm.org.apache.hadoop.fs.Path(path)
         place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
