@@ -44,6 +44,30 @@ def whole_sum(value: str | Column) -> Column:
     return F.when(F.count_if(value.isNull()) == 0, F.sum(value))
 
 
+def unknown(value: str | Column) -> Column:
+    """True for null and NaN."""
+    value = col(value).cast("double")
+    return value.isNull() | F.isnan(value)
+
+
+def known_max(value: Column, among: Column | None = None) -> Column:
+    """Largest value of a group (of the rows ``among``): 0 without rows, null if one is unknown."""
+    among = F.lit(True) if among is None else among
+    open_ = F.count_if(among & unknown(value))
+    return F.when(open_ == 0, F.coalesce(F.max(F.when(among, value)), F.lit(0.0)))
+
+
+def norm(value: str | Column) -> Column:
+    """Euclidean norm of a group: null if one of its values is unknown."""
+    value = col(value)
+    return F.when(F.count_if(unknown(value)) == 0, F.sqrt(F.sum(value * value)))
+
+
+def absent_as_zero(present: str, value: str) -> Column:
+    """0 where an outer join found no row (its mark ``present`` is null); unknown stays unknown."""
+    return F.when(F.col(present).isNull(), F.lit(0.0)).otherwise(F.col(value))
+
+
 def reason_list(pairs: Iterable[tuple[str, Column]]) -> Column:
     """Names of the conditions that hold, in the order given; null conditions do not hold."""
     return F.array_compact(

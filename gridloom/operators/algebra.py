@@ -7,7 +7,15 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import EPS, clip, positive_part
+from ..functions.columns import (
+    EPS,
+    absent_as_zero,
+    clip,
+    known_max,
+    norm,
+    positive_part,
+    whole_sum,
+)
 from ..session import settle
 
 ROW = ["case_id", "block", "row"]
@@ -136,10 +144,13 @@ def objective(
 def row_activity(
     a: DataFrame, row_vec: DataFrame, state_col: DataFrame, state_row: DataFrame | None = None
 ) -> DataFrame:
-    """``(ax, b, y)`` by row, gathered in one aggregation instead of three joins."""
+    """``(ax, b, y)`` by row, gathered in one aggregation instead of three joins.
+
+    An entry whose column has no state, or an unknown one, makes its row's ``ax`` unknown.
+    """
     empty = F.lit(None).cast("double")
     terms = (
-        a.join(state_col.select(*COL, "x"), COL)
+        a.join(state_col.select(*COL, "x"), COL, "left")
         .select(*ROW, (F.col("value") * F.col("x")).alias("ax"), empty.alias("b"), empty.alias("y"))
         .unionByName(row_vec.select(*ROW, F.lit(0.0).alias("ax"), "b", empty.alias("y")))
     )
@@ -148,14 +159,14 @@ def row_activity(
             state_row.select(*ROW, F.lit(0.0).alias("ax"), empty.alias("b"), "y")
         )
     return terms.groupBy(*ROW).agg(
-        F.sum("ax").alias("ax"), F.max("b").alias("b"), F.max("y").alias("y")
+        whole_sum("ax").alias("ax"), F.max("b").alias("b"), F.max("y").alias("y")
     )
 
 
 def col_activity(
     a: DataFrame, col_vec: DataFrame, state_col: DataFrame, state_row: DataFrame
 ) -> DataFrame:
-    """``(aty, c, lower, upper, x, z)`` by column."""
+    """``(aty, c, lower, upper, x, z)`` by column; ``aty`` is null if a multiplier is missing."""
     names = ["c", "lower", "upper", "x", "z"]
 
     def shape(df: DataFrame, present: Sequence[str]) -> DataFrame:
@@ -166,7 +177,7 @@ def col_activity(
             *[F.col(n) if n in present else blank.alias(n) for n in names],
         )
 
-    products = a.join(state_row.select(*ROW, "y"), ROW).select(
+    products = a.join(state_row.select(*ROW, "y"), ROW, "left").select(
         *COL, (F.col("value") * F.col("y")).alias("aty")
     )
     terms = (
@@ -175,7 +186,7 @@ def col_activity(
         .unionByName(shape(state_col, ["x", "z"]))
     )
     return terms.groupBy(*COL).agg(
-        F.sum("aty").alias("aty"), *[F.max(n).alias(n) for n in names]
+        whole_sum("aty").alias("aty"), *[F.max(n).alias(n) for n in names]
     )
 
 
@@ -231,11 +242,11 @@ def residual_summary(
     state_row: DataFrame,
     tolerance: float = 5e-5,
 ) -> DataFrame:
-    """One record per case: raw, normalised and combined norms and the stopping flags."""
-
-    def norm(value: Column) -> Column:
-        return F.sqrt(F.coalesce(F.sum(value * value), F.lit(0.0)))
+    """One record per case: raw, normalised and combined norms and the stopping flags.
 
+    A norm over an unknown value (null, NaN, or a state that is not there) is null, and its flag
+    is false.  Only a case without rows, or without columns, has 0 for what it lacks.
+    """
     primal = dual_projection(F.col("b") - F.col("ax"), F.col("block"))
     rows = (
         row_activity(a, row_vec, state_col, state_row)
@@ -243,7 +254,8 @@ def residual_summary(
         .agg(
             norm(_dual_part()).alias("dual"),
             norm(primal).alias("primal"),
-            norm(F.col("b")).alias("b_norm"),
+            norm("b").alias("b_norm"),
+            F.lit(True).alias("_rows"),
         )
     )
     cols = (
@@ -252,12 +264,20 @@ def residual_summary(
         .agg(
             norm(_box_part()).alias("box"),
             norm(_stationarity_part()).alias("stationarity"),
-            norm(F.col("x")).alias("x_norm"),
-            norm(F.col("z")).alias("z_norm"),
-            norm(F.col("c")).alias("c_norm"),
+            norm("x").alias("x_norm"),
+            norm("z").alias("z_norm"),
+            norm("c").alias("c_norm"),
+            F.lit(True).alias("_cols"),
         )
     )
-    joined = rows.join(cols, "case_id", "full_outer").na.fill(0.0)
+    joined = rows.join(cols, "case_id", "full_outer").select(
+        "case_id",
+        *[absent_as_zero("_rows", n).alias(n) for n in ("dual", "primal", "b_norm")],
+        *[
+            absent_as_zero("_cols", n).alias(n)
+            for n in ("box", "stationarity", "x_norm", "z_norm", "c_norm")
+        ],
+    )
     scaled = joined.select(
         "case_id",
         F.sqrt(
@@ -271,7 +291,10 @@ def residual_summary(
         ).alias("normalized"),
     )
     n = "normalized"
-    flags = {p: F.col(f"{n}.{p}") <= tolerance for p in ("primal", "box", "stationarity")}
+    flags = {
+        p: F.coalesce(F.col(f"{n}.{p}") <= tolerance, F.lit(False))
+        for p in ("primal", "box", "stationarity")
+    }
     return scaled.select(
         "*",
         F.sqrt(
@@ -309,29 +332,37 @@ def stopping_residual(
 def max_primal_violation(
     a: DataFrame, row_vec: DataFrame, col_vec: DataFrame, state_col: DataFrame
 ) -> DataFrame:
-    """Largest equality, inequality and bound violation per case."""
+    """Largest equality, inequality and bound violation per case.
+
+    A kind with an unknown term (a null or NaN state, a column without a state, a state
+    without bounds) is null, and so is ``overall``.
+    """
     gap = F.col("ax") - F.col("b")
     rows = (
         row_activity(a, row_vec, state_col)
         .groupBy("case_id")
         .agg(
-            F.max(F.when(F.col("block") == "A1", F.abs(gap))).alias("equality"),
-            F.max(F.when(F.col("block") == "A2", positive_part(-gap))).alias("inequality"),
+            known_max(F.abs(gap), F.col("block") == "A1").alias("equality"),
+            known_max(positive_part(-gap), F.col("block") == "A2").alias("inequality"),
+            F.lit(True).alias("_rows"),
         )
     )
     cols = (
-        state_col.join(col_vec.select(*COL, "lower", "upper"), COL)
+        state_col.select(*COL, "x")
+        .join(col_vec.select(*COL, "lower", "upper"), COL, "full_outer")
         .groupBy("case_id")
         .agg(
-            F.max(positive_part(F.col("lower") - F.col("x"))).alias("lower"),
-            F.max(positive_part(F.col("x") - F.col("upper"))).alias("upper"),
+            known_max(positive_part(F.col("lower") - F.col("x"))).alias("lower"),
+            known_max(positive_part(F.col("x") - F.col("upper"))).alias("upper"),
+            F.lit(True).alias("_cols"),
         )
     )
-    return (
-        rows.join(cols, "case_id", "full_outer")
-        .na.fill(0.0)
-        .withColumn("overall", F.greatest("equality", "inequality", "lower", "upper"))
+    kinds = {"equality": "_rows", "inequality": "_rows", "lower": "_cols", "upper": "_cols"}
+    found = rows.join(cols, "case_id", "full_outer").select(
+        "case_id", *[absent_as_zero(mark, n).alias(n) for n, mark in kinds.items()]
     )
+    open_ = F.greatest(*[F.col(n).isNull() for n in kinds])
+    return found.withColumn("overall", F.when(~open_, F.greatest(*kinds)))
 
 
 def spectral_bounds(a: DataFrame) -> DataFrame:

@@ -7,7 +7,16 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import TINY, close, every, finite, scaled_gap
+from ..functions.columns import (
+    TINY,
+    close,
+    every,
+    finite,
+    known_max,
+    norm,
+    scaled_gap,
+    whole_sum,
+)
 from ..functions.ordered import exact_quantiles, position
 
 
@@ -185,18 +194,30 @@ def scaled_gaps(pairs: DataFrame, a: str, b: str) -> DataFrame:
 def relative_error(
     a: DataFrame, b: DataFrame, keys: Sequence[str], value: str, group: Sequence[str] = ("case_id",)
 ) -> DataFrame:
-    """L2 error over max(1, norm) and over the norm itself."""
-    pair = a.select(*keys, F.col(value).alias("_a")).join(
-        b.select(*keys, F.col(value).alias("_b")), list(keys)
-    )
-    error = F.sqrt(F.sum((F.col("_a") - F.col("_b")) ** 2))
-    norm = F.sqrt(F.sum(F.col("_b") ** 2))
+    """L2 error over max(1, norm) and over the norm itself; both are null if a value is unknown or
+    a position is on one side only.  ``unmatched`` counts such positions."""
+    pair = _pairs(a, b, keys, value)
+    error, size = norm(F.col("_a") - F.col("_b")), norm("_b")
     return pair.groupBy(*group).agg(
-        (error / F.greatest(F.lit(1.0), norm)).alias("scaled_error"),
-        (error / F.greatest(F.lit(TINY), norm)).alias("relative_error"),
+        (error / _at_least(1.0, size)).alias("scaled_error"),
+        (error / _at_least(TINY, size)).alias("relative_error"),
+        F.count_if(F.col("_in_a").isNull() | F.col("_in_b").isNull()).alias("unmatched"),
+    )
+
+
+def _pairs(a: DataFrame, b: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """Both sides' values of every position, with marks of the sides that list it."""
+    yes = F.lit(True)
+    return a.select(*keys, F.col(value).alias("_a"), yes.alias("_in_a")).join(
+        b.select(*keys, F.col(value).alias("_b"), yes.alias("_in_b")), list(keys), "full_outer"
     )
 
 
+def _at_least(low: float, value: Column) -> Column:
+    """The larger of both; null stays null."""
+    return F.when(value.isNotNull(), F.greatest(F.lit(low), value))
+
+
 def compare_vectors(
     a: DataFrame,
     b: DataFrame,
@@ -213,7 +234,7 @@ def compare_vectors(
     both = F.col("_in_a").isNotNull() & F.col("_in_b").isNotNull()
     known = both & finite("_a") & finite("_b")
     gap = F.when(known, F.col("_a") - F.col("_b"))
-    norm = F.sqrt(F.coalesce(F.sum(F.when(known, F.col("_b") ** 2)), F.lit(0.0)))
+    size = F.sqrt(F.coalesce(F.sum(F.when(known, F.col("_b") ** 2)), F.lit(0.0)))
     infinite = F.lit(float("inf"))
     facts = pair.groupBy(*group).agg(
         every(both).alias("shape_matches"),
@@ -221,7 +242,7 @@ def compare_vectors(
         every(
             (F.col("_in_a").isNull() | finite("_a")) & (F.col("_in_b").isNull() | finite("_b"))
         ).alias("finite"),
-        (F.sqrt(F.sum(gap**2)) / F.greatest(F.lit(1.0), norm)).alias("_relative"),
+        (F.sqrt(F.sum(gap**2)) / F.greatest(F.lit(1.0), size)).alias("_relative"),
         F.max(F.abs(gap)).alias("_largest"),
     )
     usable = F.col("shape_matches") & F.col("finite")
@@ -254,35 +275,36 @@ def solution_error_metrics(
 ) -> DataFrame:
     """Errors of a candidate against a direct solution, and its system residual.
 
-    ``gram(case_id, r1, r2, value)``; vectors are ``(case_id, row, value)``.
+    ``gram(case_id, r1, r2, value)``; vectors are ``(case_id, row, value)``.  Errors over an
+    unknown value or a row of one side only are null, and ``unmatched`` counts such rows; a
+    residual over an unknown value is null.
     """
     keys = ["case_id", "row"]
-    pair = candidate.select(*keys, F.col("value").alias("_c")).join(
-        direct.select(*keys, F.col("value").alias("_d")), keys
-    )
-    gap = F.col("_c") - F.col("_d")
-    l2 = F.sqrt(F.sum(gap**2))
-    norm = F.sqrt(F.sum(F.col("_d") ** 2))
-    largest = F.max(F.abs(gap))
+    pair = _pairs(candidate, direct, keys, "value")
+    gap = F.col("_a") - F.col("_b")
+    l2, size = norm(gap), norm("_b")
+    largest = known_max(F.abs(gap))
     errors = pair.groupBy("case_id").agg(
         l2.alias("absolute_error_l2"),
         largest.alias("maximum_component_error"),
-        (l2 / F.greatest(norm, F.lit(TINY))).alias("relative_solution_error"),
-        (l2 / F.greatest(F.lit(1.0), norm)).alias("scaled_solution_error"),
-        (largest / F.greatest(F.lit(1.0), F.max(F.abs("_d")))).alias("scaled_component_error"),
+        (l2 / _at_least(TINY, size)).alias("relative_solution_error"),
+        (l2 / _at_least(1.0, size)).alias("scaled_solution_error"),
+        (largest / _at_least(1.0, known_max(F.abs("_b")))).alias("scaled_component_error"),
+        F.count_if(F.col("_in_a").isNull() | F.col("_in_b").isNull()).alias("unmatched"),
     )
     product = gram.join(
-        candidate.select("case_id", F.col("row").alias("r2"), F.col("value").alias("_c")), ["case_id", "r2"]
+        candidate.select("case_id", F.col("row").alias("r2"), F.col("value").alias("_c")),
+        ["case_id", "r2"],
+        "left",
     ).select("case_id", F.col("r1").alias("row"), (F.col("value") * F.col("_c")).alias("p"), F.lit(0.0).alias("b"))
     wanted = rhs.select(*keys, F.lit(0.0).alias("p"), F.col("value").alias("b"))
-    rows = product.unionByName(wanted).groupBy(*keys).agg(F.sum("p").alias("p"), F.sum("b").alias("b"))
+    rows = product.unionByName(wanted).groupBy(*keys).agg(
+        whole_sum("p").alias("p"), whole_sum("b").alias("b")
+    )
     residual = rows.groupBy("case_id").agg(
-        (
-            F.sqrt(F.sum((F.col("p") - F.col("b")) ** 2))
-            / F.greatest(F.lit(1.0), F.sqrt(F.sum(F.col("b") ** 2)))
-        ).alias("normalized_system_residual")
+        (norm(F.col("p") - F.col("b")) / _at_least(1.0, norm("b"))).alias("normalized_system_residual")
     )
-    return errors.join(residual, "case_id")
+    return errors.join(residual, "case_id", "full_outer")
 
 
 def track_summary(tracks: DataFrame, keys: Sequence[str]) -> DataFrame:

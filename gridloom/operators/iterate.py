@@ -13,7 +13,14 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import EPS, clip, positive_part, reason_list
+from ..functions.columns import (
+    EPS,
+    absent_as_zero,
+    clip,
+    positive_part,
+    reason_list,
+    whole_sum,
+)
 from ..functions.ordered import BLOCK, previous
 from ..session import release, settle
 from .algebra import COL, ROW, residual_summary, spmv, spmv_t
@@ -372,11 +379,21 @@ def metric_quadratic(
     equality = (
         first.join(solved, ["case_id", "row"])
         .groupBy("case_id")
-        .agg(F.sum(F.col("value") * F.col("y")).alias("equality_term"))
+        .agg(
+            whole_sum(F.col("value") * F.col("y")).alias("equality_term"),
+            F.lit(True).alias("_equal"),
+        )
+    )
+    square = _block(delta_row, "A2").groupBy("case_id").agg(
+        whole_sum(F.col("y") ** 2).alias("_sq"), F.lit(True).alias("_other")
     )
-    square = _block(delta_row, "A2").groupBy("case_id").agg(F.sum(F.col("y") ** 2).alias("_sq"))
     joined = control.join(equality, "case_id", "left").join(square, "case_id", "left")
-    joined = joined.na.fill(0.0, ["equality_term", "_sq"])
+    joined = joined.withColumns(
+        {
+            "equality_term": absent_as_zero("_equal", "equality_term"),
+            "_sq": absent_as_zero("_other", "_sq"),
+        }
+    )
     inequality = F.col("lambda_used") * F.col("_sq")
     value = F.col("equality_term") + inequality
     scale = F.greatest(F.lit(1.0), F.abs("equality_term"), F.abs(inequality))
@@ -390,17 +407,21 @@ def metric_quadratic(
 def restart_merit(
     lp: Problem, delta_col: DataFrame, delta_row: DataFrame, control: DataFrame, solve: Solver
 ) -> DataFrame:
-    """Norm of a movement in the step's metric: primal, cross and dual terms."""
+    """Norm of a movement in the step's metric: primal, cross and dual terms; null if one is unknown."""
     quadratic = metric_quadratic(lp, delta_row, control, solve)
-    primal = delta_col.groupBy("case_id").agg(F.sum(F.col("x") ** 2).alias("_xx"))
+    primal = delta_col.groupBy("case_id").agg(
+        whole_sum(F.col("x") ** 2).alias("_xx"), F.lit(True).alias("_cols")
+    )
     cross = (
         spmv(lp.a, delta_col, "x", "v")
         .join(delta_row.select(*ROW, "y"), ROW)
         .groupBy("case_id")
-        .agg(F.sum(F.col("v") * F.col("y")).alias("_xy"))
+        .agg(whole_sum(F.col("v") * F.col("y")).alias("_xy"), F.lit(True).alias("_both"))
     )
     joined = quadratic.join(control, "case_id").join(primal, "case_id", "left")
-    joined = joined.join(cross, "case_id", "left").na.fill(0.0, ["_xx", "_xy"])
+    joined = joined.join(cross, "case_id", "left").withColumns(
+        {"_xx": absent_as_zero("_cols", "_xx"), "_xy": absent_as_zero("_both", "_xy")}
+    )
     first = F.col("_xx") / F.col("sigma")
     second = 2.0 * F.col("_xy")
     third = F.col("sigma") * F.col("quadratic")

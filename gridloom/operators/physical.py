@@ -11,7 +11,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import INF, finite, positive_part, whole_sum
+from ..functions.columns import (
+    INF,
+    absent_as_zero,
+    finite,
+    known_max,
+    positive_part,
+    unknown,
+    whole_sum,
+)
 from ..functions.ordered import BLOCK, running_sum
 from .algebra import COL, row_activity
 
@@ -146,8 +154,43 @@ def violation_ramp(dispatch: DataFrame, gen: DataFrame, dt: float = 1.0) -> Data
     """Change between consecutive periods against the limits.
 
     Each output is sent to its own period and to the next one; one aggregation by
-    (case, device, period) pairs them, so no device's horizon is sorted in one task.
+    (case, device, period) pairs them, so no device's horizon is sorted in one task.  Changes across
+    a missing period are not known: ``ramp_gaps`` lists them.
+    """
+    paired = _paired(dispatch).where(F.col("_now") & F.col("_before"))
+    change = F.col("now") - F.col("before")
+    return _unfold(
+        _with(paired, gen, "ramp_up", "ramp_down"),
+        "generator_ramping",
+        F.col("pos"),
+        {
+            "up": positive_part(change - F.col("ramp_up") * F.lit(dt)),
+            "down": positive_part(-F.col("ramp_down") * F.lit(dt) - change),
+        },
+    )
+
+
+def ramp_gaps(dispatch: DataFrame) -> DataFrame:
+    """Changes that cannot be checked, as violations with a null value, which do not pass.
+
+    A change into or out of a period that is missing between a device's first and last period.
     """
+    spans = dispatch.groupBy(*DEVICE).agg(
+        F.min("period").alias("_first"), F.max("period").alias("_last")
+    )
+    one = F.col("_now").isNull() | F.col("_before").isNull()
+    inside = (F.col("period") > F.col("_first")) & (F.col("period") <= F.col("_last"))
+    open_ = F.lit(None).cast("double")
+    return _unfold(
+        _paired(dispatch).where(one).join(spans, DEVICE).where(inside),
+        "generator_ramping",
+        F.col("pos"),
+        {"up": open_, "down": open_},
+    )
+
+
+def _paired(dispatch: DataFrame) -> DataFrame:
+    """Output now and in the period before, with marks of the two being listed."""
     none = F.lit(None).cast("double")
     keys = [*DEVICE, "period"]
     yes, no = F.lit(True), F.lit(None).cast("boolean")
@@ -159,21 +202,10 @@ def violation_ramp(dispatch: DataFrame, gen: DataFrame, dt: float = 1.0) -> Data
             F.col("p_g").alias("before"), no.alias("_now"), yes.alias("_before"),
         )
     )
-    paired = sent.groupBy(*keys).agg(
+    return sent.groupBy(*keys).agg(
         F.max("now").alias("now"), F.max("before").alias("before"),
         F.max("_now").alias("_now"), F.max("_before").alias("_before"),
     )
-    paired = paired.where(F.col("_now") & F.col("_before"))
-    change = F.col("now") - F.col("before")
-    return _unfold(
-        _with(paired, gen, "ramp_up", "ramp_down"),
-        "generator_ramping",
-        F.col("pos"),
-        {
-            "up": positive_part(change - F.col("ramp_up") * F.lit(dt)),
-            "down": positive_part(-F.col("ramp_down") * F.lit(dt) - change),
-        },
-    )
 
 
 def violation_renewable(output: DataFrame, renewable: DataFrame) -> DataFrame:
@@ -215,12 +247,19 @@ def _energy_change(dt: float) -> Column:
 def storage_energy_path(
     dispatch: DataFrame, storage: DataFrame, dt: float = 1.0, block: int = BLOCK
 ) -> DataFrame:
-    """Energy after each period: the initial energy plus a two-level running sum."""
+    """Energy after each period: the initial energy plus a two-level running sum.
+
+    From the first unknown charge or discharge on, the energy is unknown.
+    """
     both = _with(dispatch, storage, "initial_mwh", "charge_eff", "discharge_eff")
-    summed = running_sum(both, DEVICE, "period", {"_moved": _energy_change(dt)}, block)
-    return summed.select(
-        *DEVICE, "period", (F.col("initial_mwh") + F.col("_moved")).alias("energy_mwh")
-    )
+    change = _energy_change(dt)
+    sums = {
+        "_moved": F.coalesce(change, F.lit(0.0)),
+        "_open": F.when(unknown(change), 1).otherwise(0).cast("bigint"),
+    }
+    summed = running_sum(both, DEVICE, "period", sums, block)
+    energy = F.when(F.col("_open") == 0, F.col("initial_mwh") + F.col("_moved"))
+    return summed.select(*DEVICE, "period", energy.alias("energy_mwh"))
 
 
 def violation_storage_energy(path: DataFrame, storage: DataFrame) -> DataFrame:
@@ -329,10 +368,13 @@ def direct_objective(
 
 
 def objective_difference(direct: DataFrame, canonical: DataFrame, limit: float = 1e-8) -> DataFrame:
-    """Direct cost against ``c'x`` plus constant (``canonical(case_id, objective)``)."""
+    """Direct cost against ``c'x`` plus constant (``canonical(case_id, objective)``).
+
+    A case that one side lacks, or whose difference is unknown, has not passed.
+    """
     gap = F.abs(F.col("objective") - F.col("direct_objective"))
-    return direct.join(canonical, "case_id").withColumn("difference", gap).withColumn(
-        "passed", F.col("difference") <= limit
+    return direct.join(canonical, "case_id", "full_outer").withColumn("difference", gap).withColumn(
+        "passed", F.coalesce(F.col("difference") <= limit, F.lit(False))
     )
 
 
@@ -352,12 +394,17 @@ def reference_slack(injection: DataFrame, ref: DataFrame) -> tuple[DataFrame, Da
 
 
 def flow_crosscheck(flow_a: DataFrame, flow_b: DataFrame, keys: list[str]) -> DataFrame:
-    """Largest difference per case between two flow tables; a missing flow counts as 0."""
-    pair = flow_a.select(*keys, F.col("mw").alias("_a")).join(
-        flow_b.select(*keys, F.col("mw").alias("_b")), keys, "full_outer"
+    """Largest difference per case between two flow tables.
+
+    A branch that one table does not list has flow 0 there; a listed flow that is unknown makes
+    the case's difference null.
+    """
+    yes = F.lit(True)
+    pair = flow_a.select(*keys, F.col("mw").alias("_a"), yes.alias("_in_a")).join(
+        flow_b.select(*keys, F.col("mw").alias("_b"), yes.alias("_in_b")), keys, "full_outer"
     )
-    gap = F.abs(F.coalesce("_a", F.lit(0.0)) - F.coalesce("_b", F.lit(0.0)))
-    return pair.groupBy("case_id").agg(F.max(gap).alias("max_diff"))
+    gap = F.abs(absent_as_zero("_in_a", "_a") - absent_as_zero("_in_b", "_b"))
+    return pair.groupBy("case_id").agg(known_max(gap).alias("max_diff"))
 
 
 # Names of the acceptance gates, in report order.

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import count_if, every, finite, first_reason, near_zero, reason_list
@@ -169,9 +169,15 @@ def contract_drift(
     pair = entries(actual, "actual").join(
         entries(expected, "expected"), [*keys, "key"], "full_outer"
     )
-    number = lambda c: F.when(~F.col(c).startswith('"'), F.expr(f"try_cast({c} AS double)"))
+
+    def number(c: str, kind: str) -> Column:
+        return F.when(~F.col(c).startswith('"'), F.expr(f"try_cast({c} AS {kind})"))
+
+    # equal as doubles, and as decimals where both fit: 2**53 + 1 is not 2**53
+    equal = number("actual", "double") == number("expected", "double")
+    exact = number("actual", "decimal(38,18)") == number("expected", "decimal(38,18)")
     same = F.col("actual").eqNullSafe(F.col("expected")) | F.coalesce(
-        number("actual") == number("expected"), F.lit(False)
+        equal & F.coalesce(exact, F.lit(True)), F.lit(False)
     )
     return pair.where(~same)
 

@@ -7,7 +7,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import EPS, count_if
+from ..functions.columns import EPS, absent_as_zero, count_if, norm
 from ..session import release, settle
 from .algebra import COL, ROW
 
@@ -131,14 +131,21 @@ def _with_scale(df: DataFrame, scale: DataFrame, keys: list[str]) -> DataFrame:
 def normalize_rhs_cost(
     row_vec: DataFrame, col_vec: DataFrame, row_scale: DataFrame, col_scale: DataFrame
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Divide b by 1 + |b/r|, c by 1 + |c/d| and rescale the box; also the two factors."""
+    """Divide b by 1 + |b/r|, c by 1 + |c/d| and rescale the box; also the two factors.
+
+    A factor over an unknown value is null, and with it all that it divides.
+    """
     rows = _with_scale(row_vec, row_scale, ROW).withColumn("b", F.col("b") / F.col("_s"))
     cols = _with_scale(col_vec, col_scale, COL).withColumn("c", F.col("c") / F.col("_s"))
-    b_norm = rows.groupBy("case_id").agg(F.sqrt(F.sum(F.col("b") ** 2)).alias("b_norm"))
-    c_norm = cols.groupBy("case_id").agg(F.sqrt(F.sum(F.col("c") ** 2)).alias("c_norm"))
+    b_norm = rows.groupBy("case_id").agg(norm("b").alias("b_norm"), F.lit(True).alias("_rows"))
+    c_norm = cols.groupBy("case_id").agg(norm("c").alias("c_norm"), F.lit(True).alias("_cols"))
     meta = settle(
         b_norm.join(c_norm, "case_id", "full_outer")
-        .na.fill(0.0)
+        .select(
+            "case_id",
+            absent_as_zero("_rows", "b_norm").alias("b_norm"),
+            absent_as_zero("_cols", "c_norm").alias("c_norm"),
+        )
         .withColumn("b_scale", 1 + F.col("b_norm"))
         .withColumn("c_scale", 1 + F.col("c_norm"))
     )

@@ -162,6 +162,42 @@ def _(t):
     return path.withColumn("energy_mwh", rounded("energy_mwh", 4))
 
 
+NULLED = "CASE WHEN (pos + period) % 11 = 0 THEN NULL ELSE charge END"
+
+
+@query(
+    "storage_energy_nulls",
+    f"""WITH {G}, moved AS (SELECT *, charge_eff * ({NULLED}) - discharge / discharge_eff AS m FROM sd)
+        SELECT case_id, pos, period, CASE WHEN count(*) FILTER (m IS NULL) OVER w = 0
+          THEN {r('initial_mwh + sum(m) OVER w', 4)} END AS energy_mwh
+        FROM moved WINDOW w AS (PARTITION BY case_id, pos ORDER BY period)""",
+    DISPATCH,
+)
+def _(t):
+    """Energy with unknown charges: known before the first of them, unknown from it on."""
+    lost = stored(t).withColumn("charge", F.expr(NULLED))
+    path = p.storage_energy_path(lost, t.storage(), block=16)
+    return path.withColumn("energy_mwh", rounded("energy_mwh", 4))
+
+
+HALF_PAIRS = """(SELECT now.case_id, now.pos, now.period FROM gd now ANTI JOIN gd b
+      ON b.case_id = now.case_id AND b.pos = now.pos AND b.period = now.period - 1
+    UNION ALL SELECT b.case_id, b.pos, b.period + 1 FROM gd b ANTI JOIN gd now
+      ON b.case_id = now.case_id AND b.pos = now.pos AND b.period = now.period - 1)"""
+
+
+@query(
+    "ramp_gaps",
+    f"""WITH {G}, s AS (SELECT case_id, pos, min(period) AS a, max(period) AS z FROM gd GROUP BY ALL)
+        SELECT case_id, 'generator_ramping' AS family, side, period, pos AS element, NULL::DOUBLE AS value
+        FROM {HALF_PAIRS} JOIN s USING (case_id, pos), (VALUES ('up'), ('down')) AS v(side)
+        WHERE period > a AND period <= z""",
+    DISPATCH,
+)
+def _(t):
+    return p.ramp_gaps(generated(t))
+
+
 @query("violation_storage_energy", _sql("storage_energy_bounds", "(SELECT *, initial_mwh + sum(charge_eff * charge - discharge / discharge_eff) OVER (PARTITION BY case_id, pos ORDER BY period) AS e FROM sd)", {
     "lower": "greatest(min_mwh - e, 0)", "upper": "greatest(e - max_mwh, 0)"}), DISPATCH)
 def _(t):

@@ -229,6 +229,67 @@ def _(t):
     return found.select("case_id", *[rounded(n).alias(n) for n in names])
 
 
+# the state with some values null, NaN (case 0) or absent (case 1)
+LOST = """lost AS (SELECT case_id, col, z, CASE WHEN case_id = 0 AND col % 97 = 3 THEN NULL
+      WHEN case_id = 0 AND col % 97 = 4 THEN 'NaN'::DOUBLE ELSE x END AS x
+    FROM b_state_col WHERE NOT (case_id = 1 AND col % 97 = 3)),
+  ax AS (SELECT a.case_id, block, row, sum(value * x) AS ax, bool_or(x IS NULL OR isnan(x)) AS bad
+    FROM b_coo a LEFT JOIN lost USING (case_id, col) GROUP BY ALL),
+  rows AS (SELECT case_id, block, row, coalesce(ax, 0) AS ax, coalesce(bad, false) AS bad, b
+    FROM b_row LEFT JOIN ax USING (case_id, block, row)),
+  cols AS (SELECT case_id, lower, upper, x, x IS NULL OR isnan(x) AS bad, z IS NULL AS no_z
+    FROM b_col LEFT JOIN lost USING (case_id, col))"""
+
+
+def lost(t):
+    case, part = F.col("case_id"), F.col("col") % 97
+    x = F.when((case == 0) & (part == 3), None)
+    x = x.when((case == 0) & (part == 4), float("nan")).otherwise(F.col("x"))
+    return t.state_col().where(~((case == 1) & (part == 3))).withColumn("x", x)
+
+
+@query(
+    "primal_violation_nulls",
+    f"""WITH {LOST},
+    rv AS (SELECT case_id,
+             CASE WHEN NOT bool_or(bad AND block = 'A1') THEN max(CASE WHEN block = 'A1' THEN abs(ax - b) END) END AS e,
+             CASE WHEN NOT bool_or(bad AND block = 'A2') THEN max(CASE WHEN block = 'A2' THEN greatest(b - ax, 0) END) END AS i
+           FROM rows GROUP BY 1),
+    cv AS (SELECT case_id, CASE WHEN NOT bool_or(bad) THEN max(greatest(lower - x, 0)) END AS l,
+             CASE WHEN NOT bool_or(bad) THEN max(greatest(x - upper, 0)) END AS u
+           FROM cols GROUP BY 1)
+    SELECT case_id, {r('e')} AS equality, {r('i')} AS inequality, {r('l')} AS lower, {r('u')} AS upper,
+      CASE WHEN e IS NOT NULL AND i IS NOT NULL AND l IS NOT NULL AND u IS NOT NULL
+        THEN {r('greatest(e, i, l, u)')} END AS overall
+    FROM rv JOIN cv USING (case_id)""",
+    LP,
+)
+def _(t):
+    """A case whose state has a null, a NaN or a gap has no violation that could pass."""
+    a, row_vec, col_vec, _, _ = lp(t)
+    names = ("equality", "inequality", "lower", "upper", "overall")
+    found = al.max_primal_violation(a, row_vec, col_vec, lost(t))
+    return found.select("case_id", *[rounded(n).alias(n) for n in names])
+
+
+@query(
+    "residual_nulls",
+    f"""WITH {LOST},
+    rv AS (SELECT case_id, NOT bool_or(bad) AS ok FROM rows GROUP BY 1),
+    cv AS (SELECT case_id, NOT bool_or(bad) AS ok, NOT bool_or(no_z) AS z_ok FROM cols GROUP BY 1)
+    SELECT case_id, rv.ok AS primal_known, cv.ok AND z_ok AS box_known, z_ok AS stationarity_known,
+      rv.ok AND cv.ok AND z_ok AS all_satisfied
+    FROM rv JOIN cv USING (case_id)""",
+    LP,
+)
+def _(t):
+    """With a tolerance that any number meets, exactly the cases without a gap stop."""
+    a, row_vec, col_vec, _, y = lp(t)
+    s = al.residual_summary(a, row_vec, col_vec, lost(t), y, tolerance=1e300)
+    known = [F.col(f"raw.{n}").isNotNull().alias(f"{n}_known") for n in ("primal", "box", "stationarity")]
+    return s.select("case_id", *known, "stopping.all_satisfied")
+
+
 @query(
     "spectral_bounds",
     f"""WITH rs AS (SELECT case_id, sum(f) AS frobenius, max(s) AS mr, sum(n) AS nnz FROM
