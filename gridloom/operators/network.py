@@ -79,43 +79,49 @@ def phase_shift_terms(edge: DataFrame) -> tuple[DataFrame, DataFrame]:
     return branch_shift, bus_shift
 
 
-def connected_components(bus: DataFrame, branch: DataFrame, max_iter: int = 64) -> DataFrame:
+def connected_components(bus: DataFrame, branch: DataFrame) -> DataFrame:
     """``(case_id, bus_id, label)``: the smallest bus of each island of active branches.
 
-    Each round takes the smallest label of the neighbours and then the label of that
-    label, so labels travel along ever longer steps; rounds end when nothing changes.
+    Alternating star contraction: a step links the larger neighbours of a bus to its smallest
+    one, the next one all its smaller neighbours.  Each leaves the islands as they are, and
+    rounds, whose number grows with the logarithm of an island's size, end when nothing changes.
     """
-    edges = branch.where(F.col("status")).select("case_id", "from_bus", "to_bus")
-    both = settle(
-        edges.select("case_id", F.col("from_bus").alias("u"), F.col("to_bus").alias("v"))
-        .unionByName(
-            edges.select("case_id", F.col("to_bus").alias("u"), F.col("from_bus").alias("v"))
-        )
-        .distinct()
+    joined = branch.where(F.col("status")).select(
+        "case_id",
+        F.greatest("from_bus", "to_bus").alias("u"),
+        F.least("from_bus", "to_bus").alias("v"),
     )
-    labels = last = settle(bus.select("case_id", "bus_id", F.col("bus_id").alias("label")))
-    for _ in range(max_iter):
-        offers = both.join(
-            labels.select("case_id", F.col("bus_id").alias("u"), "label"), ["case_id", "u"]
-        ).select("case_id", F.col("v").alias("bus_id"), "label", F.lit(None).cast("bigint").alias("old"))
-        own = labels.select("case_id", "bus_id", "label", F.col("label").alias("old"))
-        lowest = own.unionByName(offers).groupBy("case_id", "bus_id").agg(
-            F.min("label").alias("label"), F.max("old").alias("old")
-        )
-        jump = labels.select(
-            "case_id", F.col("bus_id").alias("label"), F.col("label").alias("further")
-        )
-        found = settle(
-            lowest.join(jump, ["case_id", "label"], "left").select(
-                "case_id", "bus_id", F.least("label", "further").alias("label"), "old"
-            )
+    found = settle(contracted(joined))
+    listed = bus.select("case_id", "bus_id").join(
+        found.select("case_id", F.col("u").alias("bus_id"), F.col("v").alias("_to")),
+        ["case_id", "bus_id"],
+        "left",
+    )
+    return listed.select("case_id", "bus_id", F.coalesce("_to", "bus_id").alias("label"))
+
+
+def contracted(pairs: DataFrame) -> DataFrame:
+    """``(case_id, u, v)``: every node u of a link with the smallest node v of its island, v < u."""
+    node = ["case_id", "u"]
+    edges = settle(pairs.where("u > v").distinct())
+    while True:
+        both = edges.unionByName(
+            edges.select("case_id", F.col("v").alias("u"), F.col("u").alias("v"))
         )
-        release(last)
-        last = found
-        labels = found.select("case_id", "bus_id", "label")
-        if not found.where(F.col("label") != F.col("old")).limit(1).count():
-            return labels
-    raise RuntimeError(f"labels still change after {max_iter} rounds; raise max_iter")
+        low = both.groupBy(*node).agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = both.join(low, node).where("v > u")
+        large = settle(large.select("case_id", F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        low = large.groupBy(*node).agg(F.min("v").alias("m"))
+        small = large.join(low, node).select("case_id", F.col("v").alias("u"), F.col("m").alias("v"))
+        small = small.unionByName(low.select(*node, F.col("m").alias("v"))).where("u > v")
+        following = settle(small.distinct())
+        # both are sets: they are equal if neither has a row that the other lacks
+        state = [F.count("*"), F.bit_xor(F.xxhash64("case_id", "u", "v"))]
+        same = following.agg(*state).first() == edges.agg(*state).first()
+        release(edges, large)
+        edges = following
+        if same:
+            return edges
 
 
 def component_counts(labels: DataFrame) -> DataFrame:
@@ -146,7 +152,7 @@ def solve_angles(
     injection: DataFrame,
     with_shift: bool = True,
     tol: float = 1e-11,
-    max_iter: int = 500,
+    patience: int = 50,
     check_every: int = 4,
     degree: int = 2,
 ) -> Solved:
@@ -158,7 +164,9 @@ def solve_angles(
     The rearrangement that needs one set of dot products per iteration keeps an iteration
     at one written table, and convergence is looked up every ``check_every`` iterations.
     A higher ``degree`` trades products inside a job for fewer jobs.
-    ``report`` gives the last relative residual and says whether it is small enough.
+    There is no limit of rounds: a right-hand side whose residual has not fallen to a new low in
+    ``patience`` looks stops the job with an error that names it, so no flow of an unsolved one is
+    returned.  ``report`` gives the last relative residual.
     """
     reduced = settle(bus_susceptance(edge, ref))
     diagonal = settle(
@@ -205,13 +213,24 @@ def solve_angles(
     )
     state = settle(state)
     last = state
-    for iteration in range(1, max_iter + 1):
+    lowest, waited, iteration = float("inf"), 0, 0
+    while True:
+        iteration += 1
         table = settle(_preconditioned(state, cells, degree))
         release(last)
         last = table
         scalars = _step_lengths(table, tol)
-        if iteration % check_every == 0 and not scalars.where(~F.col("done")).limit(1).count():
-            break
+        if iteration % check_every == 0:
+            worst = F.max(F.sqrt(F.col("residual") / F.col("start")))
+            open_ = scalars.where(~F.coalesce("done", F.lit(False)))
+            left, size = open_.agg(F.count("*"), worst).first()
+            if not left:
+                break
+            waited = 0 if size is not None and size < lowest else waited + 1
+            lowest = min(lowest, size) if size is not None and size == size else lowest
+            if waited >= patience or size is None or size != size:
+                names = [tuple(r) for r in open_.select(*RHS).orderBy(*RHS).limit(10).collect()]
+                raise RuntimeError(f"{left} right-hand sides do not converge, first (case, rhs): {names}")
         stepped = table.drop(*RIDERS).join(scalars, RHS)
         p = F.col("u") + F.col("beta") * F.col("p")
         s = F.col("w") + F.col("beta") * F.col("s")

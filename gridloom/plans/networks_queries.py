@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import rounded
 from ..operators import network as n
+from ..operators import trees
 from ..session import settle
 from .bindings import BINDING_SQL
 from .registry import ORACLES, QUERIES, query, r
@@ -211,6 +212,69 @@ def _(t):
     return probe.withColumn("max_diff", rounded("max_diff", 6))
 
 
+@query(
+    "cycle_probe",
+    """SELECT c_custkey % 25 AS case_id, c_custkey AS rhs, 0::DOUBLE AS current_gap,
+         0::DOUBLE AS cycle_gap, 0::BIGINT AS unreached FROM customer
+       WHERE c_custkey >= 25 AND c_custkey IN (SELECT s_suppkey * 7 + 25 FROM supplier)""",
+)
+def _(t):
+    """The shift factors keep both laws: measured along trees and cycles, without the solver."""
+    edge = settle(edges(t))
+    buses = settle(device_buses(t))
+    ptdf = n.shift_factor_columns(edge, ref(t), buses, batch=128)
+    flow = ptdf.select("case_id", F.col("bus_id").alias("rhs"), "branch_id", F.col("value").alias("mw"))
+    unit = buses.select("case_id", F.col("bus_id").alias("rhs"), "bus_id", F.lit(1.0).alias("mw"))
+    probe = trees.cycle_probe(flow, edge, ref(t), unit)
+    gaps = [rounded(c, 6).alias(c) for c in ("current_gap", "cycle_gap")]
+    return probe.select("case_id", "rhs", *gaps, "unreached")
+
+
+def heap(t):
+    """Customers as a radial grid: customer k hangs below customer k / 2."""
+    key = F.col("c_custkey").cast("bigint")
+    return t.read("customer").where("c_custkey >= 1").select(
+        F.lit(0).cast("bigint").alias("case_id"), key.alias("bus_id"),
+        F.expr("c_custkey div 2").cast("bigint").alias("above"), F.round("c_acctbal").alias("mw"),
+    )
+
+
+def heap_branches(t):
+    return heap(t).where("bus_id >= 2").select(
+        "case_id", F.col("bus_id").alias("branch_id"), F.col("above").alias("from_bus"),
+        F.col("bus_id").alias("to_bus"),
+    )
+
+
+@query(
+    "spanning_tree",
+    "SELECT 0::BIGINT AS case_id, c_custkey::BIGINT AS branch_id FROM customer WHERE c_custkey >= 2",
+)
+def _(t):
+    """The radial grid with a cross branch of a higher number at every bus: these are left out."""
+    last = F.lit(t.read("customer").agg(F.max("c_custkey")).first()[0] or 1)
+    cross = heap(t).select(
+        "case_id", (F.col("bus_id") + 2 * last).alias("branch_id"), F.col("bus_id").alias("from_bus"),
+        (F.col("bus_id") * 7 % last + 1).alias("to_bus"),
+    )
+    return trees.spanning_tree(heap_branches(t).unionByName(cross)).select("case_id", "branch_id")
+
+
+@query(
+    "tree_flows",
+    f"""WITH RECURSIVE up(branch_id, mw) AS (
+          SELECT c_custkey::BIGINT, round(c_acctbal) FROM customer WHERE c_custkey >= 2
+          UNION ALL SELECT branch_id // 2, mw FROM up WHERE branch_id // 2 >= 2)
+        SELECT 0::BIGINT AS case_id, 0::BIGINT AS rhs, branch_id, {r('-sum(mw)', 3)} AS mw
+        FROM up GROUP BY branch_id""",
+)
+def _(t):
+    ref_bus = heap(t).where("bus_id = 1").select("case_id", F.col("bus_id").alias("ref_bus"))
+    injection = heap(t).select("case_id", F.lit(0).cast("bigint").alias("rhs"), "bus_id", "mw")
+    tour = trees.euler_tour(heap_branches(t), ref_bus)
+    return trees.tree_flows(tour, injection).withColumn("mw", rounded("mw", 3))
+
+
 DEV = """dv AS (SELECT s_suppkey % 25 AS case_id, 'gen' AS device, s_suppkey AS pos,
     s_nationkey::BIGINT AS bus_id, abs(s_acctbal) AS max_abs FROM supplier)"""
 
