@@ -20,7 +20,7 @@ input, in the same or another document.  Documents are UTF-8; strings never cros
    lists.
 6. Repeated starts return to their texts, and the spans they cover are cut.
 
-The same search over words, as codes of some octets of hash, finds passages of equal words.  Tables
+The same search over words, as 64 bits of hash each, finds passages of equal words.  Tables
 are deleted as soon as their last reader is written, and one search ends before the other starts.
 
 Defined results: null texts are empty; texts shorter than ``length`` stay whole; repeated rows are
@@ -31,7 +31,8 @@ and text are read.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -44,18 +45,38 @@ from ..session import release, settle, settle_bucketed
 from .text import map_batches, word_count
 
 LENGTH = 400
-#: Passages of over 50 words, and the octets of hash that stand for a word.
+#: Passages of over 50 words.
 PASSAGE_WORDS = 51
-CODE_OCTETS = 6
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 GRAM = 32
-#: Bytes of runs that one shard sorts; it takes about 120 bytes of memory for each.
+#: Units (bytes or words) of runs that one shard sorts; it takes about 120 bytes of memory for each.
 SHARD_BYTES = 500_000
 #: Bytes whose anchors are computed at once; places inside a stretch need less than 20 bits.
 STRETCH = 500_000
 BASE = 0x9E3779B97F4A7C15
 
 
+class View(NamedTuple):
+    """What strings are made of: a text's ``body`` as units of ``width`` octets each, and the number of
+    units in a gram that may become an anchor (a power of two)."""
+
+    units: Callable[[bytes], bytes]
+    width: int
+    gram: int
+
+    def array(self, parts: list[bytes]) -> np.ndarray:
+        return np.frombuffer(b"".join(parts), np.uint8 if self.width == 1 else np.uint64)
+
+
+def word_units(body: bytes) -> bytes:
+    """64 bits of hash for each word."""
+    return b"".join(map(xxhash.xxh3_64_digest, body.split()))
+
+
+OCTETS = View(bytes, 1, GRAM)
+WORDS = View(word_units, 8, 4)
+
+
 def gram_hashes(data: np.ndarray, gram: int = GRAM) -> np.ndarray:
     """Polynomial hashes of all grams (``gram`` a power of two), by doubling, then mixed."""
     value, width = data.astype(np.uint64) + np.uint64(1), 1
@@ -81,26 +102,26 @@ def window_least(value: np.ndarray, width: int) -> np.ndarray:
     return least
 
 
-def grams_beside(length: int) -> tuple[int, int]:
-    """What lies beside a string's anchor: on one side at least this many octets, and the width of
+def grams_beside(length: int, gram: int = GRAM) -> tuple[int, int]:
+    """What lies beside a string's anchor: on one side at least this many units, and the width of
     the two grams that cover them together with the anchor."""
-    half = -(-(length - GRAM) // 2)
-    return half, 1 << ((half + GRAM).bit_length() - 1)
+    half = -(-(length - gram) // 2)
+    return half, 1 << ((half + gram).bit_length() - 1)
 
 
-def anchor_runs(data: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, ...]:
+def anchor_runs(data: np.ndarray, length: int = LENGTH, size: int = GRAM) -> tuple[np.ndarray, ...]:
     """Of every run of ``data``'s strings: anchor, first start, last start, the anchor's place, and the
     hashes of the anchor with what lies to its left and to its right.
 
-    A hash reaches ``grams_beside`` octets and holds for strings with so many on that side; it means
-    nothing where the run has no such string.
+    An anchor has ``size`` units.  A hash reaches ``grams_beside`` units and holds for strings with so
+    many on that side; it means nothing where the run has no such string.
     """
-    grams = length - GRAM + 1
-    half, width = grams_beside(length)
+    grams = length - size + 1
+    half, width = grams_beside(length, size)
     found = []
     for at in range(0, len(data) - length + 1, STRETCH):
         part = data[at : at + STRETCH + length - 1]
-        mixed = gram_hashes(part)
+        mixed = gram_hashes(part, size)
         place = np.arange(len(mixed), dtype=np.uint64)
         low = np.uint64((1 << 20) - 1)
         chosen = window_least((mixed & ~low) | (low - place), grams)
@@ -120,8 +141,8 @@ def anchor_runs(data: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, ...
                 first + at,
                 np.concatenate([edge - 1, [len(gram) - 1]]) + at,
                 mine + at,
-                pair(mine - half, mine + GRAM - width),
-                pair(mine + half + GRAM - width, mine),
+                pair(mine - half, mine + size - width),
+                pair(mine + half + size - width, mine),
             )
         )
     if not found:
@@ -130,8 +151,16 @@ def anchor_runs(data: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, ...
 
 
 def suffix_order(data: np.ndarray) -> np.ndarray:
-    """The suffix array of ``data``, sorted in full as Kasai's walk needs it."""
+    """The suffix array of ``data``, sorted in full as Kasai's walk needs it.
+
+    Bytes begin with keys of eight, other units with keys of one.
+    """
     n = len(data)
+    if data.dtype != np.uint8:
+        order = np.argsort(data, kind="stable")
+        fresh = np.ones(n, bool)
+        fresh[1:] = data[order[1:]] != data[order[:-1]]
+        return _refined(order, fresh, 1)
     key, width = np.concatenate([data, np.zeros(7, np.uint8)]).astype(np.uint64), 1
     while width < 8:
         key = (key[:-width] << np.uint64(8 * width)) | key[width:]
@@ -150,9 +179,14 @@ def suffix_order(data: np.ndarray) -> np.ndarray:
     tail = np.flatnonzero(order > n - 8)
     fresh[tail] = True
     fresh[tail[tail + 1 < n] + 1] = True
+    return _refined(order, fresh, 8)
+
+
+def _refined(order: np.ndarray, fresh: np.ndarray, have: int) -> np.ndarray:
+    """``order``, sorted to depth ``have`` with ``fresh`` where a group begins, sorted in full."""
+    n = len(order)
     rank = np.empty(n, np.int64)
     rank[order] = np.maximum.accumulate(np.where(fresh, np.arange(n), 0))
-    have = 8
     while True:
         single = fresh.copy()
         single[:-1] &= fresh[1:]
@@ -184,8 +218,9 @@ def common_prefixes(data: np.ndarray, order: np.ndarray, most: int, lanes: int =
     n = len(data)
     before = np.full(n, -1, np.int64)
     before[order[1:]] = order[:-1]
-    word, width = np.concatenate([data, np.zeros(most + 16, np.uint8)]).astype(np.uint64), 1
-    while width < 8:
+    small = data.dtype == np.uint8
+    word, width = np.concatenate([data, np.zeros(most + 16, data.dtype)]).astype(np.uint64), 1
+    while small and width < 8:
         word = (word[:-width] << np.uint64(8 * width)) | word[width:]
         width *= 2
     out = np.zeros(n, np.int64)
@@ -204,7 +239,7 @@ def common_prefixes(data: np.ndarray, order: np.ndarray, most: int, lanes: int =
         while len(grow):
             differ = word[at[grow] + size[grow]] ^ word[other[grow] + size[grow]]
             whole = differ == 0
-            step_by = np.where(whole, 8, _leading_zero_bytes(differ))
+            step_by = np.where(whole, 8, _leading_zero_bytes(differ)) if small else whole
             size[grow] = np.minimum(size[grow] + step_by, limit[grow])
             grow = grow[whole & (size[grow] < limit[grow])]
         have[live] = size
@@ -222,11 +257,13 @@ def _leading_zero_bytes(value: np.ndarray) -> np.ndarray:
     return count
 
 
-def repeated_starts(runs: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
+def repeated_starts(
+    runs: list[bytes], length: int = LENGTH, view: View = OCTETS
+) -> tuple[np.ndarray, np.ndarray]:
     """For different runs laid end to end: places of strings that occur twice or more, and the
     place of the first of each distinct string (each run has len - length + 1 starts)."""
-    sizes = np.array([len(r) for r in runs], np.int64)
-    data = np.frombuffer(b"".join(runs), np.uint8)
+    sizes = np.array([len(r) // view.width for r in runs], np.int64)
+    data = view.array(runs)
     ends = np.cumsum(sizes)
     valid = np.ones(len(data), bool)
     for back in range(1, length):
@@ -254,14 +291,15 @@ def spans_of(places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 SHARD_COLUMNS = "anchor long, d1 long, d2 long, firsts array<long>, lasts array<long>, starts array<long>, codes binary, part int"
 
 
-def _shard(length: int):
+def _shard(length: int, view: View):
     """The work of one shard: repeated stretches per run and, of a split anchor, string digests."""
 
     def work(group: pd.DataFrame) -> pd.DataFrame:
         runs, rows = list(group["bytes"]), []
         keys = list(zip(group["anchor"], group["d1"], group["d2"]))
-        begin = np.concatenate([[0], np.cumsum([len(r) for r in runs])])
-        places, distinct = repeated_starts(runs, length)
+        begin = np.concatenate([[0], np.cumsum([len(r) // view.width for r in runs])])
+        places, distinct = repeated_starts(runs, length, view)
+        wide = view.width * length
 
         def by_run(found: np.ndarray):
             owner = np.searchsorted(begin, found, side="right") - 1
@@ -276,7 +314,9 @@ def _shard(length: int):
         if bool(group["split"].iloc[0]):
             for at, mine in by_run(np.sort(distinct)):
                 run = runs[at]
-                codes = b"".join(xxhash.xxh3_128_digest(run[i : i + length]) for i in mine.tolist())
+                codes = b"".join(
+                    xxhash.xxh3_128_digest(run[i : i + wide]) for i in (mine * view.width).tolist()
+                )
                 rows.append((*keys[at], None, None, mine, codes, part))
         return pd.DataFrame(rows, columns=[c.split()[0] for c in SHARD_COLUMNS.split(", ")])
 
@@ -344,25 +384,15 @@ def _ranges(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         )
 
 
-def octets(body: bytes) -> bytes:
-    """The view in which strings are bytes."""
-    return body
-
-
-def word_codes(body: bytes) -> bytes:
-    """The view in which strings are words: ``CODE_OCTETS`` of hash for each."""
-    digest = xxhash.xxh3_64_digest
-    return b"".join([digest(w)[:CODE_OCTETS] for w in body.split()])
-
-
-def _anchors(length: int, view):
-    half, _ = grams_beside(length)
+def _anchors(length: int, view: View):
+    half, _ = grams_beside(length, view.gram)
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = [view(t) for t in batch.column("body").to_pylist()]
-        end = np.cumsum([len(t) for t in texts])
-        begin = end - [len(t) for t in texts]
-        runs = anchor_runs(np.frombuffer(b"".join(texts), np.uint8), length)
+        texts = [view.units(t) for t in batch.column("body").to_pylist()]
+        sizes = np.array([len(t) // view.width for t in texts], np.int64)
+        end = np.cumsum(sizes)
+        begin = end - sizes
+        runs = anchor_runs(view.array(texts), length, view.gram)
         first, last = runs[1:3]
         # a run touches the starts of one text only: shorten it to those
         owner = np.searchsorted(end, first, side="right")
@@ -382,7 +412,7 @@ def _anchors(length: int, view):
                 pa.array((first - begin[owner]).astype(np.int64)),
                 pa.array((last - begin[owner]).astype(np.int64)),
                 pa.array(left, mask=first > gram - half),
-                pa.array(right, mask=last + length < gram + GRAM + half),
+                pa.array(right, mask=last + length < gram + view.gram + half),
             ],
             names=["t1", "t2", "anchor", "first", "last", "left", "right"],
         )
@@ -390,11 +420,11 @@ def _anchors(length: int, view):
     return work
 
 
-def _runs(length: int, view):
+def _runs(length: int, view: View):
     def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for row in batch.to_pylist():
-            body, picked = view(row["body"]), row["picked"]
-            parts = [body[p["first"] : p["last"] + length] for p in picked]
+            body, picked, wide = view.units(row["body"]), row["picked"], view.width
+            parts = [body[p["first"] * wide : (p["last"] + length) * wide] for p in picked]
             digests = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, parts)), "<i8")
             yield pa.RecordBatch.from_arrays(
                 [
@@ -404,7 +434,7 @@ def _runs(length: int, view):
                     pa.array([p["anchor"] for p in picked], pa.int64()),
                     pa.array(digests[0::2]),
                     pa.array(digests[1::2]),
-                    pa.array([len(p) for p in parts], pa.int64()),
+                    pa.array([len(p) // wide for p in parts], pa.int64()),
                     pa.array(parts, pa.binary()),
                 ],
                 names=["t1", "t2", "first", "anchor", "d1", "d2", "size", "bytes"],
@@ -457,18 +487,17 @@ def repeated_spans(
 ) -> DataFrame:
     """t1, t2, begins and ends: the removed bytes of every text (t1, t2, body) that has some."""
     texts = merged(rows)
-    spans = text_spans(texts, octets, length, shard_bytes)
+    spans = text_spans(texts, OCTETS, length, shard_bytes)
     release(texts)
     return spans
 
 
-def text_spans(texts: DataFrame, view, length: int, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def text_spans(texts: DataFrame, view: View, length: int, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """t1, t2, begins and ends of what is repeated in a view of ``merged`` texts."""
     sided = settle(
         map_batches(
-            texts.where(F.octet_length("body") >= F.lit(length if view is octets else 0)).select(
-                "t1", "t2", "body"
-            ),
+            # a unit has an octet at least
+            texts.where(F.octet_length("body") >= length).select("t1", "t2", "body"),
             _anchors(length, view),
             "t1 long, t2 long, anchor long, first long, last long, left long, right long",
         )
@@ -516,7 +545,7 @@ def text_spans(texts: DataFrame, view, length: int, shard_bytes: int = SHARD_BYT
         .select(*key, "bytes", "split", "part", "shard")
     )
     found = settle(
-        dealt.groupBy("shard", "split", "part").applyInPandas(_shard(length), SHARD_COLUMNS)
+        dealt.groupBy("shard", "split", "part").applyInPandas(_shard(length, view), SHARD_COLUMNS)
     )
     release(several)
     places = settle(runs.select("t1", "t2", "first", *key))
@@ -557,9 +586,9 @@ def text_spans(texts: DataFrame, view, length: int, shard_bytes: int = SHARD_BYT
     return out
 
 
-def _copied(texts: DataFrame, view, length: int, one) -> DataFrame:
+def _copied(texts: DataFrame, view: View, length: int, one) -> DataFrame:
     """Texts of several rows: all of the view is repeated, if it is long enough."""
-    size = F.octet_length("body") if view is octets else word_count(F.decode("body", "UTF-8")) * CODE_OCTETS
+    size = F.octet_length("body") if view.width == 1 else word_count(F.decode("body", "UTF-8"))
     copied = texts.where("n > 1").select("t1", "t2", size.alias("size"))
     return copied.where(F.col("size") >= length).select("t1", "t2", one(F.lit(0), F.col("size")).alias("s"))
 
@@ -608,12 +637,11 @@ def kept_bytes(whole_characters: bool = False):
 
 
 def _word_spans(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """Spans of word codes as spans of the text's bytes, from a first word to the end of a last."""
+    """Spans of words as spans of the text's bytes, from a first word to the end of a last."""
     for row in batch.to_pylist():
         edges = [m.span() for m in WORD.finditer(row["body"])]
-        # a span may reach some octets into a word that happens to begin or end alike
-        begins = [edges[-(-b // CODE_OCTETS)][0] for b in row["begins"]]
-        ends = [edges[e // CODE_OCTETS - 1][1] for e in row["ends"]]
+        begins = [edges[b][0] for b in row["begins"]]
+        ends = [edges[e - 1][1] for e in row["ends"]]
         long = pa.list_(pa.int64())
         yield pa.RecordBatch.from_arrays(
             [pa.array([row["t1"]]), pa.array([row["t2"]]), pa.array([begins], long), pa.array([ends], long)],
@@ -627,11 +655,11 @@ def repeats_and_passages(
     """As ``cut_repeats``, and passage_begins and passage_ends: what ``words`` equal words that stand at
     two places cover, from a first word to the end of a last.
 
-    Words are compared by 48 bits of hash, in passages of ``words``; the space between may differ.
+    Words are compared by 64 bits of hash, in passages of ``words``; the space between may differ.
     """
     rows = keyed(docs)
     texts = merged(rows)
-    coded = text_spans(texts, word_codes, words * CODE_OCTETS)
+    coded = text_spans(texts, WORDS, words)
     passages = settle(
         map_batches(
             coded.join(texts.select("t1", "t2", "body"), ["t1", "t2"]),
@@ -640,7 +668,7 @@ def repeats_and_passages(
         )
     )
     release(coded)
-    strings = text_spans(texts, octets, length)
+    strings = text_spans(texts, OCTETS, length)
     release(texts)
     both = strings.join(passages, ["t1", "t2"], "full")
     return _beside_rows(rows, both, "begins", "ends", "passage_begins", "passage_ends")

@@ -170,3 +170,17 @@ def test_passages_of_words(make_docs, messy):
         want[row[0], tuple(begins), tuple(ends)] += 1
     got = Counter((r.doc_id, tuple(r.passage_begins), tuple(r.passage_ends)) for r in found.collect())
     assert got == want and sum(bool(b) for _, b, _ in want) > 5
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_suffix_array_of_words(seed):
+    draw = np.random.default_rng(seed)
+    for _ in range(100):
+        data = draw.integers(0, 4, draw.integers(1, 60)).astype(np.uint64) * np.uint64(2**61)
+        order, listed = suffix.suffix_order(data), data.tolist()
+        assert order.tolist() == sorted(range(len(listed)), key=lambda i: listed[i:])
+        common = suffix.common_prefixes(data, order, 9, lanes=4)
+        for k in range(1, len(listed)):
+            a, b = listed[order[k - 1] :], listed[order[k] :]
+            size = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+            assert common[k] == min(9, size)
