@@ -504,9 +504,7 @@ def text_spans(texts: DataFrame, view: View, length: int, shard_bytes: int = SHA
     )
     sides = F.explode(F.array_compact(F.array("left", "right"))).alias("side")
     sides = sided.select("t1", "t2", "anchor", "first", "last", sides)
-    ends = [f(c).alias(f"{f.__name__}_{c}") for c in ("t1", "t2", "first") for f in (F.min, F.max)]
-    apart = " OR ".join(f"min_{c} <> max_{c}" for c in ("t1", "t2", "first"))
-    again = settle(sides.groupBy("side").agg(*ends).where(apart).select("side"))
+    again = settle(sides.groupBy("side").agg(F.count("*").alias("n")).where("n > 1").select("side"))
     anchors = settle(sides.join(again, "side").drop("side").distinct())
     release(sided, again)
     place = F.struct("anchor", "first", "last")
