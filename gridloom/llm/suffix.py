@@ -209,7 +209,7 @@ def _refined(order: np.ndarray, fresh: np.ndarray, have: int) -> np.ndarray:
     return order
 
 
-def common_prefixes(data: np.ndarray, order: np.ndarray, most: int, lanes: int = 128) -> np.ndarray:
+def common_prefixes(data: np.ndarray, order: np.ndarray, most: int, lanes: int = 24) -> np.ndarray:
     """Common prefix (at most ``most``) of each suffix in ``order`` with the one before it.
 
     Kasai's walk in text order: a prefix is at most one byte shorter than that of the suffix one
