@@ -89,15 +89,24 @@ BRANCH = (
     "shift_degrees double, rate_mw double, status boolean"
 )
 
-# Programs over x + y = 2, solved by hand: minimise c'(x, y) with A2 (x, y) >= b2 inside a box.
-# The free variable's cost gives the multiplier of the sum; z is what is left at a bound.
+# Minimise c'x with A1 x = b1, A2 x >= b2 inside a box, each made from a chosen point and chosen
+# multipliers: c = A1'y1 + A2'y2 + z.  Order: c, A1, b1, A2, b2, lower, upper, x, y, z, objective.
 PROGRAMS = {
-    # x - y >= -1 binds: 2x >= 1, so (1/2, 3/2); 3 = y1 + y2 and 1 = y1 - y2
-    1: ([3, 1], [[1, 1]], [2], [[1, -1]], [-1], [0, 0], [2, 2], [0.5, 1.5], [2, 1], [0, 0], 3),
-    # x is worth more but ends at 1.2; y1 = -1 and z = -3 + 1
-    2: ([-3, -1], [[1, 1]], [2], [], [], [0, 0], [1.2, 3], [1.2, 0.8], [-1], [-2, 0], -4.4),
-    # x is dear and stays at 0.5, x - y >= -3 is slack; y1 = 0.5 and z = 2 - 0.5
-    3: ([2, 0.5], [[1, 1]], [2], [[1, -1]], [-3], [0.5, 0], [2, 2], [0.5, 1.5], [0.5, 0], [1.5, 0], 1.75),
+    # w rests at 0, v + w >= 1 binds, u - w >= -2 does not: 2 u + v = 4 gives (3/2, 1, 0)
+    1: (
+        [2, 1.5, 2], [[2, 1, 1]], [4], [[0, 1, 1], [1, 0, -1]], [1, -2], [0, 0, 0], [4, 4, 4],
+        [1.5, 1, 0], [1, 0.5, 0], [0, 0, 0.5], 4.5,
+    ),
+    # two orthogonal equalities and a binding inequality settle all three variables inside the box
+    2: (
+        [2, 3.5, 4.5], [[1, 2, 0], [2, -1, 5]], [7, 9], [[0, 1, 1]], [3], [0, 0, 0], [5, 5, 5],
+        [3, 2, 1], [1, 0.5, 2], [0, 0, 0], 17.5,
+    ),
+    # four variables: the first ends at its upper bound, the last at a negative lower bound
+    3: (
+        [-2, -3, -2, 1], [[1, 3, 2, 0]], [5], [[0, 1, 0, -1], [1, 0, 0, 0.5]], [2.5, 0],
+        [0, 0, -1, -2], [1, 4, 3, 2], [1, 1, 0.5, -2], [-1, 0, 0.25], [-1.25, 0, 0, 0.875], -8,
+    ),
 }
 
 
