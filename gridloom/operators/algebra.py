@@ -16,6 +16,7 @@ from ..functions.columns import (
     positive_part,
     whole_sum,
 )
+from ..functions.heavy import Heavy, join_heavy, plain
 from ..session import settle
 
 ROW = ["case_id", "block", "row"]
@@ -23,13 +24,20 @@ COL = ["case_id", "col"]
 
 
 def spmv(
-    a: DataFrame, vec: DataFrame, value: str = "x", out: str = "ax", rows: DataFrame | None = None
+    a: DataFrame,
+    vec: DataFrame,
+    value: str = "x",
+    out: str = "ax",
+    rows: DataFrame | None = None,
+    heavy: Heavy | None = None,
 ) -> DataFrame:
     """``A x`` by row.  Rows listed in ``rows`` without entries get 0.
 
-    The empty rows enter as zero terms of the same aggregation, which saves a join.
+    The empty rows enter as zero terms of the same aggregation, which saves a join.  ``heavy``
+    (``find_heavy(a, *COL)``, found once for all products with ``a``) deals the entries of
+    columns that hold a large part of the matrix to many tasks.
     """
-    terms = a.join(vec.select(*COL, F.col(value).alias("_x")), COL).select(
+    terms = join_heavy(a, vec.select(*COL, F.col(value).alias("_x")), heavy or plain(*COL)).select(
         *ROW, (F.col("value") * F.col("_x")).alias(out)
     )
     if rows is not None:
@@ -38,10 +46,15 @@ def spmv(
 
 
 def spmv_t(
-    a: DataFrame, vec: DataFrame, value: str = "y", out: str = "aty", cols: DataFrame | None = None
+    a: DataFrame,
+    vec: DataFrame,
+    value: str = "y",
+    out: str = "aty",
+    cols: DataFrame | None = None,
+    heavy: Heavy | None = None,
 ) -> DataFrame:
-    """``A' y`` by column."""
-    terms = a.join(vec.select(*ROW, F.col(value).alias("_y")), ROW).select(
+    """``A' y`` by column; ``heavy`` is ``find_heavy(a, *ROW)``, for rows with very many entries."""
+    terms = join_heavy(a, vec.select(*ROW, F.col(value).alias("_y")), heavy or plain(*ROW)).select(
         *COL, (F.col("value") * F.col("_y")).alias(out)
     )
     if cols is not None:
@@ -49,12 +62,13 @@ def spmv_t(
     return terms.groupBy(*COL).agg(F.sum(out).alias(out))
 
 
-def gram_blocks(a: DataFrame, part: str = "part") -> DataFrame:
+def gram_blocks(a: DataFrame, part: str = "part", heavy: Heavy | None = None) -> DataFrame:
     """``A A'`` for rows labelled 'balance' or 'storage'.
 
     Balance rows share no column with each other, nor do storage rows, so the diagonal
     blocks are sums of squares and only the coupling block needs a join.  ``max_shared``
     counts a column's entries within one part; above 1 the block form does not apply.
+    ``heavy`` is ``find_heavy(a, *COL)``: the balance entries of such columns are dealt to many tasks.
     """
     shared = (
         a.groupBy(*COL, part).count().groupBy("case_id").agg(F.max("count").alias("max_shared"))
@@ -76,7 +90,7 @@ def gram_blocks(a: DataFrame, part: str = "part") -> DataFrame:
         *COL, F.col("row").alias("r2"), F.col("value").alias("_r")
     )
     coupling = (
-        left.join(right, COL)
+        join_heavy(left, right, heavy or plain(*COL))
         .groupBy("case_id", "r1", "r2")
         .agg(F.sum(F.col("_l") * F.col("_r")).alias("value"))
         .select("case_id", F.lit("coupling").alias("kind"), "r1", "r2", "value")
@@ -388,13 +402,13 @@ def spectral_bounds(a: DataFrame) -> DataFrame:
     return rows.join(cols, "case_id").withColumn("induced", induced)
 
 
-def _start_vector(a: DataFrame, low: float, high: float) -> DataFrame:
+def start_vector(a: DataFrame, low: float, high: float) -> DataFrame:
     """A vector on the columns of ``a``, a fixed function of the column position."""
     unit = F.pmod(F.col("col") * 7_919 + 12_345, F.lit(10_007)) / F.lit(10_007.0)
     return a.select(*COL).distinct().select(*COL, (F.lit(low) + unit * (high - low)).alias("x"))
 
 
-def _normal_product(a: DataFrame, vec: DataFrame) -> DataFrame:
+def normal_product(a: DataFrame, vec: DataFrame) -> DataFrame:
     return spmv_t(a, spmv(a, vec, "x", "y"), "y", "p")
 
 
@@ -404,10 +418,10 @@ def power_iteration(a: DataFrame, steps: int = 8) -> DataFrame:
     A start vector in the null space of a case is replaced by the unit vector at the
     column of largest norm.  Each step writes one table; the run length is fixed.
     """
-    vec = settle(_start_vector(a, -1.0, 1.0))
+    vec = settle(start_vector(a, -1.0, 1.0))
     estimate = None
     for step in range(steps):
-        product = settle(_normal_product(a, vec))
+        product = settle(normal_product(a, vec))
         norms = product.groupBy("case_id").agg(F.sqrt(F.sum(F.col("p") ** 2)).alias("norm"))
         if step == 0:
             dead = norms.where(F.col("norm") == 0).select("case_id")
@@ -417,7 +431,7 @@ def power_iteration(a: DataFrame, steps: int = 8) -> DataFrame:
         # the product is a written table, so the next vector can stay an expression over it
         vec = product.join(norms, "case_id").select(*COL, (F.col("p") / F.col("norm")).alias("x"))
         if step == steps - 1:
-            pair = _normal_product(a, vec).join(vec, COL)
+            pair = normal_product(a, vec).join(vec, COL)
             moments = pair.groupBy("case_id").agg(
                 F.sum(F.col("x") * F.col("p")).alias("xp"), F.sum(F.col("p") ** 2).alias("pp")
             )
@@ -432,23 +446,26 @@ def power_iteration(a: DataFrame, steps: int = 8) -> DataFrame:
     return estimate
 
 
+def unit_at_longest(a: DataFrame) -> DataFrame:
+    """The column of largest norm per case, ties to the first."""
+    lengths = a.groupBy(*COL).agg(F.sum(F.col("value") ** 2).alias("sq"))
+    return lengths.groupBy("case_id").agg(F.max_by("col", F.struct("sq", -F.col("col"))).alias("col"))
+
+
 def _restart(a: DataFrame, product: DataFrame, dead: DataFrame) -> DataFrame:
-    lengths = a.join(dead, "case_id", "left_semi").groupBy(*COL).agg(
-        F.sum(F.col("value") ** 2).alias("sq")
-    )
-    unit = lengths.groupBy("case_id").agg(F.max_by("col", F.struct("sq", -F.col("col"))).alias("col"))
-    fresh = _normal_product(a, unit.withColumn("x", F.lit(1.0)))
+    unit = unit_at_longest(a.join(dead, "case_id", "left_semi"))
+    fresh = normal_product(a, unit.withColumn("x", F.lit(1.0)))
     return product.join(dead, "case_id", "left_anti").unionByName(fresh)
 
 
 def collatz_bound(a: DataFrame, steps: int = 8) -> DataFrame:
     """Least ``max(|A|'|A| v / v)`` over the steps: an upper bound of the squared norm."""
     absolute = a.withColumn("value", F.abs("value"))
-    vec = settle(_start_vector(a, 0.5, 1.5))
+    vec = settle(start_vector(a, 0.5, 1.5))
     best = None
     floor = 64.0 * EPS
     for _ in range(steps):
-        product = settle(_normal_product(absolute, vec).join(vec, COL))
+        product = settle(normal_product(absolute, vec).join(vec, COL))
         ratio = product.groupBy("case_id").agg(
             F.max(F.col("p") / F.col("x")).alias("bound"), F.max("p").alias("top")
         )

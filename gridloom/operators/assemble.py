@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import count_if
+from ..functions.heavy import Heavy, join_heavy, plain
 from ..session import beside, settle, unfolded
 from .derive import (
     COUNT_OF,
@@ -147,14 +148,21 @@ def rows_storage_terminal(
 
 
 def rows_line_flow(
-    dims: DataFrame, ptdf: DataFrame, devices: DataFrame, lines: DataFrame, fixed_flow: DataFrame
+    dims: DataFrame,
+    ptdf: DataFrame,
+    devices: DataFrame,
+    lines: DataFrame,
+    fixed_flow: DataFrame,
+    heavy: Heavy | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Lower and upper flow rows of every line and period.
 
     ``ptdf(case_id, line_pos, bus_id, value)`` meets ``devices(case_id, device, pos,
-    bus_id)`` on the bus once; periods, sides and storage signs unfold afterwards.
+    bus_id)`` on the bus once; periods, sides and storage signs unfold afterwards.  A bus with a
+    large part of all devices is in ``heavy``, ``find_heavy(devices, "case_id", "bus_id")``.
     """
-    pairs = ptdf.where(F.col("value") != 0).join(devices, ["case_id", "bus_id"])
+    factors = ptdf.where(F.col("value") != 0)
+    pairs = join_heavy(devices, factors, heavy or plain("case_id", "bus_id"))
     base = _over_periods(pairs, dims)
     t, pos, v, line = F.col("t"), F.col("pos"), F.col("value"), F.col("line_pos")
     low = F.col("r_line_lower") + t * F.col("n_line") + line

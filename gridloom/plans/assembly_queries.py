@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..functions.columns import rounded
+from ..functions.heavy import find_heavy
 from ..operators import assemble as m
 from ..operators import derive as d
 from .bindings import CASES
@@ -137,6 +138,13 @@ def _(t):
     return _long(*m.rows_line_flow(dims(t), line_ptdf(t), devices(t), lines(t), flows(t)))
 
 
+@query("rows_line_flow_heavy", _sql("line"), FLEET)
+def _(t):
+    placed = devices(t)
+    often = find_heavy(placed, "case_id", "bus_id", share=1 / 256, ways=8)
+    return _long(*m.rows_line_flow(dims(t), line_ptdf(t), placed, lines(t), flows(t), often))
+
+
 @query("rows_headroom_footroom", _sql("headroom"), FLEET)
 def _(t):
     return _long(*m.rows_headroom_footroom(dims(t), gens(t)))

@@ -3,9 +3,11 @@
 from pyspark.sql import functions as F
 
 from ..functions.columns import rounded
+from ..functions.heavy import find_heavy
 from ..operators import algebra as al
 from ..operators import assemble as asm
 from ..operators import scaling as sc
+from ..operators.lanczos import lanczos
 from ..session import settle
 from .registry import query, r
 
@@ -91,6 +93,29 @@ def _(t):
     return al.spmv_t(a, y, cols=col_vec).withColumn("aty", rounded("aty"))
 
 
+HOT_COLUMN = "CASE WHEN l_linenumber <= 3 THEN 0 ELSE l_suppkey END"
+
+
+@query(
+    "spmv_heavy",
+    f"""SELECT l_orderkey % 3 AS case_id, CASE WHEN l_orderkey % 2 = 0 THEN 'A1' ELSE 'A2' END AS block,
+      l_orderkey AS row, {r(f'sum(l_quantity * (({HOT_COLUMN}) % 11 + 1))')} AS ax FROM lineitem GROUP BY ALL""",
+)
+def _(t):
+    order = F.col("l_orderkey")
+    a = t.read("lineitem").select(
+        (order % 3).alias("case_id"),
+        F.when(order % 2 == 0, "A1").otherwise("A2").alias("block"),
+        order.alias("row"),
+        F.expr(HOT_COLUMN).cast("bigint").alias("col"),
+        F.col("l_quantity").alias("value"),
+    )
+    a = settle(asm.coo_consolidate(a))
+    x = a.select(*al.COL).distinct().withColumn("x", F.col("col") % 11 + 1)
+    often = find_heavy(a, *al.COL, ways=8)
+    return al.spmv(a, x, heavy=often).withColumn("ax", rounded("ax"))
+
+
 @query(
     "vector_norms",
     f"""SELECT case_id, {r('sum(abs(x))')} AS l1, {r('sqrt(sum(x*x))')} AS l2,
@@ -630,3 +655,31 @@ def _(t):
     )
     tight = (F.col("lambda_used") >= F.col("upper")) & (F.col("lambda_used") <= 1.000001 * F.col("upper"))
     return found.select("case_id", rounded("upper", 2).alias("upper"), "safe", tight.alias("tight"))
+
+
+@query(
+    "lanczos_three_columns",
+    f"""WITH e AS (SELECT case_id, block, row, col % 3 AS col, sum(value) AS v FROM b_coo GROUP BY ALL),
+    g AS (SELECT l.case_id, l.col AS i, s.col AS j, sum(l.v * s.v) AS v FROM e l
+      JOIN e s USING (case_id, block, row) GROUP BY ALL),
+    m AS (SELECT case_id, max(CASE WHEN i = 0 AND j = 0 THEN v END) AS a,
+      max(CASE WHEN i = 1 AND j = 1 THEN v END) AS b, max(CASE WHEN i = 2 AND j = 2 THEN v END) AS c,
+      max(CASE WHEN i = 0 AND j = 1 THEN v END) AS d, max(CASE WHEN i = 0 AND j = 2 THEN v END) AS e,
+      max(CASE WHEN i = 1 AND j = 2 THEN v END) AS f FROM g GROUP BY 1),
+    q AS (SELECT *, (a + b + c) / 3 AS q FROM m),
+    p AS (SELECT *, sqrt(((a-q)*(a-q) + (b-q)*(b-q) + (c-q)*(c-q) + 2*(d*d + e*e + f*f)) / 6) AS p FROM q),
+    s AS (SELECT *, ((a-q) * ((b-q)*(c-q) - f*f) - d * (d*(c-q) - f*e) + e * (d*f - (b-q)*e))
+      / (2*p*p*p) AS s FROM p)
+    SELECT case_id, {r('q + 2 * p * cos(acos(greatest(-1, least(1, s))) / 3)', 2)} AS largest,
+      true AS converged, true AS few_steps FROM s""",
+    "b_entry b_coo",
+)
+def _(t):
+    three = t.entries().withColumn("col", F.col("col") % 3)
+    found = lanczos(settle(asm.coo_consolidate(three)), 6, 1e-9)
+    return found.select(
+        "case_id",
+        rounded("rayleigh", 2).alias("largest"),
+        "converged",
+        (F.col("steps") <= 3).alias("few_steps"),
+    )

@@ -86,7 +86,7 @@ def test_spectral_bounds_enclose_the_norm(table):
 def test_power_iteration_leaves_the_null_space(table):
     """A start vector that the matrix sends to zero is replaced."""
     probe = coo(table, [[1, 1]])
-    start = {r.col: r.x for r in al._start_vector(probe, -1.0, 1.0).collect()}
+    start = {r.col: r.x for r in al.start_vector(probe, -1.0, 1.0).collect()}
     a = coo(table, [[start[1], -start[0]]])
     got = al.power_iteration(a, 5).first()
     assert got.rayleigh == pytest.approx(start[0] ** 2 + start[1] ** 2)
