@@ -2,13 +2,16 @@
 
 Every document gets five measures.  A mergeable sketch per (language, source, measure) counts the
 values in logarithmic bins: two sketches merge by adding counts, and a quantile read from one is
-within ``ACCURACY`` of the value.  The fences of a group come from its quartiles; a group with few
-documents takes the sketch of its language, merged from all sources, and a small language the
-sketch of the whole table.  Documents then meet their group's fences in a join.
+within ``ACCURACY`` of the value.  The sketch of a language is shrunk towards that of the whole table
+and the sketch of a group towards its language's: ``PRIOR`` documents dealt like the wider sketch are
+added to the counts, so a small group leans on its language and a large one on itself, without a
+size at which this changes.  Fences come from the quartiles: an upper one for every measure and a
+lower one for the word length.  Documents then meet their group's fences in a join.
 
 Defined results: a null text has no words and fails the base rules; null languages and sources are
-groups of their own; a table with no rows gives no rows; repeated rows get equal results.  Only
-doc_id, text, lang and source are read.
+groups of their own; a table with no rows gives no rows; repeated rows count each and get equal
+results; a text of any length is read whole, by one task.  A measure without a denominator (a text
+without words or lines) is null and inside every fence.  Only doc_id, text, lang and source are read.
 """
 
 from __future__ import annotations
@@ -48,9 +51,12 @@ LEAST_SPREAD = {
     "dup_line_share": (0.1, 0.0),
     "repeat_share": (0.1, 0.0),
 }
-#: Spreads (quartile distances) between the upper quartile and the fence.
+#: Spreads (quartile distances) between a quartile and its fence.
 REACH = 4.0
-LEAST_DOCUMENTS = 200
+#: Documents of the wider sketch that are added to a narrower one.
+PRIOR = 100.0
+#: Measures that have a lower fence too.
+LOWER = ("word_length",)
 
 COUNTS = "n_words long, word_chars long, n_symbols long, n_lines long, n_dup_lines long, n_repeat_words long"
 
@@ -151,7 +157,9 @@ def quartiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
         F.sum("n").over(upto).alias("_upto"),
         F.sum("n").over(group).alias("_n"),
     )
-    at = lambda q: F.min(F.when(F.col("_upto") >= F.col("_n") * q, F.col("bin")))
+    # counts may be sums of fractions: what reaches a rank but for rounding has reached it
+    reached = lambda q: F.col("_upto") >= F.col("_n") * (q * (1 - 1e-9))
+    at = lambda q: F.min(F.when(reached(q), F.col("bin")))
     return ranked.groupBy(*keys, "measure").agg(
         F.max("_n").alias("documents"),
         value_of(at(0.25)).alias("q1"),
@@ -160,40 +168,43 @@ def quartiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def fences(sketch: DataFrame, reach: float = REACH, least: int = LEAST_DOCUMENTS) -> DataFrame:
-    """lang, source and one upper fence per measure."""
-    by_source = quartiles(sketch, ["lang", "source"])
-    by_lang = quartiles(sketch, ["lang"])
-    whole = quartiles(sketch, [])
+def shrunk(sketch: DataFrame, prior: float = PRIOR) -> DataFrame:
+    """The sketches with ``prior`` documents of the wider sketch in each: whole, language, group."""
+    whole = _shares(sketch.groupBy("measure", "bin").agg(F.sum("n").alias("n")), [])
+    by_lang = sketch.groupBy("lang", "measure", "bin").agg(F.sum("n").alias("n"))
+    langs = _lean(by_lang, ["lang"], whole, [], prior)
+    return _lean(sketch, ["lang", "source"], _shares(langs, ["lang"]), ["lang"], prior)
 
-    def stage(df: DataFrame, tag: str) -> DataFrame:
-        return df.withColumnsRenamed({c: f"{tag}_{c}" for c in ("documents", "q1", "q2", "q3")})
 
-    joined = (
-        stage(by_source, "s")
-        .join(stage(by_lang, "l").withColumnsRenamed({"lang": "_lang", "measure": "_m"}),
-              F.col("lang").eqNullSafe(F.col("_lang")) & (F.col("measure") == F.col("_m")), "left")
-        .drop("_lang", "_m")
-        .join(stage(whole, "w"), "measure")
-    )
+def _shares(sketch: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, measure, bin and the share of the sketch that lies in the bin."""
+    total = F.sum("n").over(W.partitionBy(*keys, "measure"))
+    return sketch.select(*keys, "measure", "bin", (F.col("n") / total).alias("share"))
 
-    def pick(name: str) -> Column:
-        return (
-            F.when(F.col("s_documents") >= least, F.col(f"s_{name}"))
-            .when(F.col("l_documents") >= least, F.col(f"l_{name}"))
-            .otherwise(F.col(f"w_{name}"))
-        )
 
+def _lean(sketch: DataFrame, keys: list[str], wider: DataFrame, wide: list[str], prior: float) -> DataFrame:
+    """``sketch`` by ``keys`` with ``prior`` documents dealt like ``wider``, which is by ``wide``."""
+    groups = sketch.select(*keys, "measure").distinct()
+    outer = wider.withColumnsRenamed({c: f"_{c}" for c in ("measure", *wide)})
+    same = F.col("measure") == F.col("_measure")
+    for key in wide:
+        same = same & F.col(key).eqNullSafe(F.col(f"_{key}"))
+    added = groups.join(outer, same).select(*keys, "measure", "bin", (prior * F.col("share")).alias("n"))
+    own = sketch.select(*keys, "measure", "bin", F.col("n").cast("double").alias("n"))
+    return own.unionByName(added).groupBy(*keys, "measure", "bin").agg(F.sum("n").alias("n"))
+
+
+def fences(sketch: DataFrame, reach: float = REACH, prior: float = PRIOR) -> DataFrame:
+    """lang, source, an upper fence ``most_`` per measure and a lower one ``least_`` for ``LOWER``."""
+    found = quartiles(shrunk(sketch, prior), ["lang", "source"])
     least_spread = F.lit(0.0)
     for name, (fixed, part) in LEAST_SPREAD.items():
-        least_spread = F.when(F.col("measure") == name, fixed + part * pick("q2")).otherwise(
-            least_spread
-        )
-    fence = pick("q3") + reach * F.greatest(pick("q3") - pick("q1"), least_spread)
-    return (
-        joined.select("lang", "source", "measure", fence.alias("fence"))
-        .groupBy("lang", "source")
-        .agg(*[F.max(F.when(F.col("measure") == m, F.col("fence"))).alias(f"most_{m}") for m in MEASURES])
+        least_spread = F.when(F.col("measure") == name, fixed + part * F.col("q2")).otherwise(least_spread)
+    distance = reach * F.greatest(F.col("q3") - F.col("q1"), least_spread)
+    only = lambda m, fence: F.max(F.when(F.col("measure") == m, fence))
+    return found.groupBy("lang", "source").agg(
+        *[only(m, F.col("q3") + distance).alias(f"most_{m}") for m in MEASURES],
+        *[only(m, F.col("q1") - distance).alias(f"least_{m}") for m in LOWER],
     )
 
 
@@ -222,6 +233,8 @@ def judged(docs: DataFrame) -> DataFrame:
     inside = F.lit(True)
     for name in MEASURES:
         inside = inside & F.coalesce(F.col(name) <= F.col(f"most_{name}"), F.lit(True))
+    for name in LOWER:
+        inside = inside & F.coalesce(F.col(name) >= F.col(f"least_{name}"), F.lit(True))
     return met.withColumn("kept", ~F.col("base_failed") & inside).drop(
         "salt_", "_salt", "_lang", "_source"
     )

@@ -1,6 +1,7 @@
 """Quality rules, pieces, languages and licenses."""
 
 import hashlib
+import math
 import random
 import re
 from collections import Counter
@@ -62,6 +63,78 @@ def test_sketch_quantiles(spark):
     assert merged.documents == len(values)
 
 
+def brute_verdicts(rows):
+    """Measures, shrunk sketches, fences and verdicts, one document after the other."""
+    ratio, names = quality.RATIO, list(quality.MEASURES)
+    bin_of = lambda v: quality.ZERO_BIN if v <= 0 else math.ceil(math.log(v) / math.log(ratio))
+    value_of = lambda b: 0.0 if b == quality.ZERO_BIN else ratio**b * 2 / (1 + ratio)
+    measured, bins = [], {}
+    for doc_id, text, lang, source in rows:
+        n, chars, symbols, dup, repeat = brute_counts(text)
+        lines = sum(bool(re.search(r"[^\x20\x09-\x0D]", x)) for x in (text or "").split("\n"))
+        values = [v / d if d else None for v, d in ((chars, n), (symbols, n), (dup, lines), (repeat, n))]
+        measured.append((doc_id, (lang, source), n < 50 or 100 * repeat > 50 * n, dict(zip(names, values))))
+        for name, v in zip(names, values):
+            for key in ((), (lang,), (lang, source)):
+                if v is not None:
+                    bins.setdefault((name, key), Counter())[bin_of(v)] += 1
+
+    def dealt(name, key):
+        own = bins[name, key]
+        if not key:
+            return own
+        wide = dealt(name, key[:-1])
+        total = sum(wide.values())
+        return {b: own.get(b, 0) + quality.PRIOR * wide.get(b, 0) / total for b in {*own, *wide}}
+
+    def rank(sketch, q):
+        upto, goal = 0, sum(sketch.values()) * q * (1 - 1e-9)
+        for b in sorted(sketch):
+            upto += sketch[b]
+            if upto >= goal:
+                return value_of(b)
+
+    fences = {}
+    for name, key in bins:
+        if len(key) == 2:
+            q1, q2, q3 = (rank(dealt(name, key), q) for q in (0.25, 0.5, 0.75))
+            fixed, part = quality.LEAST_SPREAD[name]
+            reach = quality.REACH * max(q3 - q1, fixed + part * q2)
+            fences[name, key] = (q1 - reach if name in quality.LOWER else -math.inf, q3 + reach)
+    verdict = {}
+    for doc_id, key, failed, values in measured:
+        inside = all(v is None or fences[m, key][0] <= v <= fences[m, key][1] for m, v in values.items())
+        verdict[doc_id] = not failed and inside
+    return verdict, fences
+
+
+def test_verdicts_against_brute_force(make_docs):
+    draw = random.Random(11)
+    rows = []
+    for i in range(260):
+        # one language has long words, one source has few documents, some texts are odd
+        lang = draw.choice(["aa", "aa", "bb", None])
+        source = draw.choice(["s", "s", "s", "t", None]) if i % 40 else "rare"
+        low, high = {"aa": (2, 5), "bb": (6, 14), None: (1, 9)}[lang]
+        kind = draw.choice(["plain"] * 12 + ["short words", "long words", "symbols", "lines", "again"])
+        low, high = {"short words": (1, 1), "long words": (40, 60)}.get(kind, (low, high))
+        found = ["".join(draw.choice("abcdeé") for _ in range(draw.randint(low, high))) for _ in range(draw.randint(40, 160))]
+        if kind == "symbols":
+            found = [w if draw.random() < 0.5 else "#" for w in found]
+        if kind == "again":
+            found += found[: draw.randint(3, 40)]
+        lines = ["x y"] * draw.randint(2, 30) if kind == "lines" else []
+        rows.append((i, "\n".join([" ".join(found), *lines]), lang, source))
+    want, fences = brute_verdicts(rows)
+    got = quality.judged(make_docs(rows)).collect()
+    assert {r.doc_id: r.kept for r in got} == want and 0 < sum(want.values()) < len(rows)
+    for r in got:
+        low, high = fences["word_length", (r.lang, r.source)]
+        assert (r.least_word_length, r.most_word_length) == (pytest.approx(low), pytest.approx(high))
+    assert fences["word_length", ("aa", "s")][1] < fences["word_length", ("bb", "s")][1]
+    assert any(r.word_length and r.word_length < r.least_word_length and not r.kept for r in got)
+
+
 def test_fences_drop_junk_and_keep_prose(make_docs):
     from .conftest import prose
 
