@@ -2,14 +2,17 @@
 
 Rules are regular expressions over a text's normalised words.  They are written by families: each
 family's names and versions meet the phrasings of a notice, a grant, a link and an identifier, and
-families may add signatures of their own.  A rule runs only where its keyword occurs.  Detections
+signatures are sentences of licence texts and notices.  A rule runs only where its keyword occurs.
+A name of three letters means other things too, so it counts only with a version, beside the word
+"license" or after "under"; a name before a word as "plate" or "fee" is no licence.  Detections
 are ordered by priority, then length, then place; one whose words all lie inside an accepted
 detection is suppressed, so "gnu lesser general public license" does not also report a shorter name.
 
 Base phrases are reported at all their places and never suppressed.
 
 Defined results: a null or empty text has no words and no labels; score is the confidence of the
-strongest detection, 0 without any; repeated rows get equal results.  Only doc_id and text are read.
+strongest detection, 0 without any; repeated rows get equal results; an empty table gives no rows; a
+text of any length is read whole, by one task.  Only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -95,6 +98,14 @@ PHRASINGS = {
     "terms": ("(?:subject to|under) the terms (?:and conditions )?of (?:the |an? )?{}", 3, 0.9),
     "name": ("(?:the )?{}", 1, 0.6),
 }
+#: The phrasings of a name of three letters.
+SHORT_PHRASINGS = {
+    "grant": ("(?:licen[cs]ed|released|distributed|available|published|covered|provided) under (?:the )?(?:terms of )?(?:the |an? )?{}", 3, 0.9),
+    "terms": PHRASINGS["terms"],
+    "beside": ("(?:{0} licen[cs](?:ed?|es|ing)|licen[cs]e[ds]?(?: is| type| name| under| the){{0,2}} {0})", 1, 0.6),
+}
+#: Words after a name that make it something else.
+OTHERWISE = "(?! (?:plates?|fees?|keys?|servers?|holders?|numbers?|exams?|tests?|office|revoked|suspended|expired|renewal) )"
 #: Signatures of whole texts and notices: (keyword, pattern, label, priority, confidence).
 SIGNATURES = (
     ("redistribution", "redistribution and use in source and binary forms with or without modification are permitted", "bsd", 4, 1.0),
@@ -115,6 +126,40 @@ SIGNATURES = (
     ("public domain", "(?:released|dedicated|placed) (?:in|into|to) the public domain", "public-domain", 3, 0.8),
     ("all rights reserved", "all rights reserved", "proprietary", 1, 0.3),
     ("proprietary", "proprietary and confidential", "proprietary", 2, 0.6),
+    ("substantial portions", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", "mit", 4, 1.0),
+    ("except as contained", "except as contained in this notice the name of .{1,80}? shall not be used in advertising", "x11", 4, 0.95),
+    ("advertising materials", "all advertising materials mentioning features or use of this software must display the following acknowledge?ment", "bsd-4-clause", 4, 1.0),
+    ("berkeley", "this product includes software developed by the university of california berkeley", "bsd", 4, 0.9),
+    ("contributor license agreements", "licensed to the apache software foundation asf under one or more contributor license agreements", "apache", 4, 1.0),
+    ("apache", "this product includes software developed (?:by|at) the apache software foundation", "apache", 4, 0.9),
+    ("applicable law", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis", "apache-2.0", 4, 0.95),
+    ("source code form", "this source code form is subject to the terms of the mozilla public license v 2 0", "mpl-2.0", 5, 1.0),
+    ("the contents of this file", "the contents of this file are subject to the mozilla public license", "mpl", 4, 1.0),
+    ("the contents of this file", "the contents of this file are subject to the terms of the common development and distribution license", "cddl", 4, 1.0),
+    ("accompanying materials", "this program and the accompanying materials are made available under the terms of the eclipse public license", "epl", 4, 1.0),
+    ("verbatim copies", "everyone is permitted to copy and distribute verbatim copies of this license document but changing it is not allowed", "gnu", 3, 0.8),
+    ("remotely through a computer network", "prominently offer all users interacting with it remotely through a computer network", "agpl", 4, 1.0),
+    ("modify this document", "permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license", "gfdl", 4, 1.0),
+    ("misrepresented", "the origin of this software must not be misrepresented you must not claim that you wrote the original software", "zlib", 4, 1.0),
+    ("accompanying documentation", "to any person or organization obtaining a copy of the software and accompanying documentation covered by this license", "boost", 4, 1.0),
+    ("font software", "this font software is licensed under the sil open font license", "ofl", 4, 1.0),
+    ("fonts and derivatives", "the fonts and derivatives however can be embedded bundled redistributed and or sold", "ofl", 4, 1.0),
+    ("package may be copied", "the intent of this document is to state the conditions under which a package may be copied", "artistic", 4, 1.0),
+    ("psf hereby grants", "psf hereby grants licensee a nonexclusive royalty free world ?wide license", "python", 4, 1.0),
+    ("called php", "products derived from this software may not be called php", "php", 4, 1.0),
+    ("neighboring rights", "(?:dedicated|waived) all copyright and related (?:and|or) neighboring rights", "cc0", 4, 0.95),
+    ("sell or distribute", "anyone is free to copy modify publish use compile sell or distribute this software", "unlicense", 4, 1.0),
+    ("whatever you want with this stuff", "as long as you retain this notice you can do whatever you want with this stuff", "beerware", 4, 1.0),
+    ("good not evil", "the software shall be used for good not evil", "json", 4, 1.0),
+    ("openssl", "this product includes software developed by the openssl project", "openssl", 4, 1.0),
+    ("freetype", "portions of this software are copyright .{0,40}?the freetype project", "freetype", 4, 1.0),
+    ("independent jpeg group", "this software is based in part on the work of the independent jpeg group", "ijg", 4, 1.0),
+    ("hereby granted without fee", "permission to use copy modify distribute and sell this software and its documentation for any purpose is hereby granted without fee", "hpnd", 4, 1.0),
+    ("without a written agreement", "distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted", "postgresql", 4, 1.0),
+    ("public domain", "has been placed in the public domain", "public-domain", 3, 0.8),
+    ("grants to you a perpetual", "subject to the terms and conditions of this license each contributor hereby grants to you a perpetual worldwide", "apache-2.0", 4, 0.95),
+    ("each contributor", "each contributor hereby grants recipient a non exclusive worldwide royalty free copyright license", "epl", 4, 0.9),
+    ("do what the fuck", "do what the fuck you want to public license", "wtfpl", 4, 1.0),
 )
 
 
@@ -173,12 +218,16 @@ def rules() -> list[Rule]:
         add(keyword, pattern, label, priority, confidence)
     for names, versions, label in FAMILIES:
         for keyword, alike in by_keyword(names).items():
-            for around, priority, confidence in PHRASINGS.values():
+            short = all(re.fullmatch("[a-z]{3}", name) for name in alike)
+            for kind, (around, priority, confidence) in (SHORT_PHRASINGS if short else PHRASINGS).items():
+                # a version is context enough for a short name
                 for version in versions:
                     with_version = "|".join(versioned(name, version) for name in alike)
                     name = f"{label}-{version.replace(' ', '-' if 'clause' in version else '.')}"
-                    add(keyword, around.format(f"(?:{with_version})"), name, priority + 1, min(1.0, confidence + 0.1))
-                add(keyword, around.format(f"(?:{'|'.join(alike)})"), label, priority, confidence)
+                    dated = PHRASINGS["name"][0] if kind == "beside" else around
+                    add(keyword, dated.format(f"(?:{with_version})"), name, priority + 1, min(1.0, confidence + 0.1))
+                bare = around.format(f"(?:{'|'.join(alike)})")
+                add(keyword, f"(?:{bare}){OTHERWISE}", label, priority, confidence)
         for version in ("", *versions):
             exact = label.replace("-", " ") + (f" {version}" if version else "")
             dotted = version.replace(" ", "-" if "clause" in version else ".")

@@ -275,3 +275,58 @@ def test_rules_are_many_and_ordered():
     rules = licenses.rules()
     assert len(rules) > 300
     assert [r.priority for r in rules] == sorted((r.priority for r in rules), reverse=True)
+
+
+def brute_labels(text):
+    """Labels and score by all rules, without gates, and containment by comparing all detections."""
+    normal = " " + " ".join(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.translate(LOWER))) + " "
+    hits = []
+    for rule in RULES:
+        for m in rule.pattern.finditer(normal.encode()):
+            hits.append((-rule.priority, -len(m.group()), m.start(), rule.label, m.end(), rule.confidence))
+    accepted = []
+    for hit in sorted(hits):
+        if not any(a[2] <= hit[2] and hit[4] <= a[4] for a in accepted):
+            accepted.append(hit)
+    base = {label for phrase, label in licenses.BASE if f" {phrase} " in normal}
+    score = max([a[5] for a in accepted] + [0.6 if base else 0.0])
+    return ",".join(sorted(base | {a[3] for a in accepted})), score
+
+
+LOWER = {c: c + 32 for c in range(65, 91)}
+RULES = licenses.rules()
+
+
+def test_license_labels_against_brute_force():
+    draw = random.Random(17)
+    parts = [re.sub(r"\(\?:([^|()]*)[^()]*\)\??", r"\1", re.sub(r"\.\{.*?\}\?", "someone", s[1])) for s in licenses.SIGNATURES]
+    names = [n for names, _, _ in licenses.FAMILIES for n in re.split(r"\|(?![^()]*\))", names)]
+    parts += [re.sub(r"[(][?]:([^|()]*)[^()]*[)][?]?|[?]", r"\1", n) for n in names]
+    parts += ["under the terms of the", "version", "2.0", "v3", "or later", "license", "Licensed under", "plate", "the", "clause"]
+    scanner = licenses.Scanner()
+    some = 0
+    for _ in range(150):
+        text = " ".join(draw.choice(parts) if draw.random() < 0.7 else draw.choice(["a", "word", "é"]) for _ in range(draw.randint(1, 14)))
+        text = text.title() if draw.random() < 0.3 else text
+        got = scanner.scan(text.encode())
+        assert got[5:] == brute_labels(text), text
+        some += bool(got[5])
+    assert some > 90
+
+
+def test_short_names_need_context():
+    scan = licenses.Scanner().scan
+    for text in ("The AFL final was played", "plays in the EPL", "MPL flow rate", "python license plate", "provided by the OSL", "a PHP license fee", "gpl"):
+        assert scan(text.encode())[5:] == ("", 0.0), text
+    for text, label in (
+        ("released under the EPL", "epl"), ("license: GPL", "gpl"), ("the MPL license", "mpl"), ("GPLv3", "gpl-3"),
+        ("licensed under MPL 2.0", "mpl-2.0"), ("the terms of the python license", "python"), ("uses LGPL code", "lgpl"),
+        ("The Software shall be used for Good, not Evil.", "json"), ("plays under the AFL license", "afl"),
+    ):
+        assert scan(text.encode())[5] == label, text
+
+
+def test_signatures_hold_their_keywords():
+    for keyword, pattern, *_ in licenses.SIGNATURES:
+        assert keyword in pattern
+    assert len({pattern for _, pattern, *_ in licenses.SIGNATURES}) == len(licenses.SIGNATURES) > 50
