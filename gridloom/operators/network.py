@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..session import beside, release, settle
 from .derive import effective_tap
+from .multilevel import Hierarchy, build_hierarchy, multiplied, prolonged, restricted
 
 RHS = ["case_id", "rhs"]
 SHIFT_RUN = -1
@@ -144,6 +145,7 @@ class Solved(NamedTuple):
     angle: DataFrame
     flow: DataFrame
     report: DataFrame
+    rounds: int
 
 
 def solve_angles(
@@ -155,12 +157,14 @@ def solve_angles(
     patience: int = 50,
     check_every: int = 4,
     degree: int = 2,
+    prepared: Hierarchy | None = None,
 ) -> Solved:
     """Bus angles and branch flows for every ``rhs`` of every case.
 
     ``injection(case_id, rhs, bus_id, mw)`` with ``rhs`` >= 0; with phase shifts it lists
-    every bus, zeros included.  Conjugate gradients on the reduced matrix, scaled by its
-    diagonal and preconditioned by a polynomial; all right-hand sides advance together.
+    every bus, zeros included.  Conjugate gradients on the reduced matrix, preconditioned by a
+    hierarchy of coarser grids (``multilevel``), so that the rounds hardly grow with a grid; all
+    right-hand sides advance together.  ``prepared`` is that hierarchy, if the caller has it.
     The rearrangement that needs one set of dot products per iteration keeps an iteration
     at one written table, and convergence is looked up every ``check_every`` iterations.
     A higher ``degree`` trades products inside a job for fewer jobs.
@@ -168,19 +172,8 @@ def solve_angles(
     ``patience`` looks stops the job with an error that names it, so no flow of an unsolved one is
     returned.  ``report`` gives the last relative residual.
     """
-    reduced = settle(bus_susceptance(edge, ref))
-    diagonal = settle(
-        reduced.where(F.col("i") == F.col("j")).select(
-            "case_id", F.col("i").alias("bus_id"), F.sqrt("value").alias("root")
-        )
-    )
-    left = diagonal.select("case_id", F.col("bus_id").alias("i"), F.col("root").alias("_ri"))
-    right = diagonal.select("case_id", F.col("bus_id").alias("j"), F.col("root").alias("_rj"))
-    matrix = (
-        reduced.join(left, ["case_id", "i"])
-        .join(right, ["case_id", "j"])
-        .select("case_id", "i", "j", (F.col("value") / (F.col("_ri") * F.col("_rj"))).alias("value"))
-    )
+    grid = prepared or build_hierarchy(bus_susceptance(edge, ref))
+    diagonal = grid.root
     needed = injection.select(*RHS, "bus_id", "mw")
     if with_shift:
         # the shifts of a case are one more right-hand side, added to the others at the end
@@ -189,13 +182,6 @@ def solve_angles(
         needed = needed.unionByName(
             shifts.select("case_id", own, "bus_id", (-F.col("mw")).alias("mw"))
         )
-    passing = diagonal.select(
-        "case_id", F.col("bus_id").alias("i"), "bus_id", F.lit(0.0).alias("value"), F.lit(True).alias("own")
-    )
-    cells = settle(
-        matrix.select("case_id", "i", F.col("j").alias("bus_id"), "value", F.lit(False).alias("own"))
-        .unionByName(passing)
-    )
     zero, unset = F.lit(0.0), F.lit(None).cast("double")
     state = (
         needed.groupBy(*RHS, "bus_id")
@@ -216,7 +202,7 @@ def solve_angles(
     lowest, waited, iteration = float("inf"), 0, 0
     while True:
         iteration += 1
-        table = settle(_preconditioned(state, cells, degree))
+        table = settle(_preconditioned(state, grid, degree))
         release(last)
         last = table
         scalars = _step_lengths(table, tol)
@@ -255,7 +241,7 @@ def solve_angles(
         .alias("relative_residual"),
         F.col("done").alias("converged"),
     )
-    return Solved(angle, branch_flows(edge, angle, with_shift), report)
+    return Solved(angle, branch_flows(edge, angle, with_shift), report, iteration)
 
 
 def _add_shift_angles(angle: DataFrame) -> DataFrame:
@@ -269,48 +255,30 @@ def _add_shift_angles(angle: DataFrame) -> DataFrame:
     )
 
 
-def _multiply(state: DataFrame, cells: DataFrame, source: str, out: str) -> DataFrame:
-    """The state with ``out``, the matrix times ``source``: one join, one aggregation.
-
-    ``cells`` holds the matrix and one marked row per bus that passes the state on, so
-    the state is read once.  Buses reached for the first time appear as new rows.
-    """
-    carried = [c for c in state.columns if c not in (*RHS, "bus_id", out, *RIDERS)]
-    moved = state.join(cells, ["case_id", "bus_id"])
-    own = F.col("own")
-    terms = moved.select(
-        *RHS,
-        F.col("i").alias("bus_id"),
-        *[F.when(own, F.col(c)).otherwise(0.0).alias(c) for c in carried],
-        *[F.when(own, F.col(c)).alias(c) for c in RIDERS],
-        F.when(own, F.lit(0.0)).otherwise(F.col("value") * F.col(source)).alias(out),
-    )
-    return terms.groupBy(*RHS, "bus_id").agg(
-        *[F.sum(c).alias(c) for c in (*carried, out)], *[F.max(c).alias(c) for c in RIDERS]
-    )
-
-
-def _preconditioned(state: DataFrame, cells: DataFrame, degree: int) -> DataFrame:
-    """Add ``u``, a Chebyshev approximation of the solution for ``r``, and ``w``, its product.
+def _preconditioned(state: DataFrame, grid: Hierarchy, degree: int) -> DataFrame:
+    """Add ``u``, the sum of all levels' answers for ``r``, and ``w``, the matrix times ``u``.
 
-    The scaled matrix has its spectrum in (0, 2], so the polynomial stays positive
-    whatever the smallest eigenvalue is.  All products of an iteration are stages of one
-    job; only its result is written.
+    A level answers with a Chebyshev polynomial.  The scaled matrices have their spectrum in
+    (0, 2], so the polynomial stays positive whatever the smallest eigenvalue is.  All products
+    of an iteration are stages of one job; only its result is written.
     """
     low, high = 0.1, 2.0
     centre, half = (high + low) / 2, (high - low) / 2
     sigma = centre / half
     rho = 1 / sigma
+    state = restricted(state, grid.down, RHS, RIDERS)
     state = state.withColumns({"d": F.col("r") / centre, "u": F.col("r") / centre})
     for _ in range(degree):
         following = 1 / (2 * sigma - rho)
-        multiplied = _multiply(state, cells, "u", "w")
+        state = multiplied(state, grid.cells, "u", "w", RHS, RIDERS)
         step = F.lit(following * rho) * F.col("d") + F.lit(2 * following / half) * (
             F.col("r") - F.col("w")
         )
-        state = multiplied.withColumns({"d": step, "u": F.col("u") + step}).drop("w")
+        state = state.withColumns({"d": step, "u": F.col("u") + step}).drop("w")
         rho = following
-    return _multiply(state.drop("d"), cells, "u", "w")
+    # coarse residuals have done their work: only those of the buses go on
+    mine = F.when(F.col("level") == 0, F.col("r")).otherwise(0.0)
+    return prolonged(state.drop("d").withColumn("r", mine), grid.up, RHS, RIDERS)
 
 
 def _step_lengths(table: DataFrame, tol: float) -> DataFrame:
@@ -373,11 +341,12 @@ def shift_factor_columns(
     wanted = settle(buses.select("case_id", "bus_id").distinct())
     largest = wanted.groupBy("case_id").count().agg(F.max("count")).first()[0] or 0
     batches = max(1, math.ceil(largest / batch))
+    grid = build_hierarchy(bus_susceptance(edge, ref))
     result = None
     for number in range(batches):
         mine = wanted.where(F.pmod(F.xxhash64("bus_id"), F.lit(batches)) == number)
         unit = mine.select("case_id", F.col("bus_id").alias("rhs"), "bus_id", F.lit(1.0).alias("mw"))
-        flow = settle(solve_angles(edge, ref, unit, with_shift=False, tol=tol).flow)
+        flow = settle(solve_angles(edge, ref, unit, with_shift=False, tol=tol, prepared=grid).flow)
         part = flow.select(
             "case_id", "branch_id", F.col("rhs").alias("bus_id"), F.col("mw").alias("value")
         )
