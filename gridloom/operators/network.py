@@ -234,6 +234,8 @@ def solve_angles(
         *RHS, "bus_id", (F.col("x") / F.col("root")).alias("angle")
     )
     angle = settle(_add_shift_angles(angle) if with_shift else angle)
+    if prepared is None:
+        release(*grid)
     report = _step_lengths(table, tol).select(
         *RHS,
         F.when(F.col("start") > 0, F.sqrt(F.col("residual") / F.col("start")))
@@ -351,6 +353,7 @@ def shift_factor_columns(
             "case_id", "branch_id", F.col("rhs").alias("bus_id"), F.col("mw").alias("value")
         )
         result = part if result is None else result.unionByName(part)
+    release(*grid)
     return result
 
 
