@@ -21,6 +21,7 @@ from ..functions.columns import (
     whole_sum,
 )
 from ..functions.ordered import BLOCK, running_sum
+from ..session import unfolded
 from .algebra import COL, row_activity
 
 SHAPE = ["case_id", "family", "side", "period", "element", "value"]
@@ -72,9 +73,12 @@ def violation_line_flow(flow: DataFrame, branch: DataFrame) -> DataFrame:
 
 
 def _with(dispatch: DataFrame, device: DataFrame, *cols: str, keys: list[str] = DEVICE) -> DataFrame:
-    """Dispatch rows beside their device; those of an unknown device stay, unlisted."""
+    """Dispatch rows beside their device; those of an unknown device stay, unlisted.
+
+    A table with a row per device period counts as unfolded: it is never broadcast.
+    """
     known = device.select(*keys, *cols, F.lit(True).alias(LISTED))
-    return dispatch.join(known, keys, "left")
+    return dispatch.join(unfolded(known) if "period" in keys else known, keys, "left")
 
 
 def missing_dispatch(device: DataFrame, dispatch: DataFrame, family: str, keys: list[str] = DEVICE) -> DataFrame:

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import rounded
 from ..operators import physical as p
+from ..session import unfolded
 from .networks_queries import BUS_PERIODS, bus_periods, fixed
 from .registry import query, r
 
@@ -62,7 +63,7 @@ def generated(t):
 def produced(t):
     """Output of the device periods that have a profile."""
     keys = ["case_id", "pos", "period"]
-    return t.output().join(t.renewable().select(*keys), keys, "left_semi")
+    return t.output().join(unfolded(t.renewable().select(*keys)), keys, "left_semi")
 
 
 @query(
