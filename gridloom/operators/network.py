@@ -8,7 +8,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import beside, release, settle
+from ..session import beside, release, settle, unfolded
 from .derive import effective_tap
 from .multilevel import Hierarchy, build_hierarchy, multiplied, prolonged, restricted
 
@@ -382,10 +382,12 @@ def compress_ptdf(ptdf: DataFrame, placement: DataFrame, atol: float = 1e-12) ->
 def flows_from_injections(ptdf: DataFrame, injection: DataFrame, offset: DataFrame) -> DataFrame:
     """``M injection + offset`` per branch and period.
 
-    The offset enters once per (branch, period) as a term of the same aggregation.
+    The offset enters once per (branch, period) as a term of the same aggregation.  The injections
+    are settled, so that they are what a join repeats: the factors have a row per branch and bus.
     """
     keys = ["case_id", "branch_id", "period"]
-    terms = ptdf.join(injection, ["case_id", "bus_id"]).select(
+    known = beside(settle(injection.select("case_id", "bus_id", "period", "mw")))
+    terms = unfolded(ptdf).join(known, ["case_id", "bus_id"]).select(
         *keys, (F.col("value") * F.col("mw")).alias("mw")
     )
     flows = terms.groupBy(*keys).agg(F.sum("mw").alias("_mw"))
