@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import close, count_if, every, finite, reason_list, scaled_gap
-from ..functions.ordered import BLOCK, previous, spread_sequence
+from ..functions.ordered import BLOCK, previous
 
 RUN = ("case", "run", "phase")
 # The reasons a restart may carry.
@@ -166,34 +166,48 @@ def unknown_event_runs(
     return policy_event.select(*keys).distinct().join(expected, list(keys), "left_anti")
 
 
+def _multiples(last: Column, interval: int) -> Column:
+    """How many multiples of ``interval`` lie in 1 .. last; 0 if unknown."""
+    return F.greatest(F.coalesce(F.floor(last / F.lit(interval)), F.lit(0)), F.lit(0)).cast("bigint")
+
+
+def _multiple(interval: int) -> Column:
+    """Which multiple of ``interval`` the iteration is, from 1; null if it is none."""
+    step, at = F.lit(interval), F.col("iteration")
+    return F.when((at > 0) & (F.pmod(at, step) == 0), F.floor(at / step).cast("bigint"))
+
+
 def expected_sampling_grid(
     runs: DataFrame, events: DataFrame, logged: DataFrame, interval: int, keys: Sequence[str] = RUN
 ) -> DataFrame:
     """Logged iterations against {1, last, multiples of interval, event iterations}.
 
-    ``runs(keys, iterations)``.  Per run: iterations missing, unexpected and repeated.
+    ``runs(keys, iterations)``.  Per run: iterations missing, unexpected and repeated.  Multiples are
+    counted and not listed, as their number grows with runs times iterations: arithmetic tells
+    whether a logged or named iteration is one, and the others of their number are missing.
     """
     keys = list(keys)
-    multiples = spread_sequence(
-        runs.select(*keys, "iterations"),
-        F.floor(F.col("iterations") / F.lit(interval)),
-        "_i",
-        keys,
-    ).select(*keys, ((F.col("_i") + 1) * F.lit(interval)).alias("iteration"))
-    first = runs.select(*keys, F.lit(1).cast("bigint").alias("iteration"))
-    last = runs.where(F.col("iterations") > 0).select(*keys, F.col("iterations").alias("iteration"))
-    named = events.select(*keys, F.col("iteration"))
-    want = multiples.unionByName(first).unionByName(last).unionByName(named)
     one = F.lit(1).cast("bigint")
+    first = runs.select(*keys, one.alias("iteration"))
+    last = runs.where(F.col("iterations") > 0).select(*keys, F.col("iterations").alias("iteration"))
+    want = first.unionByName(last).unionByName(events.select(*keys, F.col("iteration")))
     marked = want.select(*keys, "iteration", (one * 0).alias("g"), one.alias("w")).unionByName(
         logged.select(*keys, "iteration", one.alias("g"), (one * 0).alias("w"))
     )
     per_iteration = marked.groupBy(*keys, "iteration").agg(
         F.sum("g").alias("g"), F.max("w").alias("w")
     )
-    result = per_iteration.groupBy(*keys).agg(
-        count_if((F.col("g") == 0) & (F.col("w") == 1)).alias("missing"),
-        count_if((F.col("g") > 0) & (F.col("w") == 0)).alias("unexpected"),
+    sized = runs.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(
+        F.max(_multiples(F.col("iterations"), interval)).alias("_due")
+    )
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    on_grid = F.coalesce(_multiple(interval) <= F.col("_due"), F.lit(False))
+    placed = per_iteration.join(sized, same, "left").withColumn("_on", on_grid)
+    wanted = (F.col("w") == 1) | F.col("_on")
+    absent = F.coalesce(F.max("_due"), F.lit(0)) - count_if(F.col("_on"))
+    result = placed.groupBy(*keys).agg(
+        (count_if((F.col("g") == 0) & wanted) + absent).alias("missing"),
+        count_if((F.col("g") > 0) & ~wanted).alias("unexpected"),
         count_if(F.col("g") > 1).alias("repeated"),
     )
     passed = (F.col("missing") == 0) & (F.col("unexpected") == 0) & (F.col("repeated") == 0)
@@ -205,24 +219,31 @@ def policy_cadence(
 ) -> DataFrame:
     """Events at every interval up to the last eligible iteration; none when disabled.
 
-    ``runs(keys, iterations, converged, adaptive_sigma, restart)``.
+    ``runs(keys, iterations, converged, adaptive_sigma, restart)``.  Iterations that are due are
+    counted and not listed; a run with several rows has an iteration due once for each that reaches it.
     """
     keys = list(keys)
     enabled = F.coalesce(F.col("adaptive_sigma") | F.col("restart"), F.lit(False))
     last = F.col("iterations") - F.when(F.col("converged"), 1).otherwise(0)
-    count = F.when(enabled, F.floor(last / F.lit(interval))).otherwise(0)
-    due = spread_sequence(runs, count, "_i", keys).select(
-        *keys, ((F.col("_i") + 1) * F.lit(interval)).alias("iteration")
+    due = F.when(enabled, _multiples(last, interval)).otherwise(F.lit(0).cast("bigint"))
+    sized = runs.select(*keys, due.alias("_due")).groupBy(*keys).agg(
+        F.sum("_due").alias("expected_events"),
+        F.max("_due").alias("_most"),
+        F.collect_list(F.when(F.col("_due") > 0, F.col("_due"))).alias("_reach"),
     )
-    one, zero = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
-    marked = (
-        due.select(*keys, "iteration", zero.alias("g"), one.alias("w"))
-        .unionByName(events.select(*keys, "iteration", one.alias("g"), zero.alias("w")))
+    at = _multiple(interval)
+    times = F.when(
+        at.isNotNull() & F.col("_reach").isNotNull(), F.size(F.filter("_reach", lambda d: d >= at))
+    ).otherwise(0)
+    seen = events.groupBy(*keys, "iteration").agg(F.count("*").alias("g"))
+    placed = seen.join(sized.select(*keys, "_reach"), keys).withColumn("w", times)
+    found = placed.groupBy(*keys).agg(
+        count_if(F.col("g") != F.col("w")).alias("_off"), count_if(F.col("w") > 0).alias("_met")
     )
-    by_iteration = marked.groupBy(*keys, "iteration").agg(F.sum("g").alias("g"), F.sum("w").alias("w"))
-    diff = by_iteration.groupBy(*keys).agg(
-        F.sum("w").alias("expected_events"),
-        count_if(F.col("g") != F.col("w")).alias("differences"),
+    zero = F.lit(0).cast("bigint")
+    unmet = F.col("_most") - F.coalesce("_met", zero)
+    diff = sized.join(found, keys, "left").select(
+        *keys, "expected_events", (unmet + F.coalesce("_off", zero)).alias("differences")
     )
     joined = runs.select(*keys).join(diff, keys, "left").na.fill(0, ["expected_events", "differences"])
     return joined.withColumn("passed", F.col("differences") == 0)
