@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import derive as d
 from ..schemas import EVIDENCE, OPERATING_CONFIG, with_corrupt
-from ..session import shared_folder
+from ..session import shared_folder, spread
 from ..sources import casefiles, configs, tables
 from ..streaming.runlog_stream import stream_run_log
 from .derived_queries import FAMILY, dims
@@ -33,7 +33,8 @@ def case_text(t):
         F.lit(";\n];\nmpc.gen = [ 2 0 0 0 0 1 100 1 50 10 ];\nmpc.branch = [1 2 0 0.1 0 40 0 0 0 0 1];\n"),
         F.lit("mpc.gencost = [2 0 0 2 14 7];\n"),
     )
-    return t.read("orders").select(F.concat(F.lit("/in/order"), key, F.lit(".m")).alias("path"), text.alias("value"))
+    orders = spread(t.read("orders").select("o_orderkey", "o_totalprice"), "o_orderkey")
+    return orders.select(F.concat(F.lit("/in/order"), key, F.lit(".m")).alias("path"), text.alias("value"))
 
 
 @query(

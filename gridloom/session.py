@@ -110,3 +110,11 @@ def beside(small: DataFrame) -> DataFrame:
 def unfolded(df: DataFrame) -> DataFrame:
     """Mark an unfolded table so that a join with another large table does not broadcast it."""
     return df.hint("merge")
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Deal rows to all shuffle partitions, before a step that makes much work or many rows of each.
+
+    A small file is one task however many rows follow from it.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
