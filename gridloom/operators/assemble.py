@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import count_if
 from ..functions.heavy import Heavy, join_heavy, plain
-from ..session import beside, settle, unfolded
+from ..session import beside, settle, spread, unfolded
 from .derive import (
     COUNT_OF,
     case_dims,
@@ -159,10 +159,12 @@ def rows_line_flow(
 
     ``ptdf(case_id, line_pos, bus_id, value)`` meets ``devices(case_id, device, pos,
     bus_id)`` on the bus once; periods, sides and storage signs unfold afterwards.  A bus with a
-    large part of all devices is in ``heavy``, ``find_heavy(devices, "case_id", "bus_id")``.
+    large part of all devices is in ``heavy``, ``find_heavy(devices, "case_id", "bus_id")``.  The
+    devices are spread first: each meets every line of its case, and a repeated factor table would
+    leave that to the few tasks that read them.
     """
     factors = ptdf.where(F.col("value") != 0)
-    pairs = join_heavy(devices, factors, heavy or plain("case_id", "bus_id"))
+    pairs = join_heavy(spread(devices, "case_id", "device", "pos"), factors, heavy or plain("case_id", "bus_id"))
     base = _over_periods(pairs, dims)
     t, pos, v, line = F.col("t"), F.col("pos"), F.col("value"), F.col("line_pos")
     low = F.col("r_line_lower") + t * F.col("n_line") + line
