@@ -20,11 +20,13 @@ its links.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import release, settle
@@ -347,15 +349,110 @@ def candidate_prints(distinct: DataFrame, rows: int) -> DataFrame:
     return keyed.groupBy("block", "part").applyInPandas(_nearest(orders), "a binary, b binary")
 
 
+#: Hashed counters of shingles, which give them an order from rare to frequent, and a row's share.
+COUNTERS = 1 << 20
+COUNTER_ROWS = 1 << 14
+
+
+def shingle_words(text: bytes) -> np.ndarray:
+    """64 bits of each distinct shingle's digest, ascending."""
+    return np.unique(np.ascontiguousarray(shingle_digests(text)[1][:, :8]).view(np.int64).ravel())
+
+
+def shingle_levels(texts: DataFrame) -> np.ndarray:
+    """A level per counter: eight times the logarithm of the texts' shingles that it counts."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, held, waiting = np.zeros(COUNTERS, np.int64), [], 0
+        for batch in batches:
+            for text in utf8(batch.column("text")):
+                held.append(shingle_words(text) & (COUNTERS - 1))
+                waiting += len(held[-1])
+                if waiting > COUNTERS:
+                    total += np.bincount(np.concatenate(held), minlength=COUNTERS)
+                    held, waiting = [], 0
+        if held:
+            total += np.bincount(np.concatenate(held), minlength=COUNTERS)
+        parts = total.reshape(-1, COUNTER_ROWS)
+        numbers = pa.array(range(len(parts)), pa.int32())
+        yield pa.RecordBatch.from_arrays(
+            [numbers, pa.array([x.tobytes() for x in parts], pa.binary())], names=["part", "counts"]
+        )
+
+    def add(group: pd.DataFrame) -> pd.DataFrame:
+        total = np.zeros(COUNTER_ROWS, np.int64)
+        for counts in group["counts"]:
+            total += np.frombuffer(counts, np.int64)
+        level = np.minimum(255, 8 * np.log2(1 + total)).astype(np.uint8)
+        return pd.DataFrame({"part": group["part"].iloc[:1], "level": [level.tobytes()]})
+
+    counted = texts.select("text").mapInArrow(count, "part int, counts binary")
+    levels = np.zeros((COUNTERS // COUNTER_ROWS, COUNTER_ROWS), np.uint8)
+    for part, level in counted.groupBy("part").applyInPandas(add, "part int, level binary").collect():
+        levels[part] = np.frombuffer(level, np.uint8)
+    return levels.ravel()
+
+
+def rare_shingles(texts: DataFrame) -> DataFrame:
+    """(shingle, short, size, place) of each text's first shingles in the order from rare to frequent.
+
+    Of two texts with a similarity of 0.8 or more, one lacks at most a fifth of the other's
+    shingles; so the first fifth and one of either, in any order common to all texts, have one in
+    common.  The counters only choose the order.
+    """
+    levels = shingle_levels(texts)
+
+    def first(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found, short, size, place = [], [], [], []
+        for text in utf8(batch.column("text")):
+            words = shingle_words(text)
+            n = len(words)
+            if n:
+                take = n + n * SIMILAR[0] // -SIMILAR[1] + 1
+                found.append(words[np.lexsort((words, levels[words & (COUNTERS - 1)]))[:take]])
+                short.append(np.full(take, short_name(shingle_digests(text)[0])))
+                size.append(np.full(take, n))
+                place.append(np.arange(take))
+        columns = [np.concatenate(c) if c else np.zeros(0, np.int64) for c in (found, short, size, place)]
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
+        return pa.RecordBatch.from_arrays(
+            [pa.array(c, k) for c, k in zip(columns, kinds)], names=["shingle", "short", "size", "place"]
+        )
+
+    return map_batches(texts.select("text"), first, "shingle long, short long, size int, place int")
+
+
+def short_name(name: bytes) -> int:
+    return int.from_bytes(name[:8], "little", signed=True)
+
+
+def pairs_between(texts: DataFrame, rooted: DataFrame) -> DataFrame:
+    """Pairs (a, b) of names in ``rooted`` (name, short, root) with different roots, among them all
+    whose ``texts`` have a similarity of 0.8 or more."""
+    of_shingle = Window.partitionBy("shingle")
+    shared = rare_shingles(texts).withColumns(
+        {"_least": F.min("short").over(of_shingle), "_most": F.max("short").over(of_shingle)}
+    )
+    shared = settle(shared.where("_least <> _most").drop("_least", "_most").distinct())
+    held = settle(shared.join(rooted.select("short", "name", "root"), "short").drop("short"))
+    side = lambda c: held.select(
+        "shingle", *[F.col(n).alias(f"{n}_{c}") for n in ("name", "root", "size", "place")]
+    )
+    # before the first common shingle there is none in common: what is left must suffice
+    most = F.least(F.expr("size_a - place_a"), F.expr("size_b - place_b"))
+    enough = most * (SIMILAR[0] + SIMILAR[1]) >= F.expr("size_a + size_b") * SIMILAR[0]
+    pairs = side("a").join(side("b"), "shingle").where((F.col("root_a") < F.col("root_b")) & enough)
+    pairs = settle(pairs.select(F.least("name_a", "name_b").alias("a"), F.greatest("name_a", "name_b").alias("b")).distinct())
+    release(shared, held)
+    return pairs
+
+
 def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) of ``texts`` (name, text) whose shingles are similar: exact Jaccard."""
 
     def shingles(batch: pa.RecordBatch) -> pa.RecordBatch:
         # 64 bits of each shingle's digest stand for it
-        sets = [
-            np.unique(np.ascontiguousarray(shingle_digests(t)[1][:, :8]).view(np.int64).ravel())
-            for t in utf8(batch.column("text"))
-        ]
+        sets = [shingle_words(t) for t in utf8(batch.column("text"))]
         return pa.RecordBatch.from_arrays(
             [batch.column("name"), pa.array(sets, pa.list_(pa.int64()))], names=["name", "shingles"]
         )
@@ -378,9 +475,11 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     (A-Z lowered; a text of five words or fewer is one shingle), and groups are the components of
     such links.  Texts of the same words are merged first.  Candidates come from fingerprints of
     128 bits: each of ``TABLES`` tables deals them by 14 of the bits, chosen at random once for
-    all, and searches the Gray-order index of a bucket.  A table proposes each print's nearest
+    all, and searches the Gray-order index of a bucket.  First a table proposes each print's nearest
     neighbour before and after it in its bucket, so that a large group gives a few links per text
-    and not all pairs.  Every proposed link is confirmed on the texts themselves.
+    and not all pairs.  These links give groups.  Then texts of different groups are joined by their
+    rare shingles, which proposes every pair that is similar, so no link between groups is left out.
+    Every proposed link is confirmed on the texts themselves.
     """
     packed = docs.select(F.struct("*").alias("_row")).withColumns(
         {"_k1": F.xxhash64("_row"), "_k2": F.xxhash64(F.lit(1), F.col("_row"))}
@@ -393,15 +492,18 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     def marks(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = [shingle_digests(t) for t in utf8(batch.column("text"))]
         prints = [wide_print(d).tobytes() for _, d in found]
+        short = pa.array([short_name(n) for n, _ in found], pa.int64())
         return pa.RecordBatch.from_arrays(
-            [batch.column("_key"), pa.array([n for n, _ in found]), pa.array(prints, pa.binary())],
-            names=["_key", "name", "print"],
+            [batch.column("_key"), pa.array([n for n, _ in found]), pa.array(prints, pa.binary()), short],
+            names=["_key", "name", "print", "short"],
         )
 
     kind = texts.schema["_key"].dataType.simpleString()
-    marked = settle(map_batches(texts, marks, f"_key {kind}, name binary, print binary"))
+    marked = settle(map_batches(texts, marks, f"_key {kind}, name binary, print binary, short long"))
     units = settle(
-        marked.groupBy("name").agg(F.min("_key").alias("_key"), F.first("print").alias("print"))
+        marked.groupBy("name").agg(
+            F.min("_key").alias("_key"), F.first("print").alias("print"), F.first("short").alias("short")
+        )
     )
     prints = settle(units.groupBy("print").agg(F.min("name").alias("name"), F.count("*").alias("n")))
     near = settle(candidate_prints(prints.select("print"), prints.count()).distinct())
@@ -416,28 +518,46 @@ def one_of_each(docs: DataFrame) -> DataFrame:
         prints.where("n > 1").select("print", F.col("name").alias("a")), "print"
     )
     pairs = pairs.unionByName(alike.where("a <> b").select("a", "b"))
-    pairs = settle(
-        pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    )
-    release(near, prints)
-    asked = pairs.select(F.col("a").alias("name")).unionByName(pairs.select(F.col("b").alias("name")))
-    asked = settle(units.join(asked.distinct(), "name").select("name", "_key"))
-    wanted = asked.select("name", F.col("_key._k1").alias("_k1"), F.col("_key._k2").alias("_k2"))
-    mine = packed.select("_k1", "_k2", F.col("_row.text").cast("string").alias("text"))
-    found = mine.join(wanted, ["_k1", "_k2"]).select("name", "text").dropDuplicates(["name"])
-    links = confirmed(pairs, found)
-    roots = settle(components(links, "a", "b"))
-    release(pairs, asked, links)
-    rooted = units.join(roots, units.name == roots.node, "left").select(
-        "name", "_key", F.coalesce("root", "name").alias("root")
-    )
+    ordered = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        asked = pairs.select(F.col("a").alias("name")).unionByName(pairs.select(F.col("b").alias("name")))
+        asked = settle(units.join(asked.distinct(), "name").select("name", "_key"))
+        wanted = asked.select("name", F.col("_key._k1").alias("_k1"), F.col("_key._k2").alias("_k2"))
+        mine = packed.select("_k1", "_k2", F.col("_row.text").cast("string").alias("text"))
+        found = mine.join(wanted, ["_k1", "_k2"]).select("name", "text").dropDuplicates(["name"])
+        links = confirmed(pairs, found)
+        release(asked)
+        return links
+
+    def grouped(links: DataFrame) -> DataFrame:
+        roots = settle(components(links, "a", "b"))
+        rooted = settle(
+            units.join(roots, units.name == roots.node, "left").select(
+                "name", "_key", "short", F.coalesce("root", "name").alias("root")
+            )
+        )
+        release(roots)
+        return rooted
+
+    pairs = settle(pairs.select(*ordered).distinct())
+    links = linked(pairs)
+    rooted = grouped(links)
+    # links inside a group change nothing; of those between groups none is left out
+    between = pairs_between(texts, rooted)
+    further = settle(between.join(pairs, ["a", "b"], "left_anti"))
+    late = linked(further)
+    release(near, prints, pairs, between, further)
+    first_rooted = rooted
+    rooted = grouped(links.unionByName(late))
+    release(first_rooted, links, late)
     first = rooted.groupBy("root").agg(F.min("_key").alias("_first"))
     chosen = rooted.join(first, "root").select("name", "_first")
     rows = marked.groupBy("name", "_key").agg(F.count("*").alias("n")).join(chosen, "name")
     rows = settle(
         rows.select("_key._k1", "_key._k2", "n", (F.col("_key") == F.col("_first")).alias("stays"))
     )
-    release(marked, units, roots)
+    release(marked, units, rooted)
     # most rows stay: only those that go, and equal rows, are named
     others = rows.where("NOT stays OR n > 1").select("_k1", "_k2")
     equal = packed.join(rows.where("stays AND n > 1").select("_k1", "_k2"), ["_k1", "_k2"])

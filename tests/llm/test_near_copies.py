@@ -184,3 +184,23 @@ def test_suffix_array_of_words(seed):
             a, b = listed[order[k - 1] :], listed[order[k] :]
             size = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
             assert common[k] == min(9, size)
+
+
+def test_links_that_no_table_proposes(make_docs, messy, monkeypatch):
+    """Nearest neighbours only make groups early: without any of them the groups are the same."""
+    draw = random.Random(5)
+    rows = [r for r in messy if r[0] != 7]
+    for g in range(8):
+        base = prose(800 + g, 40 + 30 * g)
+        rows += [(1000 + 100 * g + k, edited(base, k * (4 + 3 * g) // 16, draw), "en", "a") for k in range(8)]
+    monkeypatch.setattr(
+        simhash, "candidate_prints",
+        lambda distinct, rows: distinct.select(F.col("print").alias("a"), F.col("print").alias("b")).limit(0),
+    )
+    got = Counter(r.doc_id for r in simhash.one_of_each(make_docs(rows)).collect())
+    least = {}
+    for root, row in zip(groups([shingles(r[1]) for r in rows]), rows):
+        key = (row[0] is None, row[0] or 0)
+        least[root] = min(least.get(root, key), key)
+    assert got == Counter(None if none else i for none, i in least.values())
+    assert len(rows) - sum(got.values()) > 20
