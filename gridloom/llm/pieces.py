@@ -19,6 +19,8 @@ import struct
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import repeat
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -31,12 +33,13 @@ SPACE = "▁"
 #: Kinds of piece in a model file.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, BYTE, UNUSED = 1, 2, 3, 4, 6, 5
 #: Parts remembered per task, and the longest part that is remembered.
-MEMORY_PARTS = 200_000
+MEMORY_PARTS = 400_000
 MEMORY_LETTERS = 48
 #: Bits of a piece code below its id: the characters that the piece closes.
 WIDTH_BITS = 24
-#: Bits of an id in a merge number.
+#: Bits of an id in a merge number, and the number of no merge.
 ID_BITS = 20
+NO_MERGE = 1 << 62
 
 
 def wire_fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -253,49 +256,52 @@ class Encoder:
         often = Counter(r for r, _ in longer)
         self.tied = {p[i : i + 2] for r, p in longer if often[r] > 1 for i in range(len(p) - 1)}
         place = {p: n for n, (r, p) in enumerate(sorted(longer)) if often[r] == 1}
-        self.joined: dict[int, int] = {}
+        self.joined: dict[tuple[int, int], int] = {}
         for piece, at in place.items():
             for cut in range(1, len(piece)):
                 left, right = self.ids.get(piece[:cut]), self.ids.get(piece[cut:])
                 if left is not None and right is not None:
-                    self.joined[left << ID_BITS | right] = at << ID_BITS | self.ids[piece]
+                    self.joined[left, right] = at << ID_BITS | self.ids[piece]
         plain = [i for i, k in enumerate(self.model.kinds) if k == NORMAL and i < 1 << ID_BITS]
         self.single = {p: self.ids[p] for p in map(self.model.pieces.__getitem__, plain) if len(p) == 1}
         if any(self.model.kinds[i] == UNUSED for i in self.ids.values()):
             self.single = {}  # unused pieces need to be taken apart again
+        # two characters: their first merge without a look at their ids
+        self.begun = {p: self.joined[self.ids[p[0]], self.ids[p[1]]] for p in place if len(p) == 2 and p[0] in self.ids and p[1] in self.ids}
         self.code = [i << WIDTH_BITS | len(p) for i, p in enumerate(self.model.pieces)]
 
     def _fast_codes(self, part: str) -> list[int] | None:
         """Codes of a short part whose characters are all pieces; the same merges on numbers."""
-        if any(pair in part for pair in self.tied):
+        if self.tied and any(pair in part for pair in self.tied):
             return None
-        single = self.single.get
-        ids = [single(c) for c in part]
+        ids = list(map(self.single.get, part))
         if None in ids:
             return None
-        joined, none = self.joined.get, 1 << 62
-        merges = [joined(a << ID_BITS | b, none) for a, b in zip(ids, ids[1:])]
+        merges = list(map(self.begun.get, map(add, part, part[1:]), repeat(NO_MERGE)))
+        joined = self.joined.get
         while merges:
             best = min(merges)
-            if best == none:
+            if best == NO_MERGE:
                 break
             at = merges.index(best)
             ids[at] = made = best & ((1 << ID_BITS) - 1)
             del ids[at + 1], merges[at]
             if at < len(merges):
-                merges[at] = joined(made << ID_BITS | ids[at + 1], none)
+                merges[at] = joined((made, ids[at + 1]), NO_MERGE)
             if at:
-                merges[at - 1] = joined(ids[at - 1] << ID_BITS | made, none)
+                merges[at - 1] = joined((ids[at - 1], made), NO_MERGE)
         code = self.code
         return [code[i] for i in ids]
 
     def cut(self, part: str) -> list[str]:
         """``part`` cut between neighbours that no piece holds side by side."""
-        pairs, start, out = self.pairs, 0, []
-        for at in range(1, len(part)):
-            if part[at - 1 : at + 1] not in pairs:
-                out.append(part[start:at])
-                start = at
+        held = list(map(self.pairs.__contains__, map(add, part, part[1:])))
+        start, out = 0, []
+        while False in held:
+            at = held.index(False) + 1
+            out.append(part[start : start + at])
+            start += at
+            del held[:at]
         out.append(part[start:])
         return out
 

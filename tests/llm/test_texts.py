@@ -166,6 +166,23 @@ def test_pieces_equal_the_library():
         assert at == len(data)
 
 
+def test_many_parts_are_remembered():
+    """Parts of a task's texts stay in memory beyond 200,000; cuts and codes are those of the slow way."""
+    memory = pieces._Memory(len)
+    for n in range(300_000):
+        memory[str(n)]
+    assert len(memory) == 300_000
+    model = pieces.Model.read(pieces.read_model(public_tokenizers.path("piece_bpe_32k.model")))
+    encoder, draw = pieces.Encoder(model), random.Random(4)
+    for _ in range(3000):
+        part = "".join(draw.choices("\u2581the.e\u00e9\u6f22\n\tan,1", k=draw.randint(1, 47)))
+        places = [0, *[i for i in range(1, len(part)) if part[i - 1 : i + 1] not in encoder.pairs], len(part)]
+        assert encoder.cut(part) == [part[a:b] for a, b in zip(places, places[1:])]
+        fast = encoder._fast_codes(part)
+        if fast is not None:
+            assert [c >> pieces.WIDTH_BITS for c in fast] == [encoder.ids[s] for s in encoder.merge(part)]
+
+
 @pytest.mark.parametrize("rule", ["nmt_nfkc", "nfkc_cf"])
 def test_compiled_map_equals_the_library(rule):
     library = sentencepiece.SentencePieceNormalizer(rule_name=rule)
