@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import release, settle
-from .text import map_batches, utf8
+from .text import SLICE_ROWS, map_batches, utf8
 
 BITS = 64
 MOST_BITS = 3
@@ -363,16 +363,18 @@ def shingle_levels(texts: DataFrame) -> np.ndarray:
     """A level per counter: eight times the logarithm of the texts' shingles that it counts."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, held, waiting = np.zeros(COUNTERS, np.int64), [], 0
-        for batch in batches:
-            for text in utf8(batch.column("text")):
-                held.append(shingle_words(text) & (COUNTERS - 1))
+        total, held, waiting = np.zeros(COUNTERS, np.int32), [], 0
+        # a few rows at once: a whole batch would stand in memory several times
+        slices = (b.slice(at, SLICE_ROWS) for b in batches for at in range(0, b.num_rows, SLICE_ROWS))
+        for some in slices:
+            for text in utf8(some.column("text")):
+                held.append((shingle_words(text) & (COUNTERS - 1)).astype(np.int32))
                 waiting += len(held[-1])
-                if waiting > COUNTERS:
-                    total += np.bincount(np.concatenate(held), minlength=COUNTERS)
+                if waiting > COUNTERS // 4:
+                    np.add.at(total, np.concatenate(held), 1)
                     held, waiting = [], 0
         if held:
-            total += np.bincount(np.concatenate(held), minlength=COUNTERS)
+            np.add.at(total, np.concatenate(held), 1)
         parts = total.reshape(-1, COUNTER_ROWS)
         numbers = pa.array(range(len(parts)), pa.int32())
         yield pa.RecordBatch.from_arrays(
@@ -382,7 +384,7 @@ def shingle_levels(texts: DataFrame) -> np.ndarray:
     def add(group: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros(COUNTER_ROWS, np.int64)
         for counts in group["counts"]:
-            total += np.frombuffer(counts, np.int64)
+            total += np.frombuffer(counts, np.int32)
         level = np.minimum(255, 8 * np.log2(1 + total)).astype(np.uint8)
         return pd.DataFrame({"part": group["part"].iloc[:1], "level": [level.tobytes()]})
 

@@ -204,3 +204,21 @@ def test_links_that_no_table_proposes(make_docs, messy, monkeypatch):
         least[root] = min(least.get(root, key), key)
     assert got == Counter(None if none else i for none, i in least.values())
     assert len(rows) - sum(got.values()) > 20
+
+
+def test_shingles_are_counted_in_slices(make_docs, monkeypatch):
+    """A task holds a few texts at once; the levels are those of all texts."""
+    taken = simhash.utf8
+
+    def few(column):
+        assert len(column) <= simhash.SLICE_ROWS
+        return taken(column)
+
+    texts = [prose(n, 12) for n in range(1300)]
+    docs = make_docs([(n, t, None, None) for n, t in enumerate(texts)]).coalesce(1)
+    monkeypatch.setattr(simhash, "utf8", few)
+    levels = simhash.shingle_levels(docs)
+    total = np.zeros(simhash.COUNTERS, np.int64)
+    for text in texts:
+        np.add.at(total, simhash.shingle_words(text.encode()) & (simhash.COUNTERS - 1), 1)
+    assert (levels == np.minimum(255, 8 * np.log2(1 + total)).astype(np.uint8)).all()
