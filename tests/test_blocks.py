@@ -96,3 +96,10 @@ def test_parts_stay_within_the_limit(table):
     parts = blocks.joined_parts(table("case_id long, i long, j long, value double", cells), 8)
     sizes = [r["count"] for r in parts.groupBy("part").count().collect()]
     assert sum(sizes) == 100 and 2 < max(sizes) <= 8
+
+
+def test_cases_with_names(table):
+    """Case files name their cases with text."""
+    matrix = table("case_id string, i long, j long, value double", [("k", 1, 1, 2.0)])
+    given = table("case_id string, rhs long, i long, mw double", [("k", 0, 1, 3.0)])
+    assert [tuple(r) for r in blocks.settled_answers(matrix, given, 4).collect()] == [("k", 0, 1, 1.5)]
