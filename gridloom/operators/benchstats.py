@@ -18,6 +18,7 @@ from ..functions.columns import (
     whole_sum,
 )
 from ..functions.ordered import exact_quantiles, position
+from ..session import spread
 
 
 def timing_statistics(
@@ -277,7 +278,8 @@ def solution_error_metrics(
 
     ``gram(case_id, r1, r2, value)``; vectors are ``(case_id, row, value)``.  Errors over an
     unknown value or a row of one side only are null, and ``unmatched`` counts such rows; a
-    residual over an unknown value is null.
+    residual over an unknown value is null.  The products are dealt to all tasks by row before they
+    are summed, so that no task sums more rows than its share.
     """
     keys = ["case_id", "row"]
     pair = _pairs(candidate, direct, keys, "value")
@@ -298,7 +300,7 @@ def solution_error_metrics(
         "left",
     ).select("case_id", F.col("r1").alias("row"), (F.col("value") * F.col("_c")).alias("p"), F.lit(0.0).alias("b"))
     wanted = rhs.select(*keys, F.lit(0.0).alias("p"), F.col("value").alias("b"))
-    rows = product.unionByName(wanted).groupBy(*keys).agg(
+    rows = spread(product.unionByName(wanted), *keys).groupBy(*keys).agg(
         whole_sum("p").alias("p"), whole_sum("b").alias("b")
     )
     residual = rows.groupBy("case_id").agg(

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import rounded
 from ..operators import benchstats as b
+from ..session import spread
 from .registry import query, r
 
 STATS = f"""SELECT run, count(*) AS count, {r('quantile_cont(wall_seconds, 0.5)')} AS median_seconds,
@@ -239,10 +240,11 @@ def _(t):
         {r('res', 4)} AS normalized_system_residual FROM er JOIN rs USING (case_id)""",
 )
 def _(t):
-    line = t.read("lineitem")
     case = (F.col("l_suppkey") % 5).alias("case_id")
-    gram = line.groupBy(case, F.col("l_orderkey").alias("r1"), F.col("l_suppkey").alias("r2")).agg(F.sum("l_quantity").alias("value"))
-    rhs = line.groupBy(case, F.col("l_orderkey").alias("row")).agg(F.count("*").cast("double").alias("value"))
+    line = t.read("lineitem").select(case, F.col("l_orderkey").alias("row"), F.col("l_suppkey").alias("r2"), "l_quantity")
+    line = spread(line, "case_id", "row")
+    gram = line.groupBy("case_id", F.col("row").alias("r1"), "r2").agg(F.sum("l_quantity").alias("value"))
+    rhs = line.groupBy("case_id", "row").agg(F.count("*").cast("double").alias("value"))
     vec = t.read("supplier").select(
         (F.col("s_suppkey") % 5).alias("case_id"), F.col("s_suppkey").alias("row"),
         (F.col("s_acctbal") / 1000).alias("c"), F.col("s_nationkey").cast("double").alias("d"),
