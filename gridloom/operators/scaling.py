@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import EPS, absent_as_zero, count_if, norm
-from ..session import release, settle
+from ..session import release, settle, settled
 from .algebra import COL, ROW
 
 
@@ -48,9 +48,17 @@ NORM_OF = {"ruiz": "max_abs", "pock_chambolle": "sum_abs"}
 
 
 def scale_step(a: DataFrame, method: str) -> Scaled:
-    """Divide rows and columns at once by the square roots of their norms."""
+    """Divide rows and columns at once by the square roots of their norms.
+
+    The matrix and both norms are settled: the scales, the diagnostics and the division read them.
+    """
+    a = settled(a)
+    return _divided(a, method, *[settle(norms) for norms in axis_norms(a)])
+
+
+def _divided(a: DataFrame, method: str, rows: DataFrame, cols: DataFrame) -> Scaled:
+    """The step of ``scale_step`` with given norms."""
     norm = NORM_OF[method]
-    rows, cols = axis_norms(a)
     row_scale = rows.select(*ROW, sqrt_denominator(F.col(norm)).alias("scale"))
     col_scale = cols.select(*COL, sqrt_denominator(F.col(norm)).alias("scale"))
     scaled = divide(a, row_scale, col_scale)
@@ -89,18 +97,20 @@ def ruiz(a: DataFrame, k: int) -> Scaled:
     """``k`` simultaneous infinity-norm steps with the accumulated denominators.
 
     Every step is settled: the plan of step k does not contain the k-1 steps before it.  The
-    input is settled too, as each step reads its matrix for norms, changes and diagnostics.
+    input is settled too, and so are the norms, which the scales, the accumulated scales, the
+    diagnostics and the division read.
     """
     rows = cols = log = None
     a = settle(a)
     for step in range(1, k + 1):
-        one = scale_step(a, "ruiz")
+        norms = [settle(found) for found in axis_norms(a)]
+        one = _divided(a, "ruiz", *norms)
         noted = settle(one.diagnostics.withColumn("step", F.lit(step)))
         log = noted if log is None else log.unionByName(noted)
         new_rows = settle(_accumulate(rows, one.row_scale, ROW))
         new_cols = settle(_accumulate(cols, one.col_scale, COL))
         scaled = settle(one.a)
-        release(rows, cols, a)
+        release(rows, cols, a, *norms)
         rows, cols, a = new_rows, new_cols, scaled
     return Scaled(a, rows, cols, log)
 

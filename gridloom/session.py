@@ -58,6 +58,11 @@ def settle(df: DataFrame, **options: str) -> DataFrame:
     return back
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` itself if ``settle`` made it, else ``settle(df)``."""
+    return df if getattr(df, "_settled_at", None) else settle(df)
+
+
 def settle_bucketed(df: DataFrame, *keys: str, **options: str) -> DataFrame:
     """``settle`` as a table bucketed by ``keys``.
 
@@ -101,10 +106,13 @@ def beside(small: DataFrame) -> DataFrame:
     its file size, is under the session's threshold; otherwise the join is sorted, where
     adaptive execution splits hot keys.
     """
-    spark = small.sparkSession
-    limit = spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
     size = int(str(small._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return F.broadcast(small) if size <= limit else small.hint("merge")
+    return F.broadcast(small) if size <= broadcast_limit(small) else small.hint("merge")
+
+
+def broadcast_limit(df: DataFrame) -> int:
+    """Bytes up to which the session broadcasts a table."""
+    return df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
 
 
 def unfolded(df: DataFrame) -> DataFrame:

@@ -61,6 +61,16 @@ def values(df, *keys):
     return {tuple(r[k] for k in keys): [r[c] for c in df.columns if c not in keys] for r in df.collect()}
 
 
+def test_scaling_reads_its_norms_from_files(table):
+    a, *_ = program(table)
+    step = sc.scale_step(a, "ruiz")
+    for scale in (step.row_scale, step.col_scale):
+        assert "Exchange" not in plan(scale)
+    assert plan(step.a).count("HashAggregate") == 0
+    got = {(r.block, r.row): r.scale for r in step.row_scale.collect()}
+    assert got["A2", 0] == pytest.approx(np.sqrt(12.0))
+
+
 def test_error_metrics_deal_their_rows(adaptive_off, table):
     vec = "case_id long, row long, value double"
     gram = table("case_id long, r1 long, r2 long, value double", [(0, 0, 0, 2.0), (0, 1, 1, 3.0)])
