@@ -17,7 +17,7 @@ from ..functions.columns import (
     whole_sum,
 )
 from ..functions.heavy import Heavy, join_heavy, plain
-from ..session import settle
+from ..session import release, settle
 
 ROW = ["case_id", "block", "row"]
 COL = ["case_id", "col"]
@@ -416,7 +416,9 @@ def power_iteration(a: DataFrame, steps: int = 8) -> DataFrame:
     """Rayleigh estimate of the squared spectral norm per case, with its residual.
 
     A start vector in the null space of a case is replaced by the unit vector at the
-    column of largest norm.  Each step writes one table; the run length is fixed.
+    column of largest norm.  Each step writes two tables, the product and the next vector, whose
+    size decides how it meets the matrix; the run length is fixed.  A matrix that is bucketed by
+    row is not moved while the vectors are small.
     """
     vec = settle(start_vector(a, -1.0, 1.0))
     estimate = None
@@ -428,8 +430,11 @@ def power_iteration(a: DataFrame, steps: int = 8) -> DataFrame:
             if dead.limit(1).count():
                 product = settle(_restart(a, product, dead))
                 norms = product.groupBy("case_id").agg(F.sqrt(F.sum(F.col("p") ** 2)).alias("norm"))
-        # the product is a written table, so the next vector can stay an expression over it
-        vec = product.join(norms, "case_id").select(*COL, (F.col("p") / F.col("norm")).alias("x"))
+        following = settle(
+            product.join(norms, "case_id").select(*COL, (F.col("p") / F.col("norm")).alias("x"))
+        )
+        release(vec, product)
+        vec = following
         if step == steps - 1:
             pair = normal_product(a, vec).join(vec, COL)
             moments = pair.groupBy("case_id").agg(
@@ -469,10 +474,14 @@ def collatz_bound(a: DataFrame, steps: int = 8) -> DataFrame:
         ratio = product.groupBy("case_id").agg(
             F.max(F.col("p") / F.col("x")).alias("bound"), F.max("p").alias("top")
         )
-        vec = product.join(ratio, "case_id").select(
-            *COL, F.greatest(F.col("p") / F.col("top"), F.lit(floor)).alias("x")
+        following = settle(
+            product.join(ratio, "case_id").select(
+                *COL, F.greatest(F.col("p") / F.col("top"), F.lit(floor)).alias("x")
+            )
         )
-        found = ratio.select("case_id", "bound")
+        found = settle(ratio.select("case_id", "bound"))
+        release(vec, product)
+        vec = following
         best = found if best is None else best.unionByName(found)
     return best.groupBy("case_id").agg(F.min("bound").alias("bound"), F.count("*").alias("steps"))
 

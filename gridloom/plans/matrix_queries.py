@@ -8,7 +8,7 @@ from ..operators import algebra as al
 from ..operators import assemble as asm
 from ..operators import scaling as sc
 from ..operators.lanczos import lanczos
-from ..session import settle
+from ..session import settle, settle_bucketed
 from .registry import query, r
 
 LP = "b_entry b_coo b_row b_col b_state_col b_state_row"
@@ -614,7 +614,7 @@ RAYLEIGH = """SELECT case_id, xp AS rayleigh, sqrt(greatest(pp - xp * xp, 0)) AS
     "b_entry b_coo",
 )
 def _(t):
-    found = al.power_iteration(settle(t.coo()), 3)
+    found = al.power_iteration(settle_bucketed(t.coo(), *al.ROW), 3)
     return found.select(
         "case_id",
         rounded("rayleigh", 2).alias("rayleigh"),
@@ -633,7 +633,7 @@ COLLATZ = " UNION ALL ".join(f"SELECT * FROM q{i}" for i in range(3))
     "b_entry b_coo",
 )
 def _(t):
-    return al.collatz_bound(settle(t.coo()), 3).withColumn("bound", rounded("bound", 2))
+    return al.collatz_bound(settle_bucketed(t.coo(), *al.ROW), 3).withColumn("bound", rounded("bound", 2))
 
 
 @query(
@@ -649,7 +649,7 @@ def _(t):
     "b_entry b_coo",
 )
 def _(t):
-    a = settle(t.coo())
+    a = settle_bucketed(t.coo(), *al.ROW)
     found = al.spectral_certificate(
         al.spectral_bounds(a), al.power_iteration(a, 3), al.collatz_bound(a, 3)
     )

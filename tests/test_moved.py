@@ -71,6 +71,16 @@ def test_scaling_reads_its_norms_from_files(table):
     assert got["A2", 0] == pytest.approx(np.sqrt(12.0))
 
 
+@pytest.mark.parametrize("method", [al.power_iteration, al.collatz_bound])
+def test_bucketed_matrix_is_not_moved(adaptive_off, table, monkeypatch, method):
+    a = settle_bucketed(program(table)[0], *al.ROW)
+    plans = written(monkeypatch, al)
+    method(a, 3).collect()
+    products = [p for p in plans if "hashpartitioning(case_id" in p and "col#" in p and "value#" in p]
+    assert products
+    assert not [p for p in products if "row#" in "".join(x for x in p.split("\n") if "Exchange hashpartitioning" in x)]
+
+
 def test_error_metrics_deal_their_rows(adaptive_off, table):
     vec = "case_id long, row long, value double"
     gram = table("case_id long, r1 long, r2 long, value double", [(0, 0, 0, 2.0), (0, 1, 1, 3.0)])
