@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,11 +18,57 @@ from ..functions.columns import (
     whole_sum,
 )
 from ..functions.heavy import Heavy, join_heavy, plain
-from ..session import release, settle
+from ..session import broadcast_limit, release, settle, settled
 
 ROW = ["case_id", "block", "row"]
 COL = ["case_id", "col"]
 
+#: Entries that make a row wide, and the most rows that are.
+WIDE_ENTRIES = 4_096
+WIDE_ROWS = 100_000
+
+
+class Wide(NamedTuple):
+    """The rows of a matrix that hold many entries each, and the entries of all other rows."""
+
+    rows: DataFrame
+    rest: DataFrame
+
+    def block(self, name: str) -> Wide:
+        return Wide(*[df.where(F.col("block") == name) for df in self])
+
+
+def find_wide(
+    a: DataFrame, row_vec: DataFrame, entries: int = WIDE_ENTRIES, limit: int | None = None
+) -> Wide | None:
+    """The rows of ``a`` with at least ``entries`` entries, or more if over ``WIDE_ROWS`` rows had that many.
+
+    None if a vector over ``row_vec`` is broadcast anyway (under ``limit`` bytes, the session's threshold
+    when unset) or no row is wide.  Both tables are settled, once for all products with ``a``.
+    """
+    limit = broadcast_limit(a) if limit is None else limit
+    if row_vec.count() * 32 <= limit:
+        return None
+    a = settled(a)
+    counts = settle(a.groupBy(*ROW).agg(F.count("*").alias("_n")))
+    least = max(entries, (counts.agg(F.sum("_n")).first()[0] or 0) // WIDE_ROWS)
+    rows = settle(counts.where(F.col("_n") >= least).select(*ROW))
+    if not rows.limit(1).count():
+        return None
+    return Wide(rows, settle(a.join(F.broadcast(rows), ROW, "left_anti")))
+
+
+def join_rows(a: DataFrame, vec: DataFrame, wide: Wide | None = None, how: str = "inner") -> DataFrame:
+    """``a.join(vec, ROW, how)``, inner or left, for a vector over the rows.
+
+    The entries of ``wide`` rows stay where they are and meet a broadcast table of those rows only, so they
+    are neither sent nor gathered by row.
+    """
+    if wide is None:
+        return a.join(vec, ROW, how)
+    few = F.broadcast(wide.rows).join(vec, ROW) if how == "inner" else vec.join(F.broadcast(wide.rows), ROW, "right")
+    return a.join(F.broadcast(few), ROW).unionByName(wide.rest.join(vec, ROW, how))
+
 
 def spmv(
     a: DataFrame,
@@ -52,11 +99,15 @@ def spmv_t(
     out: str = "aty",
     cols: DataFrame | None = None,
     heavy: Heavy | None = None,
+    wide: Wide | None = None,
 ) -> DataFrame:
-    """``A' y`` by column; ``heavy`` is ``find_heavy(a, *ROW)``, for rows with very many entries."""
-    terms = join_heavy(a, vec.select(*ROW, F.col(value).alias("_y")), heavy or plain(*ROW)).select(
-        *COL, (F.col("value") * F.col("_y")).alias(out)
-    )
+    """``A' y`` by column; ``heavy`` is ``find_heavy(a, *ROW)``, for rows with very many entries.
+
+    With ``wide`` (``find_wide(a, vec)``) the entries of such rows are not sent at all.
+    """
+    vec = vec.select(*ROW, F.col(value).alias("_y"))
+    joined = join_heavy(a, vec, heavy or plain(*ROW)) if wide is None else join_rows(a, vec, wide)
+    terms = joined.select(*COL, (F.col("value") * F.col("_y")).alias(out))
     if cols is not None:
         terms = terms.unionByName(cols.select(*COL, F.lit(0.0).alias(out)))
     return terms.groupBy(*COL).agg(F.sum(out).alias(out))
@@ -178,7 +229,11 @@ def row_activity(
 
 
 def col_activity(
-    a: DataFrame, col_vec: DataFrame, state_col: DataFrame, state_row: DataFrame
+    a: DataFrame,
+    col_vec: DataFrame,
+    state_col: DataFrame,
+    state_row: DataFrame,
+    wide: Wide | None = None,
 ) -> DataFrame:
     """``(aty, c, lower, upper, x, z)`` by column; ``aty`` is null if a multiplier is missing."""
     names = ["c", "lower", "upper", "x", "z"]
@@ -191,7 +246,7 @@ def col_activity(
             *[F.col(n) if n in present else blank.alias(n) for n in names],
         )
 
-    products = a.join(state_row.select(*ROW, "y"), ROW, "left").select(
+    products = join_rows(a, state_row.select(*ROW, "y"), wide, "left").select(
         *COL, (F.col("value") * F.col("y")).alias("aty")
     )
     terms = (
@@ -255,6 +310,7 @@ def residual_summary(
     state_col: DataFrame,
     state_row: DataFrame,
     tolerance: float = 5e-5,
+    wide: Wide | None = None,
 ) -> DataFrame:
     """One record per case: raw, normalised and combined norms and the stopping flags.
 
@@ -273,7 +329,7 @@ def residual_summary(
         )
     )
     cols = (
-        col_activity(a, col_vec, state_col, state_row)
+        col_activity(a, col_vec, state_col, state_row, wide)
         .groupBy("case_id")
         .agg(
             norm(_box_part()).alias("box"),

@@ -1,6 +1,6 @@
 """First-order steps as batch jobs: one call advances every case.
 
-``lp`` is ``Problem(a, row_vec, col_vec)``; ``control(case_id, sigma, lambda_used)`` holds
+``lp`` is ``Problem(a, row_vec, col_vec, wide)``; ``control(case_id, sigma, lambda_used)`` holds
 the penalty and a bound of the squared norm of the inequality block.  A solver for the
 equality block is a function ``rhs(case_id, row, value) -> (case_id, row, y)``.
 """
@@ -22,8 +22,8 @@ from ..functions.columns import (
     whole_sum,
 )
 from ..functions.ordered import BLOCK, previous
-from ..session import release, settle
-from .algebra import COL, ROW, residual_summary, spmv, spmv_t
+from ..session import beside, release, settle, settled
+from .algebra import COL, ROW, Wide, join_rows, residual_summary, spmv, spmv_t
 
 Solver = Callable[[DataFrame], DataFrame]
 
@@ -32,6 +32,7 @@ class Problem(NamedTuple):
     a: DataFrame
     row_vec: DataFrame
     col_vec: DataFrame
+    wide: Wide | None = None  # find_wide(a, row_vec): a large model's products then move less
 
 
 class State(NamedTuple):
@@ -180,11 +181,13 @@ def _block(df: DataFrame, block: str) -> DataFrame:
     return df.where(F.col("block") == block)
 
 
-def _products_by_block(a: DataFrame, row: DataFrame, cols: DataFrame) -> DataFrame:
+def _products_by_block(
+    a: DataFrame, row: DataFrame, cols: DataFrame, wide: Wide | None = None
+) -> DataFrame:
     """``A1'y1`` and ``A2'y2`` by column in one aggregation."""
     zero = F.lit(0.0)
     v = F.col("value") * F.col("y")
-    terms = a.join(row.select(*ROW, "y"), ROW).select(
+    terms = join_rows(a, row.select(*ROW, "y"), wide).select(
         *COL,
         F.when(F.col("block") == "A1", v).otherwise(zero).alias("aty1"),
         F.when(F.col("block") == "A2", v).otherwise(zero).alias("aty2"),
@@ -233,10 +236,11 @@ def sgs_step(
     """One symmetric sweep: z and x, equality half step, inequality step, equality step.
 
     Then reflection and the anchored average.  The column table and the three multiplier
-    tables are settled, as later parts of the step read each of them more than once.
+    tables are settled, as later parts of the step read each of them more than once; the vector
+    that meets the inequality block is settled so that its size decides how they meet.
     """
     sigma = F.col("sigma")
-    products = _products_by_block(lp.a, current.row, lp.col_vec)
+    products = _products_by_block(lp.a, current.row, lp.col_vec, lp.wide)
     argument = F.col("x") + sigma * (F.col("aty1") + F.col("aty2") - F.col("c"))
     cols = (
         current.col.select(*COL, "x")
@@ -269,13 +273,15 @@ def sgs_step(
 
     half_rows = half.withColumn("block", F.lit("A1"))
     at_half = spmv_t(_block(lp.a, "A1"), half_rows, "y", "h", lp.col_vec)
-    ry = cols.join(at_half, COL).select(
-        *COL,
-        (F.col("x_bar") / sigma + F.col("h") + F.col("aty2") + F.col("z_bar") - F.col("c")).alias("v"),
+    ry = settle(
+        cols.join(at_half, COL).select(
+            *COL,
+            (F.col("x_bar") / sigma + F.col("h") + F.col("aty2") + F.col("z_bar") - F.col("c")).alias("v"),
+        )
     )
     a2 = _block(lp.a, "A2")
     terms = (
-        a2.join(ry, COL)
+        a2.join(beside(ry), COL)
         .select("case_id", "row", (F.col("value") * F.col("v")).alias("p"), *_blank("b", "y"))
         .unionByName(
             _block(lp.row_vec, "A2").select("case_id", "row", F.lit(0.0).alias("p"), "b", *_blank("y"))
@@ -292,7 +298,8 @@ def sgs_step(
         gathered.join(control, "case_id").select("case_id", "row", positive_part(moved).alias("y"))
     )
 
-    at_y2 = spmv_t(a2, y2.withColumn("block", F.lit("A2")), "y", "h", lp.col_vec)
+    wide2 = lp.wide and lp.wide.block("A2")
+    at_y2 = spmv_t(a2, y2.withColumn("block", F.lit("A2")), "y", "h", lp.col_vec, wide=wide2)
     second = cols.join(at_y2, COL).select(
         *COL, (F.col("x_bar") + sigma * (F.col("h") + F.col("z_bar") - F.col("c"))).alias("v")
     )
@@ -341,7 +348,7 @@ def run_steps(
     A residual row is taken at step 1, at every ``interval`` and at the last step.  The
     state is written at each step, so a later call can continue from it.
     """
-    lp = Problem(settle(lp.a), settle(lp.row_vec), settle(lp.col_vec))
+    lp = Problem(settled(lp.a), settled(lp.row_vec), settled(lp.col_vec), lp.wide)
     anchor = current = state or zero_state(lp)
     log = None
     old: State | None = None
@@ -356,7 +363,7 @@ def run_steps(
         old = current
         if record:
             found = residual_summary(
-                lp.a, lp.row_vec, lp.col_vec, proximal.col, proximal.row, tolerance
+                lp.a, lp.row_vec, lp.col_vec, proximal.col, proximal.row, tolerance, lp.wide
             )
             row = settle(
                 found.join(step.evidence, "case_id")
@@ -371,7 +378,7 @@ def metric_quadratic(
     lp: Problem, delta_row: DataFrame, control: DataFrame, solve: Solver
 ) -> DataFrame:
     """``dy'(AA' + T)dy`` by products: equality part through the solver, lambda |dy2|^2."""
-    back = spmv_t(lp.a, delta_row, "y", "x", lp.col_vec)
+    back = spmv_t(lp.a, delta_row, "y", "x", lp.col_vec, wide=lp.wide)
     first = settle(
         spmv(_block(lp.a, "A1"), back, "x", "value", _block(lp.row_vec, "A1")).drop("block")
     )

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import rounded
 from ..operators import assemble as m
 from ..operators import iterate as it
-from ..operators.algebra import COL, ROW, spectral_bounds
+from ..operators.algebra import COL, ROW, find_wide, spectral_bounds
 from ..session import settle
 from .assembly_queries import COLS, FLEET, GEN, OFF, UNION_A, UNION_B, build
 from .derived_queries import DIMS, dims
@@ -125,7 +125,8 @@ def _(t):
 
 def problem(t):
     lp = build(t)
-    small = it.Problem(settle(lp.a), settle(lp.row_vec), settle(lp.col_vec))
+    a, row_vec = settle(lp.a), settle(lp.row_vec)
+    small = it.Problem(a, row_vec, settle(lp.col_vec), find_wide(a, row_vec))
     bound = spectral_bounds(small.a.where(F.col("block") == "A2"))
     control = settle(
         bound.select(

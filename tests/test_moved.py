@@ -61,6 +61,71 @@ def values(df, *keys):
     return {tuple(r[k] for k in keys): [r[c] for c in df.columns if c not in keys] for r in df.collect()}
 
 
+def test_wide_rows_give_the_same_step(table):
+    a, row_vec, col_vec, control = program(table)
+    wide = al.find_wide(a, row_vec, entries=3, limit=0)
+    assert {(r.block, r.row) for r in wide.rows.collect()} == {("A1", 0), ("A2", 0)}
+    assert sorted(r.row for r in wide.rest.collect()) == [1, 2]
+    solve = it.orthogonal_solver(a)
+    logs, states = [], []
+    for lp in (it.Problem(a, row_vec, col_vec), it.Problem(a, row_vec, col_vec, wide)):
+        state, log = it.run_steps(lp, 2, control, solve)
+        states.append((values(state.col, "col"), values(state.row, "block", "row")))
+        logs.append({r.iteration: r.kkt_combined_norm for r in log.collect()})
+    for one, two in zip(*states, strict=True):
+        assert one.keys() == two.keys()
+        for k in one:
+            assert two[k] == pytest.approx(one[k])
+    assert logs[1] == pytest.approx(logs[0])
+    delta_row = row_vec.select(*al.ROW, (F.col("b") + 1).alias("y"))
+    quadratics = [
+        it.metric_quadratic(lp, delta_row, control, solve).first().quadratic
+        for lp in (it.Problem(a, row_vec, col_vec), it.Problem(a, row_vec, col_vec, wide))
+    ]
+    assert quadratics[0] == pytest.approx(quadratics[1])
+
+
+def test_wide_rows_keep_missing_repeated_and_null_multipliers(table):
+    a, row_vec, *_ = program(table)
+    a = a.unionByName(a.limit(1).select("case_id", F.lit(None).cast("string").alias("block"), "row", "col", "value"))
+    wide = al.find_wide(a, row_vec, entries=3, limit=0)
+    y = "case_id long, block string, row long, y double"
+    for rows in ([(0, "A2", 0, 2.0), (0, "A2", 0, 3.0), (0, "A2", 1, 1.0)], [(0, "A1", 0, None), (0, "A2", 2, 4.0)], []):
+        vec = table(y, rows)
+        for how in ("inner", "left"):
+            got = [sorted(map(str, al.join_rows(a, vec, w, how).select(*al.ROW, "col", "value", "y").collect())) for w in (None, wide)]
+            assert got[0] == got[1]
+
+
+def test_entries_of_wide_rows_are_not_sent_by_row(no_broadcast, table):
+    a, row_vec, col_vec, _ = program(table)
+    wide = al.find_wide(a, row_vec, entries=3, limit=0)
+    y = settle(row_vec.withColumnRenamed("b", "y"))
+    assert "BroadcastHashJoin" in plan(al.spmv_t(a, y, wide=wide))
+    assert "BroadcastHashJoin" not in plan(al.spmv_t(a, y))
+    assert al.find_wide(a, row_vec, entries=100, limit=0) is None
+    assert al.find_wide(a, row_vec, entries=3, limit=10**6) is None
+
+
+def test_vector_of_the_inequality_step_is_met_by_its_size(adaptive_off, table, monkeypatch):
+    a, row_vec, col_vec, control = program(table)
+    lp = it.Problem(a, row_vec, col_vec)
+    solve = it.orthogonal_solver(a)
+    plans = written(monkeypatch, it)
+    it.sgs_step(lp, it.zero_state(lp), it.zero_state(lp), 0, control, solve)
+    moved = [p for p in plans if "Union" in p and "lambda_used" in p and "x_bar" not in p]
+    assert len(moved) == 1 and "SortMergeJoin" not in moved[0]
+
+
+def test_settled_tables_are_not_written_again(table, monkeypatch):
+    a, row_vec, col_vec, control = program(table)
+    assert settled(a) is a
+    solve = it.orthogonal_solver(a)
+    plans = written(monkeypatch, it)
+    it.run_steps(it.Problem(a, row_vec, col_vec), 1, control, solve)
+    assert not [p for p in plans if "Join" not in p and "Union" not in p and "value#" in p and "block#" in p]
+
+
 def test_scaling_reads_its_norms_from_files(table):
     a, *_ = program(table)
     step = sc.scale_step(a, "ruiz")
