@@ -207,11 +207,16 @@ def objective(
 
 
 def row_activity(
-    a: DataFrame, row_vec: DataFrame, state_col: DataFrame, state_row: DataFrame | None = None
+    a: DataFrame,
+    row_vec: DataFrame,
+    state_col: DataFrame,
+    state_row: DataFrame | None = None,
+    known: DataFrame | None = None,
 ) -> DataFrame:
     """``(ax, b, y)`` by row, gathered in one aggregation instead of three joins.
 
     An entry whose column has no state, or an unknown one, makes its row's ``ax`` unknown.
+    ``known(case_id, block, row, ax)`` holds the products of entries that are not in ``a``.
     """
     empty = F.lit(None).cast("double")
     terms = (
@@ -223,6 +228,8 @@ def row_activity(
         terms = terms.unionByName(
             state_row.select(*ROW, F.lit(0.0).alias("ax"), empty.alias("b"), "y")
         )
+    if known is not None:
+        terms = terms.unionByName(known.select(*ROW, "ax", empty.alias("b"), empty.alias("y")))
     return terms.groupBy(*ROW).agg(
         whole_sum("ax").alias("ax"), F.max("b").alias("b"), F.max("y").alias("y")
     )
@@ -234,8 +241,12 @@ def col_activity(
     state_col: DataFrame,
     state_row: DataFrame,
     wide: Wide | None = None,
+    known: DataFrame | None = None,
 ) -> DataFrame:
-    """``(aty, c, lower, upper, x, z)`` by column; ``aty`` is null if a multiplier is missing."""
+    """``(aty, c, lower, upper, x, z)`` by column; ``aty`` is null if a multiplier is missing.
+
+    ``known(case_id, col, aty)`` holds the products of entries that are not in ``a``.
+    """
     names = ["c", "lower", "upper", "x", "z"]
 
     def shape(df: DataFrame, present: Sequence[str]) -> DataFrame:
@@ -254,6 +265,8 @@ def col_activity(
         .unionByName(shape(col_vec, ["c", "lower", "upper"]))
         .unionByName(shape(state_col, ["x", "z"]))
     )
+    if known is not None:
+        terms = terms.unionByName(shape(known, ["aty"]))
     return terms.groupBy(*COL).agg(
         whole_sum("aty").alias("aty"), *[F.max(n).alias(n) for n in names]
     )
@@ -311,15 +324,18 @@ def residual_summary(
     state_row: DataFrame,
     tolerance: float = 5e-5,
     wide: Wide | None = None,
+    known: tuple[DataFrame, DataFrame] | None = None,
 ) -> DataFrame:
     """One record per case: raw, normalised and combined norms and the stopping flags.
 
     A norm over an unknown value (null, NaN, or a state that is not there) is null, and its flag
     is false.  Only a case without rows, or without columns, has 0 for what it lacks.
+    ``known`` holds the products of entries that are not in ``a``, by row and by column.
     """
+    by_row, by_col = known or (None, None)
     primal = dual_projection(F.col("b") - F.col("ax"), F.col("block"))
     rows = (
-        row_activity(a, row_vec, state_col, state_row)
+        row_activity(a, row_vec, state_col, state_row, by_row)
         .groupBy("case_id")
         .agg(
             norm(_dual_part()).alias("dual"),
@@ -329,7 +345,7 @@ def residual_summary(
         )
     )
     cols = (
-        col_activity(a, col_vec, state_col, state_row, wide)
+        col_activity(a, col_vec, state_col, state_row, wide, by_col)
         .groupBy("case_id")
         .agg(
             norm(_box_part()).alias("box"),

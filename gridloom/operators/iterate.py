@@ -41,9 +41,19 @@ class State(NamedTuple):
 
 
 class Step(NamedTuple):
+    """``activity``: products of A2 with the proximal point, ``ax`` by row (with evidence only) and ``aty`` by
+    column, null where a term is unknown.  ``products``: ``aty1`` and ``aty2`` of the current and, as
+    ``_aty1`` and ``_aty2``, of the proximal multipliers by column."""
+
     proximal: State
     next_state: State
     evidence: DataFrame
+    activity: tuple[DataFrame | None, DataFrame] | None = None
+    products: DataFrame | None = None
+
+
+#: After so many steps the carried products are computed anew, so rounding does not add up.
+REFRESH = 100
 
 
 def _merge(left: DataFrame, right: DataFrame, keys: list[str], change) -> DataFrame:
@@ -232,15 +242,19 @@ def sgs_step(
     control: DataFrame,
     solve: Solver,
     evidence: bool = True,
+    products: DataFrame | None = None,
 ) -> Step:
     """One symmetric sweep: z and x, equality half step, inequality step, equality step.
 
     Then reflection and the anchored average.  The column table and the three multiplier
     tables are settled, as later parts of the step read each of them more than once; the vector
     that meets the inequality block is settled so that its size decides how they meet.
+    ``products(case_id, col, aty1, aty2)`` are those of the current multipliers if they are known:
+    the inequality block is then read twice, once in each direction.
     """
     sigma = F.col("sigma")
-    products = _products_by_block(lp.a, current.row, lp.col_vec, lp.wide)
+    if products is None:
+        products = _products_by_block(lp.a, current.row, lp.col_vec, lp.wide)
     argument = F.col("x") + sigma * (F.col("aty1") + F.col("aty2") - F.col("c"))
     cols = (
         current.col.select(*COL, "x")
@@ -258,6 +272,7 @@ def sgs_step(
         cols.select(
             *COL,
             "c",
+            "aty1",
             "aty2",
             "z_bar",
             "x_bar",
@@ -277,29 +292,50 @@ def sgs_step(
         cols.join(at_half, COL).select(
             *COL,
             (F.col("x_bar") / sigma + F.col("h") + F.col("aty2") + F.col("z_bar") - F.col("c")).alias("v"),
+            F.col("x_bar").alias("x"),
         )
     )
     a2 = _block(lp.a, "A2")
+    zero = F.lit(0.0)
+    # the proximal x rides along: its product with the block is part of the residual
     terms = (
-        a2.join(beside(ry), COL)
-        .select("case_id", "row", (F.col("value") * F.col("v")).alias("p"), *_blank("b", "y"))
+        a2.join(beside(ry), COL, "left")
+        .select(
+            "case_id",
+            "row",
+            (F.col("value") * F.col("v")).alias("p"),
+            (F.col("value") * F.col("x")).alias("ax"),
+            *_blank("b", "y"),
+        )
         .unionByName(
-            _block(lp.row_vec, "A2").select("case_id", "row", F.lit(0.0).alias("p"), "b", *_blank("y"))
+            _block(lp.row_vec, "A2").select("case_id", "row", zero.alias("p"), zero.alias("ax"), "b", *_blank("y"))
         )
         .unionByName(
-            _block(current.row, "A2").select("case_id", "row", F.lit(0.0).alias("p"), *_blank("b"), "y")
+            _block(current.row, "A2").select("case_id", "row", zero.alias("p"), zero.alias("ax"), *_blank("b"), "y")
         )
     )
     gathered = terms.groupBy("case_id", "row").agg(
-        F.sum("p").alias("p"), F.max("b").alias("b"), F.max("y").alias("y")
+        F.sum("p").alias("p"),
+        F.max("b").alias("b"),
+        F.max("y").alias("y"),
+        *([whole_sum("ax").alias("ax")] if evidence else []),
     )
     moved = F.col("y") + (F.col("b") / sigma - F.col("p")) / F.col("lambda_used")
+    # a case without control has no multipliers, but its products count
     y2 = settle(
-        gathered.join(control, "case_id").select("case_id", "row", positive_part(moved).alias("y"))
+        gathered.join(control.withColumn("_run", F.lit(True)), "case_id", "left").select(
+            "case_id", "row", positive_part(moved).alias("y"), "_run", *(["ax"] if evidence else [])
+        )
     )
+    by_row = y2.select("case_id", F.lit("A2").alias("block"), "row", "ax") if evidence else None
+    y2 = y2.where("_run").select("case_id", "row", "y")
 
     wide2 = lp.wide and lp.wide.block("A2")
-    at_y2 = spmv_t(a2, y2.withColumn("block", F.lit("A2")), "y", "h", lp.col_vec, wide=wide2)
+    at_y2 = join_rows(a2, y2.withColumn("block", F.lit("A2")), wide2, "left").select(
+        *COL, (F.col("value") * F.col("y")).alias("h")
+    )
+    at_y2 = at_y2.unionByName(lp.col_vec.select(*COL, zero.alias("h")))
+    at_y2 = settle(at_y2.groupBy(*COL).agg(F.sum("h").alias("h"), whole_sum("h").alias("aty")))
     second = cols.join(at_y2, COL).select(
         *COL, (F.col("x_bar") + sigma * (F.col("h") + F.col("z_bar") - F.col("c"))).alias("v")
     )
@@ -313,13 +349,38 @@ def sgs_step(
     proximal = State(cols.select(*COL, F.col("x_bar").alias("x"), F.col("z_bar").alias("z")), rows)
     following = halpern_update(anchor, reflect_state(current, proximal), k)
     following = State(settle(following.col), settle(following.row))
+    at_y1 = spmv_t(_block(lp.a, "A1"), y1.withColumn("block", F.lit("A1")), "y", "_aty1", lp.col_vec)
+    products = (
+        cols.select(*COL, "aty1", "aty2")
+        .join(at_y1, COL)
+        .join(at_y2.select(*COL, F.col("h").alias("_aty2")), COL)
+    )
     noted = cols.groupBy("case_id").agg(F.max("zx_gap").alias("zx_identity_error"))
     if evidence:
         noted = (
             noted.join(_equality_error(lp.a, half, rhs1, "first"), "case_id", "left")
             .join(_equality_error(lp.a, y1, rhs2, "second"), "case_id", "left")
         )
-    return Step(proximal, following, noted)
+    return Step(proximal, following, noted, (by_row, at_y2.select(*COL, "aty")), products)
+
+
+def carried_products(step: Step, anchor: DataFrame, k: int) -> DataFrame:
+    """``A1'y1`` and ``A2'y2`` of the state after step ``k``: what the step did to the multipliers, done
+    to the products of the anchor, the current and the proximal ones."""
+    old = anchor.select(*COL, F.col("aty1").alias("_old1"), F.col("aty2").alias("_old2"))
+
+    def change(n: str) -> Column:
+        reflected = 2.0 * F.col(f"_aty{n}") - F.col(f"aty{n}")
+        return F.lit(1.0 / (k + 2.0)) * F.col(f"_old{n}") + F.lit((k + 1.0) / (k + 2.0)) * reflected
+
+    joined = step.products.join(old, COL)
+    return joined.select(*COL, change("1").alias("aty1"), change("2").alias("aty2"))
+
+
+def _known_rows(row: DataFrame) -> tuple[int, bool]:
+    """The number of multipliers, and whether each is known and of a row of its own."""
+    count, rows, known = row.agg(F.count("*"), F.count_distinct(*ROW), F.count("y")).first()
+    return count, count == rows == known
 
 
 def _blank(*names: str) -> list[Column]:
@@ -353,17 +414,27 @@ def run_steps(
     log = None
     old: State | None = None
     proximal = current
+    # products are carried while all states have the same rows, each once and known
+    cols = lp.col_vec.agg(F.count("*"), F.count_distinct(*COL)).first()
+    count, carried = _known_rows(anchor.row)
+    carried = carried and cols[0] == cols[1] == anchor.col.select(*COL).distinct().count() == anchor.col.count()
+    begun = products = None
+    # residuals take the products with A2 from the step, so only what else there is meets the states
+    other = lp.a.where(~F.col("block").eqNullSafe("A2"))
     for k in range(steps):
         done = k + 1
         record = done == 1 or done % interval == 0 or done == steps
-        step = sgs_step(lp, current, anchor, k, control, solve, evidence=record)
+        if carried and products is None:
+            products = settle(_products_by_block(lp.a, current.row, lp.col_vec, lp.wide))
+            begun = products if begun is None else begun
+        step = sgs_step(lp, current, anchor, k, control, solve, evidence=record, products=products)
         current, proximal = step.next_state, step.proximal
         if old is not None:
             release(old.col, old.row)
         old = current
         if record:
             found = residual_summary(
-                lp.a, lp.row_vec, lp.col_vec, proximal.col, proximal.row, tolerance, lp.wide
+                other, lp.row_vec, lp.col_vec, proximal.col, proximal.row, tolerance, known=step.activity
             )
             row = settle(
                 found.join(step.evidence, "case_id")
@@ -371,6 +442,14 @@ def run_steps(
                 .withColumn("iteration", F.lit(done))
             )
             log = row if log is None else log.unionByName(row)
+        if carried and done < steps:
+            carried = proximal.row.count() == count and _known_rows(current.row) == (count, True)
+            due = not carried or done % REFRESH == 0
+            following = None if due else settle(carried_products(step, begun, k))
+            if products is not begun:
+                release(products)
+            products = following
+    release(products, begun)
     return current, log
 
 
